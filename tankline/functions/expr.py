@@ -125,5 +125,4 @@ def money(x, symbol: str = "R") -> Column:
 
 def signed_pct(x) -> Column:
     """'+1.23%' style label (FN-8)."""
-    x = col(x)
-    return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.2f", x), F.lit("%"))
+    return F.format_string("%+.2f%%", col(x))

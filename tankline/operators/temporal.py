@@ -25,23 +25,25 @@ def with_previous(df: DataFrame, entity: str, ts: str, tiebreak: str, values: Se
     """Add ``prev_<ts>`` and ``prev_<v>``: the previous row of the same entity in
     (ts, tiebreak) order, restarting at changes of ``scope`` columns.
 
-    Rows are windowed per (entity, scope, time bucket); the first row of each
-    bucket takes the last row of the nearest earlier bucket from a per-bucket
-    summary (``max_by`` on (ts, tiebreak)), joined back on the same keys as the
-    window's shuffle so the facts are exchanged once.
+    The facts are hash-partitioned once on (entity, scope, time bucket). On that
+    one exchange both the in-bucket ``lag`` window and the per-bucket summary
+    (last row of the bucket, ``max_by`` on (ts, tiebreak)) run without another
+    shuffle of the facts. The summary -- one row per entity and bucket -- gets
+    the previous non-empty bucket's last row via a window per entity and is
+    joined back on the partitioning keys, so only the summary moves.
     """
     keys = [entity, *scope]
     cols = [ts, *values]
-    b = F.date_trunc(bucket, F.col(ts).cast("timestamp")).alias("_bk")
-    d = df.withColumn("_bk", b)
+    d = df.withColumn("_bk", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
+    d = d.repartition(*[F.col(k) for k in keys], F.col("_bk"))
     w_in = Window.partitionBy(*keys, "_bk").orderBy(F.col(ts), F.col(tiebreak))
-    for c in cols:
-        d = d.withColumn(f"_in_{c}", F.lag(c).over(w_in))
-    d = d.withColumn("_first", F.row_number().over(w_in) == 1)
     ordkey = F.struct(F.col(ts), F.col(tiebreak))
     last = d.groupBy(*keys, "_bk").agg(*[F.max_by(c, ordkey).alias(f"_last_{c}") for c in cols])
     w_b = Window.partitionBy(*keys).orderBy("_bk")
     last = last.select(*keys, "_bk", *[F.lag(f"_last_{c}").over(w_b).alias(f"_pb_{c}") for c in cols])
+    for c in cols:
+        d = d.withColumn(f"_in_{c}", F.lag(c).over(w_in))
+    d = d.withColumn("_first", F.row_number().over(w_in) == 1)
     d = d.join(last, [*keys, "_bk"], "left")
     for c in cols:
         d = d.withColumn(f"{prefix}{c}", F.when(F.col("_first"), F.col(f"_pb_{c}")).otherwise(F.col(f"_in_{c}")))

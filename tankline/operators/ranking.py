@@ -29,3 +29,26 @@ def dense_rank_keys(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return (keys.join(F.broadcast(offsets), "_pid")
             .select(col, (F.col("_off") + pos + F.lit(1)).alias(out)))
+
+
+def cumulative_by_key(df: DataFrame, key: str, cols: list[str], descending: bool = False,
+                      inclusive: bool = True) -> DataFrame:
+    """Running sums of ``cols`` over the distinct, sorted ``key`` values.
+
+    ``df`` must hold one row per key (aggregate first). Keys are range-partitioned
+    and checkpointed; each partition's running sums come from a window over that
+    partition only, and the totals of the earlier partitions (one row per
+    partition) are added as offsets. ``inclusive=False`` gives the sums strictly
+    before each key. Output: key, cols, ``cum_<c>``.
+    """
+    order = F.desc(key) if descending else F.asc(key)
+    d = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_pid", F.spark_partition_id())
+    d = d.checkpoint(eager=True)
+    tot = d.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition: bounded
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_pid").orderBy(order).rowsBetween(*frame)
+    d = d.select(key, *cols, "_pid", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_w_{c}") for c in cols])
+    d = d.join(F.broadcast(offs), "_pid")
+    return d.select(key, *cols, *[(F.col(f"_o_{c}") + F.col(f"_w_{c}")).alias(f"cum_{c}") for c in cols])

@@ -52,3 +52,26 @@ def cumulative_by_key(df: DataFrame, key: str, cols: list[str], descending: bool
     d = d.select(key, *cols, "_pid", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_w_{c}") for c in cols])
     d = d.join(F.broadcast(offs), "_pid")
     return d.select(key, *cols, *[(F.col(f"_o_{c}") + F.col(f"_w_{c}")).alias(f"cum_{c}") for c in cols])
+
+
+def rank_within_group(df: DataFrame, group: str, order: str, out: str = "rank") -> DataFrame:
+    """1-based row number of each row inside its group, in ``order`` (unique per
+    row), without sending a group to one task.
+
+    Rows are range-partitioned on (group, order) -- a large group spans many
+    partitions -- sorted, and checkpointed so positions are stable. A row's rank
+    is the number of group rows in earlier partitions (from per (partition,
+    group) counts: one row per pair) plus its position after the group's first
+    row in its partition (``monotonically_increasing_id`` holds the position in
+    its low 33 bits).
+    """
+    d = (df.repartitionByRange(group, order).sortWithinPartitions(group, order)
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    d = d.checkpoint(eager=True)
+    pg = d.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pg = pg.select("_pid", group, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    from tankline.operators.joins import attach
+    j = attach(d, pg, ["_pid", group], "inner")  # one row per (partition, group): size-checked
+    return j.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + F.lit(1)).drop(
+        "_pid", "_mid", "_first", "_off")

@@ -53,7 +53,10 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
     order = [F.col("_rt")] + [F.col(c) for c in tiebreak]
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     r = r.withColumn("_rt_next", F.lead("_rt").over(w))
-    last = r.groupBy(*by).agg(F.max("_rt").alias("_rt_max")) if by else r.agg(F.max("_rt").alias("_rt_max"))
+    if by:
+        last = r.groupBy(*by).agg(F.max("_rt").alias("_rt_max"))
+    else:  # a single scalar: the last right timestamp
+        rt_max = r.agg(F.max("_rt")).first()[0]
     first_b = F.date_trunc(bucket, F.col("_rt").cast("timestamp"))
     # last covered bucket: the one holding (to - 1 microsecond), or the last right
     # timestamp's bucket for the open interval
@@ -61,14 +64,17 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
         F.col("_rt_next").cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND"),
         F.col("_rt_max").cast("timestamp")))
     step = F.expr(f"INTERVAL 1 {bucket.upper()}")
-    r = (r.join(F.broadcast(last), by, "inner") if by else r.crossJoin(F.broadcast(last)))
+    r = r.join(F.broadcast(last), by, "inner") if by else r.withColumn("_rt_max", F.lit(rt_max))
     r = (r.where(F.col("_rt_next").isNull() | (F.col("_rt_next") > F.col("_rt")))
          .withColumn("_bk", F.explode(F.sequence(first_b.cast("timestamp"), end_b.cast("timestamp"), step)))
          .withColumn("_last_bk", F.date_trunc(bucket, F.col("_rt_max").cast("timestamp")).cast("timestamp")))
-    # one row per right key: the last bucket, used to clamp left rows beyond it
-    clamp = r.select(*by, "_last_bk").distinct()
+    # the last bucket per right key, used to clamp left rows beyond it
     lk = F.date_trunc(bucket, F.col(left_ts).cast("timestamp")).cast("timestamp")
-    lt = left.join(F.broadcast(clamp), by, "left") if by else left.crossJoin(F.broadcast(clamp))
+    if by:
+        clamp = r.select(*by, "_last_bk").distinct()
+        lt = left.join(F.broadcast(clamp), by, "left")
+    else:
+        lt = left.withColumn("_last_bk", F.date_trunc(bucket, F.lit(rt_max).cast("timestamp")).cast("timestamp"))
     lt = lt.withColumn("_bk", F.least(lk, F.col("_last_bk"))).drop("_last_bk")
     r = r.drop("_rt_max", "_last_bk")
     rcols = [c for c in r.columns if c not in set(by) | {"_bk", "_rt_next"}]

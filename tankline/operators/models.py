@@ -125,7 +125,9 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str = LABEL) -> DataF
         ssw = d.join(F.broadcast(g), label).agg(F.sum((F.col("x") - F.col("mc")) * (F.col("x") - F.col("mc"))).alias("ssw"))
         # reported to 6 decimals: the last digits depend on summation order
         fstat = F.round((F.col("ssb") / F.lit(float(K - 1))) / (F.col("ssw") / F.lit(float(N - K))), 6)
-        rows.append(ssb.join(ssw, how="inner", on=F.lit(True)).select(F.lit(f).alias("feature"), fstat.alias("f_value")))
+        both = ssb.select("ssb", F.lit(None).cast("double").alias("ssw")).unionByName(
+            ssw.select(F.lit(None).cast("double").alias("ssb"), "ssw")).agg(F.max("ssb").alias("ssb"), F.max("ssw").alias("ssw"))
+        rows.append(both.select(F.lit(f).alias("feature"), fstat.alias("f_value")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

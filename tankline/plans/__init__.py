@@ -1,6 +1,6 @@
 """Named queries. Importing this package registers every query module."""
 
-from tankline.plans import eval_queries, flag_queries, model_queries, sweep_queries, table_queries  # noqa: F401
+from tankline.plans import cluster_queries, eval_queries, flag_queries, model_queries, sweep_queries, table_queries  # noqa: F401
 from tankline.plans.registry import REGISTRY, Query, query
 
 __all__ = ["REGISTRY", "Query", "query"]

@@ -97,10 +97,7 @@ def flags_by_district(spark, sf):
     return flagged_txn(spark, sf).groupBy("district", "number_of_flags").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("entity_low_efficiency", covers=("HF-7", "PP-6", "JN-4", "JN-5", "JN-9", "FN-13", "WN-6", "AG-6"),
-       sql=FX.with_views("""
-SELECT entity_id, overlap_start, overlap_end, total_km, total_litres, kmpl, COALESCE(kmpl < 5.0, FALSE) AS low_efficiency
-FROM k WHERE NOT isnan(kmpl)""", "txn", "meter", ctes=["""
+EFF_CTES = ["""
 tr AS (SELECT entity_id, MIN(ts) AS min_litres, MAX(ts) AS max_litres FROM txn GROUP BY entity_id),
 mr AS (SELECT entity_id, MIN(ts) AS min_odo, MAX(ts) AS max_odo FROM meter GROUP BY entity_id),
 ov AS (SELECT mr.entity_id, GREATEST(min_odo, min_litres) AS overlap_start, LEAST(max_odo, max_litres) AS overlap_end
@@ -118,6 +115,12 @@ res AS (SELECT ov.entity_id, ov.overlap_start, ov.overlap_end,
 k AS (SELECT *, CASE WHEN total_litres = 0 THEN CASE WHEN total_km > 0 THEN CAST('inf' AS DOUBLE)
                                                      WHEN total_km < 0 THEN CAST('-inf' AS DOUBLE)
                                                      ELSE CAST('nan' AS DOUBLE) END
-                     ELSE total_km / total_litres END AS kmpl FROM res)"""]))
+                     ELSE total_km / total_litres END AS kmpl FROM res)"""]
+
+
+@query("entity_low_efficiency", covers=("HF-7", "PP-6", "JN-4", "JN-5", "JN-9", "FN-13", "WN-6", "AG-6"),
+       sql=FX.with_views("""
+SELECT entity_id, overlap_start, overlap_end, total_km, total_litres, kmpl, COALESCE(kmpl < 5.0, FALSE) AS low_efficiency
+FROM k WHERE NOT isnan(kmpl)""", "txn", "meter", ctes=EFF_CTES))
 def entity_low_efficiency(spark, sf):
     return T.entity_efficiency(FX.txn(spark, sf), FX.meter(spark, sf))

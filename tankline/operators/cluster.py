@@ -340,12 +340,54 @@ def _n_params(k: int, d: int, cov: str) -> int:
     return (k - 1) + k * d + cov_p
 
 
-def em_mixture(df: DataFrame, k: int, cov: str = "diag", iters: int = 50, seed: int = 1, tol: float = 1e-4,
+def _em_stats_fn(k: int, d: int, cov: str, pi, mu, covs):
+    """Per-batch E-step: responsibilities in numpy, returned as one row of partial
+    sufficient statistics (summed by Spark)."""
+    import pandas as pd
+
+    pi, mu, covs = np.asarray(pi), np.asarray(mu), np.asarray(covs)
+    if cov == "tied":
+        prec = np.linalg.inv(covs)
+        logdet = np.linalg.slogdet(covs)[1]
+    width = d * d if cov == "tied" else d
+
+    def fn(batches):
+        for pdf in batches:
+            x = np.stack(pdf["a"].to_numpy()) if len(pdf) else np.zeros((0, d))
+            logs = np.empty((len(x), k))
+            for c in range(k):
+                diff = x - mu[c]
+                if cov == "tied":
+                    q = np.einsum("ni,ij,nj->n", diff, prec, diff)
+                    ld = logdet
+                else:
+                    v = covs[c] if cov == "diag" else np.full(d, covs[c])
+                    q = (diff * diff / v).sum(axis=1)
+                    ld = np.log(v).sum()
+                logs[:, c] = np.log(pi[c]) - 0.5 * (d * np.log(2 * np.pi) + ld) - 0.5 * q
+            mx = logs.max(axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
+            lse = (mx + np.log(np.exp(logs - mx).sum(axis=1, keepdims=True)))[:, 0] if len(x) else np.zeros(0)
+            r = np.exp(logs - lse[:, None]) if len(x) else np.zeros((0, k))
+            out = [lse.sum(), float(len(x))]
+            for c in range(k):
+                out.append(r[:, c].sum())
+                out += list(r[:, c] @ x)
+                if cov == "tied":
+                    out += list((x * r[:, c:c + 1]).T.dot(x).ravel())
+                else:
+                    out += list(r[:, c] @ (x * x))
+            yield pd.DataFrame([out], columns=[f"s{i}" for i in range(2 + k * (1 + d + width))])
+    return fn
+
+
+def em_mixture(df: DataFrame, k: int, cov: str = "diag", iters: int = 100, seed: int = 1, tol: float = 1e-3,
                features: str = FEATURES):
-    """CL-14: EM for 'diag', 'spherical' and 'tied' covariances written as DataFrame
-    aggregates: the E-step is a column expression per component (log densities and
-    log-sum-exp), the M-step one aggregation of weighted sums. Initialised from a
-    K-means fit. Returns (weights, means, covariances, log-likelihood)."""
+    """CL-14: EM for 'diag', 'spherical' and 'tied' covariances. Each iteration is one
+    distributed pass: ``mapInPandas`` computes responsibilities per Arrow batch and
+    emits partial sufficient statistics, Spark sums them, the driver updates the
+    (k x d) parameters. Initialised from a K-means fit. Returns (weights, means,
+    covariances, log-likelihood); stops when the mean log-likelihood changes by less
+    than ``tol`` (the reference's default)."""
     arr = df.select(vector_to_array(features).alias("a")).cache()
     d = len(arr.first()["a"])
     km = KMeans(k=k, seed=seed, featuresCol="f").fit(arr.select(array_to_vector("a").alias("f")))
@@ -356,57 +398,36 @@ def em_mixture(df: DataFrame, k: int, cov: str = "diag", iters: int = 50, seed:
         covs = np.diag(var_all + 1e-6)
     else:
         covs = np.tile(var_all + 1e-6, (k, 1)) if cov == "diag" else np.full(k, var_all.mean() + 1e-6)
-    ll_old = -np.inf
-    x = [F.col("a")[i] for i in range(d)]
+    width = d * d if cov == "tied" else d
+    ncols = 2 + k * (1 + d + width)
+    schema = ", ".join(f"s{i} double" for i in range(ncols))
+    ll_old = None
+    ll = float("-inf")
     for _ in range(iters):
-        logs = []
+        st = arr.mapInPandas(_em_stats_fn(k, d, cov, pi, mu, covs), schema)
+        r = st.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(ncols)]).first()  # one row of statistics
+        v = np.array([r[f"s{i}"] for i in range(ncols)], dtype=float)
+        ll, n = v[0], v[1]
+        pos = 2
+        sk, mk, qk = [], [], []
         for c in range(k):
-            if cov == "tied":
-                prec = np.linalg.inv(covs)
-                _, logdet = np.linalg.slogdet(covs)
-                q = sum(F.lit(float(prec[i, j])) * (x[i] - F.lit(mu[c, i])) * (x[j] - F.lit(mu[c, j]))
-                        for i in range(d) for j in range(d))
-            else:
-                v = covs[c] if cov == "diag" else np.full(d, covs[c])
-                logdet = float(np.log(v).sum())
-                q = sum((x[i] - F.lit(mu[c, i])) * (x[i] - F.lit(mu[c, i])) / F.lit(float(v[i])) for i in range(d))
-            logs.append(F.lit(math.log(pi[c]) - 0.5 * (d * math.log(2 * math.pi) + logdet)) - F.lit(0.5) * q)
-        e = arr.select("a", *[lg.alias(f"l{c}") for c, lg in enumerate(logs)])
-        mx = F.greatest(*[F.col(f"l{c}") for c in range(k)]) if k > 1 else F.col("l0")
-        lse = mx + F.log(sum(F.exp(F.col(f"l{c}") - mx) for c in range(k)))
-        e = e.withColumn("_lse", lse)
-        for c in range(k):
-            e = e.withColumn(f"r{c}", F.exp(F.col(f"l{c}") - F.col("_lse")))
-        aggs = [F.sum("_lse").alias("ll"), F.count(F.lit(1)).alias("n")]
-        for c in range(k):
-            aggs.append(F.sum(f"r{c}").alias(f"s{c}"))
-            for i in range(d):
-                aggs.append(F.sum(F.col(f"r{c}") * x[i]).alias(f"m{c}_{i}"))
-                if cov != "tied":
-                    aggs.append(F.sum(F.col(f"r{c}") * x[i] * x[i]).alias(f"q{c}_{i}"))
-                else:
-                    for j in range(d):
-                        aggs.append(F.sum(F.col(f"r{c}") * x[i] * x[j]).alias(f"t{c}_{i}_{j}"))
-        r = e.agg(*aggs).first()  # one row of sufficient statistics
-        n = r["n"]
-        s = np.array([r[f"s{c}"] for c in range(k)]) + 1e-12
+            sk.append(v[pos]); pos += 1
+            mk.append(v[pos:pos + d]); pos += d
+            qk.append(v[pos:pos + width]); pos += width
+        s = np.array(sk) + 1e-12
         pi = s / n
-        mu = np.array([[r[f"m{c}_{i}"] / s[c] for i in range(d)] for c in range(k)])
+        mu = np.array(mk) / s[:, None]
         if cov == "tied":
-            tot = np.zeros((d, d))
-            for c in range(k):
-                sxx = np.array([[r[f"t{c}_{i}_{j}"] for j in range(d)] for i in range(d)])
-                tot += sxx - s[c] * np.outer(mu[c], mu[c])
+            tot = sum(np.array(qk[c]).reshape(d, d) - s[c] * np.outer(mu[c], mu[c]) for c in range(k))
             covs = tot / n + 1e-6 * np.eye(d)
         else:
-            v = np.array([[r[f"q{c}_{i}"] / s[c] - mu[c, i] ** 2 for i in range(d)] for c in range(k)]) + 1e-6
-            covs = v if cov == "diag" else v.mean(axis=1)
-        ll = float(r["ll"])
-        if abs(ll - ll_old) < tol * abs(ll):
+            var = np.array(qk) / s[:, None] - mu ** 2 + 1e-6
+            covs = var if cov == "diag" else var.mean(axis=1)
+        if ll_old is not None and abs(ll - ll_old) / n < tol:
             break
         ll_old = ll
     arr.unpersist()
-    return pi, mu, covs, ll
+    return pi, mu, covs, float(ll)
 
 
 def mixture_grid(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6),
@@ -414,14 +435,15 @@ def mixture_grid(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6),
     """CL-14: log-likelihood, AIC and BIC per (components, covariance type)."""
     n = df.count()
     d = len(df.select(vector_to_array(FEATURES).alias("a")).first()["a"])
-    rows = []
-    for k in ks:
-        for cov in covs:
-            if cov == "full":
-                ll = float(gmm(df, k, seed).summary.logLikelihood)
-            else:
-                ll = em_mixture(df, k, cov, seed=seed)[3]
-            p = _n_params(k, d, cov)
-            rows.append((int(k), cov, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll))
+    d_c = df.select(FEATURES).cache()
+
+    def one(setting):
+        k, cov = setting
+        ll = float(gmm(d_c, k, seed).summary.logLikelihood) if cov == "full" else em_mixture(d_c, k, cov, seed=seed)[3]
+        p = _n_params(k, d, cov)
+        return (int(k), cov, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll)
+
+    rows = parallel_map(one, itertools.product(ks, covs))
+    d_c.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_components int, covariance_type string, log_likelihood double, "
                                                  "aic double, bic double")

@@ -15,6 +15,7 @@ from tankline.plans.flag_queries import EFF_CTES, PRICED_SQL
 from tankline.plans.registry import query
 from tankline.session import ensure_checkpoint_dir
 from tankline.sources import fixtures as FX
+from tankline.sources import stages as SG
 
 VEH_SQL_CTES = EFF_CTES + ["""
 veh AS (SELECT k.entity_id, k.kmpl, t.total_amount, t.mean_amount, t.total_litres_tx, t.mean_litres
@@ -29,7 +30,7 @@ veh AS (SELECT k.entity_id, k.kmpl, t.total_amount, t.mean_amount, t.total_litre
 
 
 def vehicles(spark, sf):
-    return CL.vehicle_features(FX.txn(spark, sf), FX.meter(spark, sf))
+    return CL.vehicle_features(SG.stage(spark, sf, "txn"), SG.stage(spark, sf, "meter"))
 
 
 def vehicles_scaled(spark, sf):
@@ -38,12 +39,13 @@ def vehicles_scaled(spark, sf):
 
 @query("scaled_features", covers=("CL-1", "CL-2", "V17", "FLT-2"), sql=FX.with_views(
     "SELECT entity_id, " + ", ".join(
-        f"CASE WHEN s.s_{c} = 0 THEN 0.0 ELSE (v.{c} - s.m_{c}) / s.s_{c} END AS z_{c}" for c in CL.VEHICLE_FEATURES)
+        f"ROUND(CASE WHEN s.s_{c} = 0 THEN 0.0 ELSE (v.{c} - s.m_{c}) / s.s_{c} END, 9) AS z_{c}" for c in CL.VEHICLE_FEATURES)
     + " FROM veh v, (SELECT " + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in CL.VEHICLE_FEATURES)
     + " FROM veh) s", "txn", "meter", ctes=VEH_SQL_CTES))
 def scaled_features(spark, sf):
     d = CL.standardize(vehicles(spark, sf), CL.VEHICLE_FEATURES, keep_columns=True)
-    return d.select("entity_id", *[f"z_{c}" for c in CL.VEHICLE_FEATURES])
+    # reported to 9 decimals: the last digits of mean and std depend on summation order
+    return d.select("entity_id", *[F.round(f"z_{c}", 9).alias(f"z_{c}") for c in CL.VEHICLE_FEATURES])
 
 
 def _fence_sql() -> list[str]:
@@ -60,7 +62,7 @@ tf3 AS (SELECT tf2.* FROM tf2, q2 WHERE amount_cents >= lo - 1.5 * (hi - lo) AND
 
 
 def transactions(spark, sf):
-    priced = T.enrich_prices(FX.txn(spark, sf), FX.price(spark, sf))
+    priced = SG.stage(spark, sf, "priced")
     return CL.transaction_features(priced)
 
 
@@ -155,7 +157,7 @@ SELECT CASE WHEN mx = ex THEN 1.0 ELSE (sij - ex) / (mx - ex) END AS ari FROM (
 c AS (SELECT department, category, CAST(COUNT(*) AS DOUBLE) AS n FROM txn
       WHERE department IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2)"""]))
 def ari(spark, sf):
-    return ST.ari(FX.txn(spark, sf), "department", "category")
+    return ST.ari(SG.stage(spark, sf, "txn"), "department", "category")
 
 
 LABELS = ["department", "category", "fuel_type"]
@@ -174,7 +176,7 @@ def _agree_sql() -> str:
 
 @query("agreement_matrix", covers=("CL-20", "RS-6"), sql=_agree_sql())
 def agreement_matrix(spark, sf):
-    return ST.agreement_matrix(FX.txn(spark, sf), LABELS)
+    return ST.agreement_matrix(SG.stage(spark, sf, "txn"), LABELS)
 
 
 @query("cooccurrence", covers=("CL-18", "JN-15"), sql=FX.with_views("""
@@ -190,7 +192,7 @@ LEFT JOIN (SELECT base, SUM(n * n - n) / 2 AS pairs FROM (
 reps AS (SELECT department, 'category' AS rep, category AS label FROM txn
          UNION ALL SELECT department, 'site', site FROM txn)"""]))
 def cooccurrence(spark, sf):
-    t = FX.txn(spark, sf)
+    t = SG.stage(spark, sf, "txn")
     base = t.select(F.col("txn_id").alias("id"), F.col("department").alias("base"))
     reps = (t.select(F.col("txn_id").alias("id"), F.lit("category").alias("replicate"), F.col("category").alias("label"))
             .unionByName(t.select(F.col("txn_id").alias("id"), F.lit("site").alias("replicate"), F.col("site").alias("label")))
@@ -217,7 +219,7 @@ def feature_impact(spark, sf):
 
 @query("temporal_cluster_stability", covers=("CL-22", "AG-16"))
 def temporal_cluster_stability(spark, sf):
-    priced = T.enrich_prices(FX.txn(spark, sf), FX.price(spark, sf))
+    priced = SG.stage(spark, sf, "priced")
     feats = CL.transaction_features(priced).withColumnRenamed("txn_id", "id")
     d = CL.standardize(feats, CL.TXN_FEATURES)
     return ST.temporal_stability(d, "ts", k=4, min_rows=1000)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tankline.operators import evaluation as EV
 from tankline.plans.registry import query
 from tankline.sources import fixtures as FX
+from tankline.sources import stages as SG
 
 def conf_ctes(src: str = "scored", x: str = "") -> list[str]:
     return [f"""
@@ -26,7 +27,7 @@ SELECT c.y_true, c.y_pred, c.n,
 FROM conf c JOIN (SELECT y_true, SUM(n) AS rt FROM conf GROUP BY y_true) t ON t.y_true = c.y_true""", "scored",
                                                                   ctes=CONF_CTES))
 def confusion(spark, sf):
-    return EV.confusion(FX.scored(spark, sf))
+    return EV.confusion(SG.stage(spark, sf, "scored"))
 
 
 def report_ctes(src: str = "scored", x: str = "") -> list[str]:
@@ -53,7 +54,7 @@ REPORT_CTES = report_ctes()
 
 @query("class_report", covers=("ML-20",), sql=FX.with_views("SELECT * FROM report", "scored", ctes=REPORT_CTES))
 def class_report(spark, sf):
-    return EV.class_report(FX.scored(spark, sf))
+    return EV.class_report(SG.stage(spark, sf, "scored"))
 
 
 SC_CTES = ["""
@@ -69,7 +70,7 @@ tt AS (SELECT SUM(pos) AS p, SUM(neg) AS n FROM sc)"""]
 SELECT score AS threshold, CAST(cum_neg AS DOUBLE) / tt.n AS fpr, CAST(cum_pos AS DOUBLE) / tt.p AS tpr FROM cum, tt
 UNION ALL SELECT CAST('inf' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)""", "scored", ctes=SC_CTES))
 def roc_points(spark, sf):
-    return EV.roc_points(FX.scored(spark, sf))
+    return EV.roc_points(SG.stage(spark, sf, "scored"))
 
 
 @query("roc_auc", covers=("ML-21",), sql=FX.with_views("""
@@ -77,20 +78,20 @@ SELECT SUM(pos * (COALESCE(below, 0) + neg / 2.0)) / (SUM(pos) * SUM(neg)) AS au
 FROM (SELECT score, pos, neg, SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM sc) x""",
                                                             "scored", ctes=SC_CTES))
 def roc_auc(spark, sf):
-    return EV.roc_auc(FX.scored(spark, sf))
+    return EV.roc_auc(SG.stage(spark, sf, "scored"))
 
 
 @query("pr_points", covers=("ML-22",), sql=FX.with_views("""
 SELECT score AS threshold, CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg) AS precision, CAST(cum_pos AS DOUBLE) / tt.p AS recall
 FROM cum, tt""", "scored", ctes=SC_CTES))
 def pr_points(spark, sf):
-    return EV.pr_points(FX.scored(spark, sf))
+    return EV.pr_points(SG.stage(spark, sf, "scored"))
 
 
 @query("average_precision", covers=("ML-22",), sql=FX.with_views("""
 SELECT SUM(pos * (CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg))) / SUM(pos) AS ap FROM cum""", "scored", ctes=SC_CTES))
 def average_precision(spark, sf):
-    return EV.average_precision(FX.scored(spark, sf))
+    return EV.average_precision(SG.stage(spark, sf, "scored"))
 
 
 def _cal_bin_sql() -> str:
@@ -102,7 +103,7 @@ SELECT {_cal_bin_sql()} AS bin, SUM(score) / COUNT(*) AS mean_predicted,
        SUM(CASE WHEN y_true = 1 THEN 1.0 ELSE 0.0 END) / COUNT(*) AS fraction_positive, COUNT(*) AS n
 FROM scored GROUP BY 1""", "scored"))
 def calibration(spark, sf):
-    return EV.calibration(FX.scored(spark, sf))
+    return EV.calibration(SG.stage(spark, sf, "scored"))
 
 
 @query("results_summary", covers=("ML-33", "ML-20"), sql=FX.with_views("""
@@ -117,7 +118,7 @@ FROM (
     "scored2 AS (SELECT doc_id, y_true, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored)",
     *REPORT_CTES, *report_ctes("scored2", "2")]))
 def results_summary(spark, sf):
-    s = FX.scored(spark, sf)
+    s = SG.stage(spark, sf, "scored")
     both = (s.select(F.lit("rule_mod3").alias("model"), "y_true", "y_pred")
             .unionByName(s.select(F.lit("score_half").alias("model"), "y_true",
                                   F.when(F.col("score") > 0.5, 1).otherwise(0).alias("y_pred"))))

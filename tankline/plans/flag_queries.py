@@ -8,6 +8,7 @@ from tankline.operators import flags as FL
 from tankline.operators import temporal as T
 from tankline.plans.registry import query
 from tankline.sources import fixtures as FX
+from tankline.sources import stages as SG
 
 UPLIFT_CENTS = repr(FL.DIESEL_UPLIFT * 100.0)
 
@@ -53,15 +54,15 @@ counted AS (
 
 
 def flagged_txn(spark, sf, **kw):
-    priced = T.enrich_prices(FX.txn(spark, sf), FX.price(spark, sf))
-    return FL.apply_flags(priced, **kw)
+    """Flags computed from the priced stage (the operator work of HF-5)."""
+    return FL.apply_flags(SG.stage(spark, sf, "priced"), **kw)
 
 
 @query("asof_price", covers=("JN-8", "PP-5", "PRJ-6", "SRC-4"), sql=FX.with_views("""
 SELECT txn_id, coastal_petrol_cents, coastal_diesel_cents, inland_petrol_cents, inland_diesel_cents, unit_price
 FROM priced""", "txn", "price", ctes=[PRICED_SQL]))
 def asof_price(spark, sf):
-    priced = T.enrich_prices(FX.txn(spark, sf), FX.price(spark, sf))
+    priced = T.enrich_prices(SG.stage(spark, sf, "txn"), SG.stage(spark, sf, "price"))
     return priced.select("txn_id", *T.PRICE_COLS, "unit_price")
 
 
@@ -123,4 +124,4 @@ k AS (SELECT *, CASE WHEN total_litres = 0 THEN CASE WHEN total_km > 0 THEN CAST
 SELECT entity_id, overlap_start, overlap_end, total_km, total_litres, kmpl, COALESCE(kmpl < 5.0, FALSE) AS low_efficiency
 FROM k WHERE NOT isnan(kmpl)""", "txn", "meter", ctes=EFF_CTES))
 def entity_low_efficiency(spark, sf):
-    return T.entity_efficiency(FX.txn(spark, sf), FX.meter(spark, sf))
+    return T.entity_efficiency(SG.stage(spark, sf, "txn"), SG.stage(spark, sf, "meter"))

@@ -11,13 +11,13 @@ from tankline.operators import validation as V
 from tankline.plans.flag_queries import PRICED_SQL, flagged_sql, flagged_txn
 from tankline.plans.registry import query
 from tankline.sources import fixtures as FX
+from tankline.sources import stages as SG
 
 
 def model_df(spark, sf):
     """The modelling table, written once to the checkpoint directory: splits,
     folds and every fit read it many times."""
-    flagged = flagged_txn(spark, sf).checkpoint(eager=True)
-    return M.model_frame(flagged).checkpoint(eager=True)
+    return M.model_frame(SG.stage(spark, sf, "flagged")).checkpoint(eager=True)
 
 
 def _rare_sql(col: str, out: str, n: int) -> str:

@@ -15,6 +15,7 @@ from tankline.operators import temporal as T
 from tankline.plans.flag_queries import PRICED_SQL, UPLIFT_CENTS, flagged_sql, flagged_txn
 from tankline.plans.registry import query
 from tankline.sources import fixtures as FX
+from tankline.sources import stages as SG
 
 
 def grid_sql(mults, days, prices) -> str:
@@ -181,7 +182,7 @@ def _val_sql(body: str) -> str:
 
 
 def validation_df(spark, sf):
-    priced = T.enrich_prices(FX.txn(spark, sf), FX.price(spark, sf))
+    priced = SG.stage(spark, sf, "priced")
     return SW.temporal_validation(priced)
 
 
@@ -202,5 +203,5 @@ def temporal_validation_summary(spark, sf):
 
 @query("month_triples", covers=("WN-8",), sql=_val_sql("SELECT train_month, val_month, test_month FROM trip"))
 def month_triples(spark, sf):
-    return T.month_triples(FX.txn(spark, sf)).select(
+    return T.month_triples(SG.stage(spark, sf, "txn")).select(
         F.col("train_month"), F.col("val_month"), F.col("test_month"))

@@ -13,6 +13,7 @@ from tankline.operators import summaries as SM
 from tankline.operators import temporal as T
 from tankline.plans.registry import query
 from tankline.sources import fixtures as FX
+from tankline.sources import stages as SG
 
 
 def title_sql(col: str) -> str:
@@ -44,7 +45,7 @@ WHERE litres IS NOT NULL
   AND fuel_type = 'Diesel'
   AND amount_cents > 0 AND amount_cents <= 20000000""", "txn"))
 def cleaning_chain(spark, sf):
-    t = FX.txn(spark, sf)
+    t = SG.stage(spark, sf, "txn")
     out = CL.cleaning_chain(t, ["litres"], keep_values=("category", ["AUTOMOBILE", "BUILDING", "MACHINERY", "HOUSEHOLD"]),
                             drop_values=("department", ["5-LOW"]), drop_pattern=("site", "NATION_1[0-4]"),
                             equals=("fuel_type", "Diesel"), range_=("amount_cents", 0, 20000000))
@@ -58,7 +59,7 @@ FROM (SELECT reg_no, CASE WHEN starts_with(s2, '43501') THEN 'UNKNOWN' ELSE s2 E
             FROM (SELECT reg_no, {title_sql("upper(COALESCE(site, 'UNKNOWN'))")} AS s1 FROM register) a) b) c""",
                                                                                                 "register"))
 def site_cleanup(spark, sf):
-    return CL.site_cleanup(FX.register(spark, sf), "site").select("reg_no", "site")
+    return CL.site_cleanup(SG.stage(spark, sf, "register"), "site").select("reg_no", "site")
 
 
 @query("fn_text", covers=("FN-1", "FN-2", "FN-3", "FN-4", "FN-5", "FN-7", "FN-9", "V9"), sql=FX.with_views(f"""
@@ -70,7 +71,7 @@ SELECT name_id, upper(name) AS upper_name, {title_sql("name")} AS title_name, tr
             ELSE CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - levenshtein(name, upper(name)) / greatest(length(name), length(upper(name)))) END AS sim_upper
 FROM names""", "names"))
 def fn_text(spark, sf):
-    n = FX.names(spark, sf)
+    n = SG.stage(spark, sf, "names")
     return n.select(
         "name_id", F.upper("name").alias("upper_name"), X.title_case("name").alias("title_name"),
         F.trim(F.concat(F.lit("  "), F.col("name"), F.lit(" "))).alias("trimmed"),
@@ -92,7 +93,7 @@ dn AS (SELECT DISTINCT norm FROM nm WHERE length(norm) > 0)""", """
 pairs AS (SELECT a.norm AS a, b.norm AS b FROM dn a JOIN dn b ON a.norm < b.norm
           WHERE 100 * levenshtein(a.norm, b.norm) <= 5 * greatest(length(a.norm), length(b.norm)))"""]))
 def name_consolidation(spark, sf):
-    return FZ.consolidate_names(FX.names(spark, sf), "name", "name_id", threshold=95.0)
+    return FZ.consolidate_names(SG.stage(spark, sf, "names"), "name", "name_id", threshold=95.0)
 
 
 CONS_BODY = """
@@ -119,7 +120,7 @@ def _consolidation_sql(threshold: int) -> str:
 @query("name_consolidation_85", covers=("PP-3", "JN-13", "JN-10"), sql=_consolidation_sql(85))
 def name_consolidation_85(spark, sf):
     """Same rule at threshold 85, where plural variants of the short fixture names match."""
-    return FZ.consolidate_names(FX.names(spark, sf), "name", "name_id", threshold=85.0)
+    return FZ.consolidate_names(SG.stage(spark, sf, "names"), "name", "name_id", threshold=85.0)
 
 
 @query("names_replaced", covers=("JN-10",), sql=FX.with_views("""
@@ -127,7 +128,7 @@ SELECT t.name_id, COALESCE(m.representative, t.name) AS name FROM names t LEFT J
                                                            "names", ctes=[*_consolidation_ctes(85),
                                                                           f"cons AS ({CONS_BODY})"]))
 def names_replaced(spark, sf):
-    n = FX.names(spark, sf)
+    n = SG.stage(spark, sf, "names")
     return FZ.replace_names(n, "name", FZ.consolidate_names(n, "name", "name_id", threshold=85.0)).select("name_id", "name")
 
 
@@ -138,7 +139,7 @@ FROM dn a JOIN dn b ON a.norm < b.norm
 WHERE 100 * levenshtein(a.norm, b.norm) <= 15 * greatest(length(a.norm), length(b.norm))""", "names", ctes=[f"""
 dn AS (SELECT DISTINCT {norm_sql("name")} AS norm FROM names WHERE name IS NOT NULL AND length({norm_sql("name")}) > 0)"""]))
 def similar_names(spark, sf):
-    n = FX.names(spark, sf).where(F.col("name").isNotNull()).select(X.normalise_text("name").alias("norm"))
+    n = SG.stage(spark, sf, "names").where(F.col("name").isNotNull()).select(X.normalise_text("name").alias("norm"))
     return FZ.similar_pairs(n, "norm", 85.0)
 
 
@@ -152,7 +153,7 @@ reg_long AS (
 
 
 def _reg_long(spark, sf):
-    r = FX.register(spark, sf)
+    r = SG.stage(spark, sf, "register")
     white = r.where(F.col("source") == "white")
     ems = r.where(F.col("source") == "ems")
     return CL.register_consolidated(white, ems, keep=("site", "district", "source"))
@@ -168,7 +169,7 @@ def register_consolidated(spark, sf):
 SELECT t.txn_id, t.entity_id, r.plate_kind, r.site AS reg_site, r.source
 FROM txn t LEFT JOIN reg_long r ON r.plate = t.entity_id""", "txn", "register", ctes=[REG_LONG_SQL]))
 def register_join(spark, sf):
-    t = FX.txn(spark, sf).select("txn_id", "entity_id")
+    t = SG.stage(spark, sf, "txn").select("txn_id", "entity_id")
     r = _reg_long(spark, sf).select("plate", "plate_kind", F.col("site").alias("reg_site"), "source")
     return t.join(r, t.entity_id == r.plate, "left").select("txn_id", "entity_id", "plate_kind", "reg_site", "source")
 
@@ -176,7 +177,7 @@ def register_join(spark, sf):
 @query("anonymised", covers=("WN-7",), sql=FX.with_views("""
 SELECT txn_id, 'ANON_' || CAST(DENSE_RANK() OVER (ORDER BY entity_id) AS VARCHAR) AS anon_entity FROM txn""", "txn"))
 def anonymised(spark, sf):
-    t = FX.txn(spark, sf).select("txn_id", "entity_id")
+    t = SG.stage(spark, sf, "txn").select("txn_id", "entity_id")
     return CL.anonymise(t, "entity_id", "ANON_", out="anon_entity").select("txn_id", "anon_entity")
 
 
@@ -189,7 +190,7 @@ SELECT txn_id,
 FROM (SELECT txn_id, litres, LAG(litres) OVER w AS prev_l, LAG(ts) OVER w AS prev_ts FROM txn
       WINDOW w AS (PARTITION BY entity_id ORDER BY ts, txn_id)) x""", "txn"))
 def rolling_and_diff(spark, sf):
-    return T.with_rolling_and_diff(FX.txn(spark, sf), "litres").select("txn_id", "rolling2_mean", "diff")
+    return T.with_rolling_and_diff(SG.stage(spark, sf, "txn"), "litres").select("txn_id", "rolling2_mean", "diff")
 
 
 def _band_sql(x: str) -> str:
@@ -207,7 +208,7 @@ SELECT txn_id, gap_days, {_band_sql("gap_days")} AS gap_band, monthname(ts) AS m
 FROM (SELECT txn_id, ts, date_sub('day', LAG(ts) OVER (PARTITION BY entity_id ORDER BY ts, txn_id), ts) AS gap_days FROM txn) x""",
                                                                                        "txn"))
 def gap_bands(spark, sf):
-    g = T.with_gap_band(T.with_gap_days(FX.txn(spark, sf)))
+    g = T.with_gap_band(T.with_gap_days(SG.stage(spark, sf, "txn")))
     return g.select("txn_id", "gap_days", "gap_band", X.month_name("ts").alias("month_name"),
                     X.weekday_name("ts").alias("weekday_name"), F.date_format("ts", "yyyy-MM").alias("month_text"))
 
@@ -218,8 +219,8 @@ SELECT r.reg_no, g.avg_gap_days FROM register r LEFT JOIN (
   FROM (SELECT entity_id, date_sub('day', LAG(ts) OVER (PARTITION BY entity_id ORDER BY ts, txn_id), ts) AS gap FROM txn) x
   GROUP BY entity_id) g ON g.entity_id = r.reg_no""", "txn", "register"))
 def avg_gap(spark, sf):
-    g = T.avg_gap_per_entity(FX.txn(spark, sf))
-    r = FX.register(spark, sf).select("reg_no")
+    g = T.avg_gap_per_entity(SG.stage(spark, sf, "txn"))
+    r = SG.stage(spark, sf, "register").select("reg_no")
     return r.join(g, r.reg_no == g.entity_id, "left").select("reg_no", "avg_gap_days")
 
 
@@ -234,7 +235,7 @@ MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y,
         for mo in MONTHS for x in ("amount_cents", "litres")) +
     " FROM (SELECT entity_id, strftime(ts, '%Y-%m') AS mo, amount_cents, litres FROM txn) x GROUP BY entity_id", "txn"))
 def monthly_matrix(spark, sf):
-    t = FX.txn(spark, sf)
+    t = SG.stage(spark, sf, "txn")
     lo, hi = t.agg(F.min("ts"), F.max("ts")).first()  # two scalars: the calendar span
     months, y, m = [], lo.year, lo.month
     while (y, m) <= (hi.year, hi.month):
@@ -251,14 +252,14 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     "SELECT category, " + ", ".join(f"SUM(CASE WHEN department = '{d}' THEN 1 ELSE 0 END) AS \"{d}\"" for d in DEPTS)
     + " FROM txn GROUP BY category", "txn"))
 def contingency(spark, sf):
-    return CL.contingency(FX.txn(spark, sf), "category", "department", DEPTS)
+    return CL.contingency(SG.stage(spark, sf, "txn"), "category", "department", DEPTS)
 
 
 @query("one_hot", covers=("RS-7",), sql=FX.with_views(
     "SELECT txn_id, " + ", ".join(f"CAST(category = '{s}' AS INTEGER) AS \"category_{s}\"" for s in SEGMENTS)
     + " FROM txn", "txn"))
 def one_hot(spark, sf):
-    t = FX.txn(spark, sf).select("txn_id", "category")
+    t = SG.stage(spark, sf, "txn").select("txn_id", "category")
     return CL.one_hot(t, "category", SEGMENTS).drop("category")
 
 
@@ -267,7 +268,7 @@ SELECT 'n_rows' AS variable, CAST(COUNT(*) AS DOUBLE) AS value FROM txn
 UNION ALL SELECT 'total_amount', CAST(SUM(amount_cents) AS DOUBLE) FROM txn
 UNION ALL SELECT 'max_litres', CAST(MAX(litres) AS DOUBLE) FROM txn""", "txn"))
 def record_to_long(spark, sf):
-    t = FX.txn(spark, sf)
+    t = SG.stage(spark, sf, "txn")
     rec = t.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount_cents").alias("total_amount"),
                 F.max("litres").alias("max_litres"))
     return CL.record_to_long(rec)
@@ -291,7 +292,7 @@ SELECT txn_id, 'Cluster ' || CAST(CAST(substr(department, 1, 1) AS INTEGER) - 1
        CASE WHEN fuel_type = 'Petrol' THEN 'P' ELSE fuel_type END AS fuel_code
 FROM txn""", "txn"))
 def cluster_label(spark, sf):
-    t = FX.txn(spark, sf).withColumn("cl", F.substring("department", 1, 1).cast("int") - 1)
+    t = SG.stage(spark, sf, "txn").withColumn("cl", F.substring("department", 1, 1).cast("int") - 1)
     t = CL.cluster_label(t, "cl", out="cluster_name")
     t = CL.with_ordinal(t, "department", DEPTS, out="department_ord")
     t = t.withColumn("fuel_code", F.when(F.col("fuel_type") == "Petrol", F.lit("P")).otherwise(F.col("fuel_type")))
@@ -307,31 +308,31 @@ TXN_COLS = ["txn_id", "entity_id", "ts", "amount_cents", "litres", "category", "
     f"SELECT '{c}' AS \"column\", CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM txn"
     for c in TXN_COLS), "txn"))
 def null_profile(spark, sf):
-    return PF.null_profile(FX.txn(spark, sf))
+    return PF.null_profile(SG.stage(spark, sf, "txn"))
 
 
 @query("distinct_profile", covers=("AG-9",), sql=FX.with_views(" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS n_distinct FROM txn" for c in TXN_COLS), "txn"))
 def distinct_profile(spark, sf):
-    return PF.distinct_profile(FX.txn(spark, sf), TXN_COLS)
+    return PF.distinct_profile(SG.stage(spark, sf, "txn"), TXN_COLS)
 
 
 @query("table_profile", covers=("AG-11",))
 def table_profile(spark, sf):
-    return PF.table_profile(FX.txn(spark, sf))
+    return PF.table_profile(SG.stage(spark, sf, "txn"))
 
 
 @query("value_counts", covers=("AG-1", "AG-2", "AG-3"), sql=FX.with_views("""
 SELECT site, COUNT(*) AS n, COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS share FROM txn WHERE site IS NOT NULL GROUP BY site""",
                                                                           "txn"))
 def value_counts(spark, sf):
-    return PF.value_counts(FX.txn(spark, sf), "site", normalize=True)
+    return PF.value_counts(SG.stage(spark, sf, "txn"), "site", normalize=True)
 
 
 @query("distinct_values", covers=("AG-8",), sql=FX.with_views(
     "SELECT DISTINCT category, department FROM txn WHERE department IS NOT NULL", "txn"))
 def distinct_values(spark, sf):
-    return PF.distinct_per_group(FX.txn(spark, sf), "category", "department")
+    return PF.distinct_per_group(SG.stage(spark, sf, "txn"), "category", "department")
 
 
 @query("entity_summary", covers=("AG-5", "AG-6", "V12"), sql=FX.with_views("""
@@ -343,14 +344,14 @@ SELECT entity_id, MIN(ts) AS min_date, MAX(ts) AS max_date,
        SUM(litres) AS total_litres, CAST(SUM(litres) AS DOUBLE) / COUNT(litres) AS mean_litres
 FROM txn GROUP BY entity_id""", "txn"))
 def entity_summary(spark, sf):
-    return PF.entity_summary(FX.txn(spark, sf), "entity_id", "ts", "txn_id", ["site", "department", "fuel_type"],
+    return PF.entity_summary(SG.stage(spark, sf, "txn"), "entity_id", "ts", "txn_id", ["site", "department", "fuel_type"],
                              ["amount_cents", "litres"])
 
 
 @query("having_count", covers=("AG-16",), sql=FX.with_views(
     "SELECT entity_id, COUNT(*) AS n FROM txn GROUP BY entity_id HAVING COUNT(*) > 15", "txn"))
 def having_count(spark, sf):
-    return PF.having_count(FX.txn(spark, sf), "entity_id", ">", 15)
+    return PF.having_count(SG.stage(spark, sf, "txn"), "entity_id", ">", 15)
 
 
 @query("conditional_stats", covers=("AG-12",), sql=FX.with_views("""
@@ -358,20 +359,20 @@ SELECT COUNT(*) FILTER (WHERE litres > 100) AS n, SUM(amount_cents) FILTER (WHER
        CAST(SUM(amount_cents) FILTER (WHERE litres > 100) AS DOUBLE) / COUNT(*) FILTER (WHERE litres > 100) AS mean FROM txn""",
                                                                                      "txn"))
 def conditional_stats(spark, sf):
-    return PF.conditional_stats(FX.txn(spark, sf), F.col("litres") > 100, "amount_cents")
+    return PF.conditional_stats(SG.stage(spark, sf, "txn"), F.col("litres") > 100, "amount_cents")
 
 
 @query("top_k", covers=("SR-3", "SR-1"), sql=FX.with_views(
     "SELECT txn_id, amount_cents FROM txn ORDER BY amount_cents DESC, txn_id LIMIT 10", "txn"))
 def top_k(spark, sf):
-    return PF.top_k(FX.txn(spark, sf).select("txn_id", "amount_cents"), "amount_cents", 10, ["txn_id"])
+    return PF.top_k(SG.stage(spark, sf, "txn").select("txn_id", "amount_cents"), "amount_cents", 10, ["txn_id"])
 
 
 @query("first_n", covers=("SR-2", "FLT-11"), sql=FX.with_views("""
 SELECT txn_id, ts, amount_cents FROM txn WHERE entity_id = (SELECT MIN(entity_id) FROM txn)
 ORDER BY ts, txn_id LIMIT 5""", "txn"))
 def first_n(spark, sf):
-    t = FX.txn(spark, sf)
+    t = SG.stage(spark, sf, "txn")
     first_entity = t.agg(F.min("entity_id")).first()[0]
     return PF.first_n(t.where(F.col("entity_id") == first_entity).select("txn_id", "ts", "amount_cents"), 5, ["ts", "txn_id"])
 
@@ -380,7 +381,7 @@ def first_n(spark, sf):
 SELECT entity_id FROM (SELECT DISTINCT entity_id FROM txn) d
 ORDER BY md5(CAST(entity_id AS VARCHAR) || '|42'), entity_id LIMIT 20""", "txn"))
 def sample_repeatable(spark, sf):
-    ents = FX.txn(spark, sf).select("entity_id").distinct()
+    ents = SG.stage(spark, sf, "txn").select("entity_id").distinct()
     return PF.repeatable_sample(ents, 20, "entity_id", 42)
 
 
@@ -388,8 +389,8 @@ def sample_repeatable(spark, sf):
 SELECT t.txn_id, 'semi' AS kind FROM txn t WHERE t.entity_id IN (SELECT reg_no FROM register)
 UNION ALL SELECT t.txn_id, 'anti' FROM txn t WHERE t.entity_id NOT IN (SELECT reg_no FROM register)""", "txn", "register"))
 def semi_anti(spark, sf):
-    t = FX.txn(spark, sf).select("txn_id", "entity_id")
-    r = FX.register(spark, sf).select(F.col("reg_no").alias("entity_id"))
+    t = SG.stage(spark, sf, "txn").select("txn_id", "entity_id")
+    r = SG.stage(spark, sf, "register").select(F.col("reg_no").alias("entity_id"))
     return (PF.semi_anti(t, r, "entity_id").select("txn_id", F.lit("semi").alias("kind"))
             .unionByName(PF.semi_anti(t, r, "entity_id", anti=True).select("txn_id", F.lit("anti").alias("kind"))))
 
@@ -398,7 +399,7 @@ def semi_anti(spark, sf):
 SELECT department, regr_slope(amount_cents, litres) AS slope, regr_intercept(amount_cents, litres) AS intercept
 FROM txn GROUP BY department""", "txn"))
 def linear_trend(spark, sf):
-    t = FX.txn(spark, sf)
+    t = SG.stage(spark, sf, "txn")
     return t.groupBy("department").agg(F.regr_slope("amount_cents", "litres").alias("slope"),
                                        F.regr_intercept("amount_cents", "litres").alias("intercept"))
 
@@ -411,7 +412,7 @@ SELECT {trunc_sql("label", 50, True)} AS label, n FROM (
   FROM (SELECT site, COUNT(*) AS n FROM txn WHERE site IS NOT NULL GROUP BY site) v GROUP BY 1) x
 WHERE label <> 'Others' OR n > 0""", "txn"))
 def counts_with_others(spark, sf):
-    return SM.counts_with_others(FX.txn(spark, sf), "site", 600)
+    return SM.counts_with_others(SG.stage(spark, sf, "txn"), "site", 600)
 
 
 @query("top_means_other", covers=("SM-2", "AG-19", "AG-4", "V21"), sql=FX.with_views("""
@@ -423,7 +424,7 @@ g AS (SELECT site, mean, n_obs, ROW_NUMBER() OVER (ORDER BY mean DESC NULLS LAST
       FROM (SELECT site, CAST(SUM(amount_cents) AS DOUBLE) / COUNT(amount_cents) AS mean, COUNT(*) AS n_obs
             FROM txn WHERE site IS NOT NULL GROUP BY site) a)"""]))
 def top_means_other(spark, sf):
-    return SM.top_means_other(FX.txn(spark, sf), "site", "amount_cents", 9)
+    return SM.top_means_other(SG.stage(spark, sf, "txn"), "site", "amount_cents", 9)
 
 
 @query("histogram20", covers=("SM-3",), sql=FX.with_views("""
@@ -436,7 +437,7 @@ LEFT JOIN (SELECT LEAST(CAST(floor((CAST(amount_cents AS DOUBLE) - mm.lo) / ((mm
                   COUNT(*) AS n FROM txn CROSS JOIN mm GROUP BY 1) c ON c.bin = b.bin""", "txn", ctes=["""
 mm AS (SELECT CAST(MIN(amount_cents) AS DOUBLE) AS lo, CAST(MAX(amount_cents) AS DOUBLE) AS hi FROM txn)"""]))
 def histogram20(spark, sf):
-    return SM.histogram(FX.txn(spark, sf), "amount_cents", 20)
+    return SM.histogram(SG.stage(spark, sf, "txn"), "amount_cents", 20)
 
 
 @query("box_stats", covers=("SM-4", "AG-15", "V15"), sql=FX.with_views("""
@@ -452,7 +453,7 @@ q AS (SELECT department, COUNT(*) AS n, quantile_cont(amount_cents, 0.25) AS q1,
              quantile_cont(amount_cents, 0.75) - quantile_cont(amount_cents, 0.25) AS iqr
       FROM txn WHERE department IS NOT NULL AND amount_cents IS NOT NULL GROUP BY department)"""]))
 def box_stats(spark, sf):
-    return SM.box_stats(FX.txn(spark, sf), "department", "amount_cents")
+    return SM.box_stats(SG.stage(spark, sf, "txn"), "department", "amount_cents")
 
 
 @query("top5_lumped", covers=("SM-5",), sql=FX.with_views("""
@@ -460,7 +461,7 @@ SELECT CASE WHEN t5.site IS NOT NULL THEN t.site ELSE 'Other' END AS site_top, C
 FROM txn t LEFT JOIN (SELECT site FROM txn WHERE site IS NOT NULL GROUP BY site ORDER BY COUNT(*) DESC, site LIMIT 5) t5
   ON t5.site = t.site GROUP BY 1""", "txn"))
 def top5_lumped(spark, sf):
-    return SM.lump_top(FX.txn(spark, sf), "site", 5).groupBy("site_top").agg(F.count(F.lit(1)).alias("n"))
+    return SM.lump_top(SG.stage(spark, sf, "txn"), "site", 5).groupBy("site_top").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("proportions", covers=("SM-6", "FN-7", "FN-15", "V16", "D17"), sql=FX.with_views(f"""
@@ -475,7 +476,7 @@ share AS (SELECT c.department, c.site, c.n / CAST(t.t AS DOUBLE) AS p
           JOIN (SELECT department, COUNT(*) AS t FROM d GROUP BY 1) t ON t.department = c.department)""", """
 kept AS (SELECT site FROM share GROUP BY site ORDER BY SUM(p) DESC, site LIMIT 8)"""]))
 def proportions(spark, sf):
-    return SM.proportions(FX.txn(spark, sf), "department", "site", 8, 20)
+    return SM.proportions(SG.stage(spark, sf, "txn"), "department", "site", 8, 20)
 
 
 @query("counts_in_top", covers=("SM-7",), sql=FX.with_views("""
@@ -483,7 +484,7 @@ SELECT site, category, COUNT(*) AS n FROM txn
 WHERE site IN (SELECT site FROM txn WHERE site IS NOT NULL GROUP BY site ORDER BY COUNT(*) DESC, site LIMIT 5)
 GROUP BY site, category""", "txn"))
 def counts_in_top(spark, sf):
-    return SM.counts_in_top(FX.txn(spark, sf), "site", "category", 5)
+    return SM.counts_in_top(SG.stage(spark, sf, "txn"), "site", "category", 5)
 
 
 @query("top_per_group", covers=("SM-10", "WN-5"), sql=FX.with_views("""
@@ -491,14 +492,14 @@ SELECT * FROM (SELECT department, site, n, ROW_NUMBER() OVER (PARTITION BY depar
                FROM (SELECT department, site, COUNT(*) AS n FROM txn WHERE site IS NOT NULL GROUP BY 1, 2) c) x
 WHERE rank <= 3""", "txn"))
 def top_per_group(spark, sf):
-    return SM.top_per_group(FX.txn(spark, sf), "department", "site", 3)
+    return SM.top_per_group(SG.stage(spark, sf, "txn"), "department", "site", 3)
 
 
 @query("cluster_sizes", covers=("SM-9",), sql=FX.with_views("""
 SELECT department, COUNT(*) AS size, COUNT(*) / CAST((SELECT COUNT(*) FROM txn) AS DOUBLE) AS share FROM txn GROUP BY department""",
                                                                                  "txn"))
 def cluster_sizes(spark, sf):
-    return SM.cluster_sizes(FX.txn(spark, sf), "department")
+    return SM.cluster_sizes(SG.stage(spark, sf, "txn"), "department")
 
 
 @query("cluster_profile", covers=("SM-8",), sql=FX.with_views("""
@@ -516,4 +517,4 @@ LEFT JOIN (SELECT department, string_agg(category || ' (' || CAST(n AS VARCHAR)
                  FROM (SELECT department, category, COUNT(*) AS n FROM txn WHERE category IS NOT NULL GROUP BY 1, 2) c) x
            WHERE rank <= 3 GROUP BY department) tc ON tc.department = b.department""", "txn"))
 def cluster_profile(spark, sf):
-    return SM.cluster_profile(FX.txn(spark, sf), "department", ["amount_cents", "litres"], ["site", "category"], 3)
+    return SM.cluster_profile(SG.stage(spark, sf, "txn"), "department", ["amount_cents", "litres"], ["site", "category"], 3)

@@ -105,14 +105,27 @@ def parallel_map(fn, items, parallelism: int = PARALLEL_FITS) -> list:
         return list(ex.map(fn, items))
 
 
+def spark_tol(df: DataFrame, tol: float = 1e-4, features: str = FEATURES) -> float:
+    """The reference's K-means tolerance is relative: the squared centre shift is
+    compared with tol x the mean feature variance. Spark compares each centre's
+    shift with its ``tol``, so the equivalent Spark value is sqrt(tol x mean var)."""
+    arr = df.select(vector_to_array(features).alias("a"))
+    d = len(arr.first()["a"])
+    r = arr.agg(*[F.var_pop(F.col("a")[i]).alias(f"v{i}") for i in range(d)]).first()
+    mean_var = sum(float(r[f"v{i}"] or 0.0) for i in range(d)) / d
+    return max(math.sqrt(tol * mean_var), 1e-12)
+
+
 def kmeans_best(df: DataFrame, k: int, restarts: int = 10, max_iter: int = 300, seed: int = 1,
                 init: str = "k-means||", weight: str | None = None, features: str = FEATURES,
-                parallelism: int = PARALLEL_FITS):
+                parallelism: int = PARALLEL_FITS, tol: float = 1e-4):
     """CL-5: ``restarts`` distributed K-means fits with different seeds (run as
     concurrent jobs); the fit with the lowest within-cluster sum of squares is kept
-    (ties: the lowest seed)."""
+    (ties: the lowest seed). ``tol`` has the reference's relative meaning."""
+    stol = spark_tol(df, tol, features)
+
     def one(r):
-        km = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode=init, featuresCol=features,
+        km = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode=init, featuresCol=features, tol=stol,
                     **({"weightCol": weight} if weight else {}))
         return km.fit(df)
 

@@ -53,10 +53,19 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     raise ValueError(f"unknown stage {name!r}")
 
 
+_NAMESPACE = ["shared"]
+
+
+def use_namespace(ns: str) -> None:
+    """Write and read stages under a separate namespace (e.g. one per bench run, so
+    the run pays for its own data prep)."""
+    _NAMESPACE[0] = ns
+
+
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read stage ``name`` for ``sf_dir``, building and writing it first if needed."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/stages/{_key(sf_dir)}/{name}"
+    path = f"{root}/stages/{_key(sf_dir)}/{_NAMESPACE[0]}/{name}"
     if not _exists(spark, path):
         _build(spark, sf_dir, name).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tankline.plans.registry import query
+from tankline.plans.flag_queries import FLAG_COLS
+from tankline.plans.registry import REGISTRY, query
 from tankline.session import ensure_checkpoint_dir
 from tankline.sources import fixtures as FX
 from tankline.sources import files as FI
@@ -55,3 +56,18 @@ def map_extract(spark, sf):
     FI.write_map_extract(SG.stage(spark, sf, "txn").select("entity_id", "site", "district").distinct(), p,
                          ["entity_id", "site", "district"])
     return FI.read_csv(spark, p, "entity_id bigint, site string, district string")
+
+
+@query("streaming_flags", covers=("HF-5", "streaming"), sql=REGISTRY["flags_all"].sql)
+def streaming_flags(spark, sf):
+    """The priced stage streamed as files through incremental ingestion; the flagged
+    table equals the batch flags of all rows."""
+    from tankline.streaming import incremental_flags
+    import uuid
+    priced = SG.stage(spark, sf, "priced")
+    run = uuid.uuid4().hex[:8]
+    src = _path(spark, sf, f"stream/{run}/src")
+    priced.write.mode("overwrite").parquet(src)
+    out = incremental_flags(spark, src, priced.schema, _path(spark, sf, f"stream/{run}/table"),
+                            _path(spark, sf, f"stream/{run}/flagged"), _path(spark, sf, f"stream/{run}/ckpt"))
+    return out.select(*FLAG_COLS, F.least("number_of_flags", F.lit(2)).alias("flag_class"))

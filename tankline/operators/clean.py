@@ -172,3 +172,17 @@ def record_to_long(df: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     vals = [c for c in df.columns if c not in set(id_cols)]
     casted = df.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in vals])
     return casted.unpivot(list(id_cols), vals, "variable", "value")
+
+
+def attach_coordinates(df: DataFrame, place: str, coords: DataFrame, suffix: str | None = None,
+                       region: str | None = None, prefix: str = "") -> DataFrame:
+    """JN-11: coordinates of a place looked up by its text plus a region suffix
+    ('<place>, <region>'), once per distinct place, then joined back; unknown
+    places get null. ``coords`` has (address, lat, lon)."""
+    addr = F.concat_ws(", ", F.col(place), F.col(region) if region else F.lit(suffix))
+    places = df.select(place, *([region] if region else [])).distinct().withColumn("_addr", addr)
+    found = places.join(coords.select(F.col("address").alias("_addr"), "lat", "lon"), "_addr", "left")
+    keys = [place, *([region] if region else [])]
+    from tankline.operators.joins import attach
+    out = attach(df, found.drop("_addr"), keys, "left")
+    return out.withColumnRenamed("lat", f"{prefix}lat").withColumnRenamed("lon", f"{prefix}lon")

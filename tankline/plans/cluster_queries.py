@@ -254,3 +254,22 @@ def stability_report(spark, sf):
              "feature_impact": ST.feature_impact(d, 3, CL.VEHICLE_FEATURES)}
     path = os.path.join(ensure_checkpoint_dir(spark), "reports", "stability_report")
     return ST.stability_report(path, parts)
+
+
+@query("labels_attached", covers=("JN-7", "JN-6", "AG-14"))
+def labels_attached(spark, sf):
+    """Transaction clusters attached to every transaction by id (rows removed by the
+    fence keep a null label), and vehicle K-means vs Ward labels joined per vehicle."""
+    d = transactions_scaled(spark, sf)
+    lab = CL.kmeans_best(d, 4, restarts=2).transform(d).select(F.col("id").alias("txn_id"),
+                                                               F.col("prediction").alias("cluster"))
+    t = SG.stage(spark, sf, "txn").select("txn_id", "entity_id")
+    full = t.join(lab, "txn_id", "left")
+    v = vehicles_scaled(spark, sf)
+    km = CL.kmeans_best(v, 3, restarts=2).transform(v).select("id", F.col("prediction").alias("kmeans"))
+    ward, _ = CL.hierarchical(v, n_clusters=3)
+    both = km.join(ward.select("id", F.col("prediction").alias("ward")), "id")
+    pairs = both.groupBy("kmeans", "ward").count()
+    per_cluster = full.groupBy("cluster").count().withColumnRenamed("count", "n_txn")
+    return pairs.unionByName(per_cluster.select(F.col("cluster").alias("kmeans"), F.lit(None).cast("int").alias("ward"),
+                                                F.col("n_txn").alias("count")))

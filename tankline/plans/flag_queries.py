@@ -74,7 +74,8 @@ def _with(body: str, *ctes: str) -> str:
     return FX.with_views(body, "txn", "price", ctes=ctes)
 
 
-@query("flags_all", covers=("HF-1", "HF-2", "HF-3", "HF-4", "HF-5", "HF-6", "WN-1", "WN-2", "ML-1", "V1", "V3", "V5"),
+@query("flags_all", covers=("HF-1", "HF-2", "HF-3", "HF-4", "HF-5", "HF-6", "WN-1", "WN-2", "ML-1", "V1", "V3", "V5",
+                            "FN-14", "UD-1", "UD-2"),
        sql=_with("""
 SELECT txn_id, entity_id, avg_category_amount, amount_flag, gap_days, frequency_flag, price_difference,
        price_flag, number_of_flags, LEAST(number_of_flags, 2) AS flag_class

@@ -180,3 +180,19 @@ def evaluation_bundle(spark, sf):
     train, test = _split(spark, sf)
     b = V.evaluation_bundle(M.fit(train, "naive_bayes"), test)
     return b["roc_auc"].join(b["average_precision"], "class")
+
+
+@query("model_roundtrip", covers=("SNK-5",))
+def model_roundtrip(spark, sf):
+    """Fit, save with Spark ML persistence, load, predict: equal predictions."""
+    import uuid
+    from pyspark.ml import PipelineModel
+    from tankline.session import ensure_checkpoint_dir
+    train, test = _split(spark, sf)
+    model = M.fit(train, "naive_bayes")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex[:8]}"
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    a = model.transform(test).select("txn_id", F.col("prediction").alias("p_fitted"))
+    b = loaded.transform(test).select("txn_id", F.col("prediction").alias("p_loaded"))
+    return a.join(b, "txn_id")

@@ -518,3 +518,39 @@ LEFT JOIN (SELECT department, string_agg(category || ' (' || CAST(n AS VARCHAR)
            WHERE rank <= 3 GROUP BY department) tc ON tc.department = b.department""", "txn"))
 def cluster_profile(spark, sf):
     return SM.cluster_profile(SG.stage(spark, sf, "txn"), "department", ["amount_cents", "litres"], ["site", "category"], 3)
+
+
+# ------------------------------------------------------------------ more filters and joins
+
+@query("dropna_variants", covers=("FLT-3", "FLT-9", "FLT-1"), sql=FX.with_views("""
+SELECT txn_id, up FROM (
+  SELECT txn_id, CASE WHEN isnan(u) OR abs(u) = CAST('inf' AS DOUBLE) THEN NULL ELSE u END AS up, litres, amount_cents
+  FROM (SELECT txn_id, litres, amount_cents,
+               CASE WHEN litres IS NULL THEN NULL WHEN litres = 0 THEN CAST('nan' AS DOUBLE)
+                    ELSE amount_cents / litres END AS u FROM txn) a) b
+WHERE up IS NOT NULL AND NOT (litres IS NULL AND amount_cents IS NULL)""", "txn"))
+def dropna_variants(spark, sf):
+    t = SG.stage(spark, sf, "txn").withColumn("up", X.unit_price("amount_cents", "litres"))
+    t = CL.drop_null(t, ["litres", "amount_cents"], how="all")
+    return CL.drop_non_finite(t, ["up"]).select("txn_id", "up")
+
+
+COORDS_SQL = """
+coords AS (SELECT n_name || ', ' || r.r_name AS address, -30.0 - n_nationkey * 0.25 AS lat, 22.0 + n_nationkey * 0.5 AS lon
+           FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE n_nationkey % 7 <> 3)"""
+
+
+@query("coordinates", covers=("JN-11", "SNK-4"), sql=FX.with_views("""
+SELECT t.txn_id, c.lat AS site_lat, c.lon AS site_lon
+FROM txn t LEFT JOIN coords c ON c.address = t.site || ', ' || t.district""", "txn", ctes=[COORDS_SQL]))
+def coordinates(spark, sf):
+    from tankline.sources.tables import table
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
+    coords = (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_nationkey") % 7 != 3)
+              .select(F.concat(F.col("n_name"), F.lit(", "), F.col("r_name")).alias("address"),
+                      (F.lit(-30.0) - F.col("n_nationkey") * F.lit(0.25)).alias("lat"),
+                      (F.lit(22.0) + F.col("n_nationkey") * F.lit(0.5)).alias("lon")))
+    t = SG.stage(spark, sf, "txn")
+    out = CL.attach_coordinates(t, "site", coords, region="district", prefix="site_")
+    return out.select("txn_id", "site_lat", "site_lon")

@@ -99,7 +99,7 @@ def _top_key(per_key: DataFrame, key: str, setting: Sequence[str], prefix: str)
 def threshold_sweep(flag_inputs: DataFrame, c: TxnCols = DEFAULT, mults=MULTIPLIERS, days=DAYS,
                     prices=PRICE_DIFFS, money_scale: float = 100.0) -> DataFrame:
     """HF-8: ten metrics for every (multiplier, days, price) setting."""
-    cells = sweep_cells(flag_inputs, c, mults, days, prices, money_scale)
+    cells = sweep_cells(flag_inputs, c, mults, days, prices, money_scale).persist()  # small; three consumers
     s = (cells.withColumn("s", F.explode(settings_array(mults, days, prices, money_scale)))
          .select("*", "s.*").drop("s"))
     nf = _bit(F.col("amask"), F.col("i")) + _bit(F.col("dmask"), F.col("j")) + _bit(F.col("pmask"), F.col("k"))
@@ -229,8 +229,10 @@ def temporal_validation(priced: DataFrame, c: TxnCols = DEFAULT, mults=VALIDATIO
     w = Window.orderBy("month")  # one row per distinct month: bounded
     trip = months.select(F.col("month").alias("train_month"), F.lead("month", 1).over(w).alias("val_month"),
                          F.lead("month", 2).over(w).alias("test_month")).where(F.col("test_month").isNotNull())
-    mavg = (d.groupBy("month", *keys).agg((F.sum(c.amount).cast("double") / F.count(c.amount)).alias("mavg"))
-            .where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()))
+    # month means need no gap window: aggregate the input directly (one scan, partial aggregation)
+    mavg = (priced.withColumn("month", X.month_start(c.ts))
+            .groupBy("month", *keys).agg((F.sum(c.amount).cast("double") / F.count(c.amount)).alias("mavg"))
+            .where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull())).persist()
     tr = mavg.withColumnRenamed("mavg", "train_avg").withColumnRenamed("month", "train_month")
     va = mavg.withColumnRenamed("mavg", "val_avg").withColumnRenamed("month", "val_month")
     tkeys = ["train_month", "val_month", "test_month"]
@@ -252,7 +254,9 @@ def temporal_validation(priced: DataFrame, c: TxnCols = DEFAULT, mults=VALIDATIO
     r = r.withColumn("_r", F.explode(roles)).select("*", "_r.role", "_r.avg_used").drop("_r")
     m = with_masks(r, c, "avg_used", "gap_days", "price_difference", mults, days, prices, money_scale)
     m = m.withColumn("fmask", setting_mask(mults, days, prices))
-    a = m.groupBy("role", "month", c.entity, "fmask").agg(F.count(F.lit(1)).alias("n"))
+    # the compressed table feeds both the shares and the vehicle sets: written once
+    # (reliable checkpoint), so the upstream pass is not repeated per consumer
+    a = m.groupBy("role", "month", c.entity, "fmask").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     grid = settings_array(mults, days, prices, money_scale)
     setting = ["multiplier", "days_threshold", "price_diff"]
     sidx = (F.col("i") * len(days) + F.col("j")) * len(prices) + F.col("k")

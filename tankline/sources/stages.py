@@ -7,15 +7,17 @@ priced    txn + as-of prices + unit price             (PP-5)
 flagged   priced + the three flags and their count    (HF-6)
 
 A stage is keyed by the input directory and the size and modification time of
-its parquet files, so changed inputs are rebuilt. Writes go to a fresh path
-and are only used after Spark's ``_SUCCESS`` marker exists, so a lost executor
-or an interrupted write never leaves a half table in use.
+its parquet files, so changed inputs are rebuilt. Writes go to a private path
+that is renamed into place when complete, so a lost executor, an interrupted
+write or a concurrent builder never leaves a half table in use.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +36,33 @@ def _key(sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm, fs = _fs(spark, path)
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _write_once(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write to a private path, then rename into place; if another writer got there
+    first, keep theirs. Readers only ever see complete tables."""
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(tmp)
+    jvm, fs = _fs(spark, path)
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+
+
 def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in FX.BUILDERS:
         return FX.BUILDERS[name](spark, sf_dir)
@@ -67,7 +89,11 @@ def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/stages/{_key(sf_dir)}/{_NAMESPACE[0]}/{name}"
     if not _exists(spark, path):
-        _build(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        with _LOCKS_GUARD:
+            lock = _LOCKS.setdefault(path, threading.Lock())
+        with lock:  # one builder per stage in this process; other threads wait and read
+            if not _exists(spark, path):
+                _write_once(spark, _build(spark, sf_dir, name), path)
     return spark.read.parquet(path)
 
 

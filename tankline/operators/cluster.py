@@ -122,17 +122,33 @@ def kmeans_best(df: DataFrame, k: int, restarts: int = 10, max_iter: int = 300,
     """CL-5: ``restarts`` distributed K-means fits with different seeds (run as
     concurrent jobs); the fit with the lowest within-cluster sum of squares is kept
     (ties: the lowest seed). ``tol`` has the reference's relative meaning."""
-    stol = spark_tol(df, tol, features)
+    narrow = fit_input(df, [features, *([weight] if weight else [])])
+    stol = spark_tol(narrow, tol, features)
 
     def one(r):
         km = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode=init, featuresCol=features, tol=stol,
                     **({"weightCol": weight} if weight else {}))
-        return km.fit(df)
+        return km.fit(narrow)
 
     models = parallel_map(one, range(restarts), parallelism)
+    narrow.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
+ROWS_PER_PARTITION = 200_000
+
+
+def fit_input(df: DataFrame, cols) -> DataFrame:
+    """The columns an iterative fit reads, cached once, in about one partition per
+    ``ROWS_PER_PARTITION`` rows (never more partitions than the input has): small
+    inputs stop paying per-task overhead on every iteration, large ones keep
+    their parallelism."""
+    narrow = df.select(*cols)
+    n = narrow.count()
+    parts = max(1, min(narrow.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
+    return narrow.coalesce(parts).persist()
+
+
 def total_ss(df: DataFrame, features: str = FEATURES) -> float:
     """WCSS of one cluster (k = 1): sum of squared distances to the mean."""
     arr = df.select(vector_to_array(features).alias("a"))

@@ -79,8 +79,9 @@ def fuel_type_from_list(df: DataFrame, model_col: str, petrol_models: DataFrame,
                         default: str = "Diesel") -> DataFrame:
     """PRJ-4: class by membership in a list, default otherwise. The list is a
     dimension (one column ``model``) joined by equality (semi-join flag)."""
-    flagged = petrol_models.select(F.col("model").alias("_m")).distinct().withColumn("_petrol", F.lit(True))
-    j = df.join(F.broadcast(flagged), df[model_col] == flagged["_m"], "left")
+    from tankline.operators.joins import checked_broadcast
+    flagged = checked_broadcast(petrol_models.select(F.col("model").alias("_m")).distinct().withColumn("_petrol", F.lit(True)))
+    j = df.join(flagged, df[model_col] == flagged["_m"], "left")
     return j.withColumn(out, F.when(F.col("_petrol"), F.lit("Petrol")).otherwise(F.lit(default))).drop("_m", "_petrol")
 
 
@@ -109,8 +110,9 @@ def site_cleanup(df: DataFrame, col: str = "site", rules=SITE_PREFIX_RULES, name
     c = F.upper(F.coalesce(F.col(col), F.lit("UNKNOWN")))
     out = df.withColumn(col, c)
     if names_map is not None:
-        m = names_map.select(F.col("name").alias("_n"), F.col("representative").alias("_r"))
-        out = out.join(F.broadcast(m), out[col] == m["_n"], "left").withColumn(
+        from tankline.operators.joins import checked_broadcast
+        m = checked_broadcast(names_map.select(F.col("name").alias("_n"), F.col("representative").alias("_r")))
+        out = out.join(m, out[col] == m["_n"], "left").withColumn(
             col, F.coalesce("_r", col)).drop("_n", "_r")
     out = out.withColumn(col, X.title_case(col))
     out = out.withColumn(col, X.prefix_rules(col, rules))

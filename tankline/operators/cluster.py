@@ -353,7 +353,7 @@ def birch(df: DataFrame, n_clusters: int, threshold: float = 0.5, max_leaves: in
     lab = cut_merges(len(rows), merges, n_clusters=n_clusters)
     mp = df.sparkSession.createDataFrame([(leaves[i]["_cell"], lab[i]) for i in range(len(rows))],
                                          f"_cell string, {out} int")
-    res = arr.withColumn("_cell", cell).join(F.broadcast(mp), "_cell").drop("_cell", "_a")
+    res = arr.withColumn("_cell", cell).join(F.broadcast(mp), "_cell").drop("_cell", "_a")  # <= max_leaves rows
     return res, t
 
 

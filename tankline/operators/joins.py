@@ -46,7 +46,9 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
     equi-join on ``(by, bucket)`` with the range as a residual condition. Left
     rows after the last right row map to the last bucket, where the open
     interval lives. Works for a broadcastable price sheet and for a large
-    right side alike (then as a sort-merge join).
+    right side alike (then as a sort-merge join). Without ``by`` keys the right
+    side is one sequence (a price sheet: one row per effective date), so its
+    ``lead`` runs over that sheet only.
     """
     by = list(by)
     r = right.withColumnRenamed(right_ts, "_rt")
@@ -64,7 +66,7 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
         F.col("_rt_next").cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND"),
         F.col("_rt_max").cast("timestamp")))
     step = F.expr(f"INTERVAL 1 {bucket.upper()}")
-    r = r.join(F.broadcast(last), by, "inner") if by else r.withColumn("_rt_max", F.lit(rt_max))
+    r = r.join(checked_broadcast(last, max_rows), by, "inner") if by else r.withColumn("_rt_max", F.lit(rt_max))
     r = (r.where(F.col("_rt_next").isNull() | (F.col("_rt_next") > F.col("_rt")))
          .withColumn("_bk", F.explode(F.sequence(first_b.cast("timestamp"), end_b.cast("timestamp"), step)))
          .withColumn("_last_bk", F.date_trunc(bucket, F.col("_rt_max").cast("timestamp")).cast("timestamp")))
@@ -72,7 +74,7 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
     lk = F.date_trunc(bucket, F.col(left_ts).cast("timestamp")).cast("timestamp")
     if by:
         clamp = r.select(*by, "_last_bk").distinct()
-        lt = left.join(F.broadcast(clamp), by, "left")
+        lt = left.join(checked_broadcast(clamp, max_rows), by, "left")
     else:
         lt = left.withColumn("_last_bk", F.date_trunc(bucket, F.lit(rt_max).cast("timestamp")).cast("timestamp"))
     lt = lt.withColumn("_bk", F.least(lk, F.col("_last_bk"))).drop("_last_bk")

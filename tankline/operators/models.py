@@ -122,7 +122,8 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str = LABEL) -> DataF
                     F.count(F.lit(1)).alias("K")).first()  # three scalars
         m, N, K = tot["m"], tot["N"], tot["K"]
         ssb = g.agg(F.sum(F.col("n") * (F.col("mc") - F.lit(m)) * (F.col("mc") - F.lit(m))).alias("ssb"))
-        ssw = d.join(F.broadcast(g), label).agg(F.sum((F.col("x") - F.col("mc")) * (F.col("x") - F.col("mc"))).alias("ssw"))
+        ssw = d.join(F.broadcast(g), label).agg(  # one row per class
+            F.sum((F.col("x") - F.col("mc")) * (F.col("x") - F.col("mc"))).alias("ssw"))
         # reported to 6 decimals: the last digits depend on summation order
         fstat = F.round((F.col("ssb") / F.lit(float(K - 1))) / (F.col("ssw") / F.lit(float(N - K))), 6)
         both = ssb.select("ssb", F.lit(None).cast("double").alias("ssw")).unionByName(

@@ -50,7 +50,7 @@ def cumulative_by_key(df: DataFrame, key: str, cols: list[str], descending: bool
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     w = Window.partitionBy("_pid").orderBy(order).rowsBetween(*frame)
     d = d.select(key, *cols, "_pid", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_w_{c}") for c in cols])
-    d = d.join(F.broadcast(offs), "_pid")
+    d = d.join(F.broadcast(offs), "_pid")  # one row per partition
     return d.select(key, *cols, *[(F.col(f"_o_{c}") + F.col(f"_w_{c}")).alias(f"cum_{c}") for c in cols])
 
 

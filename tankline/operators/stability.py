@@ -208,7 +208,7 @@ def linkage_grid(df: DataFrame, ks=(2, 3, 4, 5), linkages=("ward", "complete", "
             lab = CL.cut_merges(len(rows), merges, n_clusters=k)
             mp = df.sparkSession.createDataFrame([(rows[i][0], lab[i]) for i in range(len(rows))],
                                                  "micro int, prediction int")
-            p = assigned.join(F.broadcast(mp), "micro")
+            p = assigned.join(F.broadcast(mp), "micro")  # one row per micro-cluster: bounded
             if len(set(lab.values())) < 2:
                 continue
             out.append((int(k), lk, mt, CL.silhouette(p)))

@@ -98,6 +98,12 @@ def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, sf_dir: str, names=("txn", "price", "meter", "priced", "flagged")) -> None:
-    """Write every stage (the data-prep step)."""
+    """Write every stage (the data-prep step). Independent views are written as
+    concurrent Spark jobs; derived stages follow their inputs."""
+    from concurrent.futures import ThreadPoolExecutor
+    base = [n for n in names if n in FX.BUILDERS]
+    with ThreadPoolExecutor(max_workers=max(1, len(base))) as ex:
+        list(ex.map(lambda n: stage(spark, sf_dir, n), base))
     for n in names:
-        stage(spark, sf_dir, n)
+        if n not in FX.BUILDERS:
+            stage(spark, sf_dir, n)

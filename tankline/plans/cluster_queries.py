@@ -92,7 +92,7 @@ def kmeans_transactions(spark, sf):
 
 @query("elbow", covers=("CL-6",))
 def elbow(spark, sf):
-    return CL.elbow(vehicles_scaled(spark, sf), range(1, 11), restarts=2)
+    return CL.elbow(vehicles_scaled(spark, sf), range(1, 11), restarts=3)
 
 
 @query("elbow_choice", covers=("CL-7", "WN-9"))
@@ -204,7 +204,7 @@ def cooccurrence(spark, sf):
 
 @query("bootstrap_centroids", covers=("CL-17", "SR-6", "D16"))
 def bootstrap_centroids(spark, sf):
-    return ST.bootstrap_centroids(vehicles_scaled(spark, sf), 3, n_boot=10, feature_names=CL.VEHICLE_FEATURES)
+    return ST.bootstrap_centroids(vehicles_scaled(spark, sf), 3, n_boot=20, feature_names=CL.VEHICLE_FEATURES)
 
 
 @query("bootstrap_cooccurrence", covers=("CL-18", "SR-6"))

@@ -51,3 +51,21 @@ def test_whole_days_not_calendar_days(spark):
     df = spark.createDataFrame([("2021-01-01 23:00:00", "2021-01-02 01:00:00")], "a string, b string")
     d = df.select(X.whole_days_between(F.to_timestamp("a"), F.to_timestamp("b")).alias("d")).first().d
     assert d == 0
+
+
+def test_title_case_property(spark):
+    """Random ASCII text: the Spark expression equals Python's str.title."""
+    from hypothesis import given, settings, strategies as st
+
+    alphabet = st.sampled_from(list("abcXYZ019 '-_.,/&"))
+    samples = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(alphabet=alphabet, max_size=20))
+    def collect(s):
+        samples.append(s)
+
+    collect()
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", X.title_case("s").alias("t")).collect()}
+    assert all(got[i] == s.title() for i, s in enumerate(samples))

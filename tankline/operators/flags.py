@@ -101,7 +101,9 @@ def apply_flags(df: DataFrame, c: TxnCols = DEFAULT, multiplier: float = DEFAULT
                 money_scale: float = 100.0, bucket: str = "day") -> DataFrame:
     """HF-5 / HF-6: all three flags and their count on priced transactions
     (output of ``temporal.enrich_prices``)."""
-    d = with_amount_flag(df, c, multiplier)
+    # the gap first: its per-bucket summary then reads only the scan, not the mean join
+    d = df if "gap_days" in df.columns else with_gap_days(df, c, bucket=bucket)
+    d = with_amount_flag(d, c, multiplier)
     d = with_frequency_flag(d, c, days_threshold, bucket)
     d = with_price_flag(d, c, price_threshold, money_scale)
     return with_flag_count(d)

@@ -26,8 +26,12 @@ from tankline.sources import fixtures as FX
 from tankline.sources.tables import TABLES
 
 
+# Bumped whenever a stage's definition changes, so older stage tables are not reused.
+STAGE_VERSION = "2"
+
+
 def _key(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir)]
+    parts = [STAGE_VERSION, os.path.abspath(sf_dir)]
     for t in TABLES:
         p = os.path.join(sf_dir, f"{t}.parquet")
         if os.path.exists(p):

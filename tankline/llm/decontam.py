@@ -110,3 +110,10 @@ def covered(hits: Column) -> Column:
         F.greatest(a["end"], x["start"] + x["size"]).alias("end"),
         (a["n"] + F.greatest(x["start"] + x["size"] - F.greatest(a["end"], x["start"]), F.lit(0))).alias("n")),
         lambda a: a["n"])
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents (known by id) in which a window of an item occurs."""
+    bad = find(docs, items, id_col, text_col, **how).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
+    b = checked_broadcast(bad)
+    return docs.join(b, docs[id_col].eqNullSafe(b["_bad"]), "left_anti")

@@ -111,29 +111,39 @@ def fit_llr(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets:
 
 def judge(docs: DataFrame, llr: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           min_llr: float = MIN_LLR) -> DataFrame:
-    """One row per input row: id, text (as it came), n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score (mean log ratio) and kept. ``llr`` comes from ``fit_llr``."""
+    """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, score (mean log ratio), kept and ``row``, the input row as a struct. ``llr``
+    comes from ``fit_llr``."""
+    text = F.col("row").getField(text_col)
     # the model is a scalar: every task gets the one array, texts stay where they are
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), tokens(F.col(text_col)).alias("w"),
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tokens(F.col(text_col)).alias("w"),
                     llr.scalar().alias("m"))
-    d = d.select("id", "t", "w", "m", _pairs(F.col("w")).alias("pairs"))
-    stats = text_statistics(F.col("t"), F.col("w"))
+    d = d.select("row", "w", "m", _pairs(F.col("w")).alias("pairs"))
+    stats = text_statistics(text, F.col("w"))
     llr_sum = F.aggregate(F.concat(F.transform("w", lambda x: F.xxhash64(x)), "pairs"), F.lit(0.0),
                           lambda a, h: a + F.get("m", F.pmod(h, F.size("m")).cast("int")))
-    d = d.select("id", "t", *[c.alias(k) for k, c in stats.items()], llr_sum.alias("llr_sum"),
+    d = d.select("row", *[c.alias(k) for k, c in stats.items()], llr_sum.alias("llr_sum"),
                  window_hashes(F.col("pairs"), F.size("w")).alias("heads"))
     d = with_repeated_words(d, "heads", "n_repeat_words")
     n = F.col("n_words")
     grams = F.when(n > 0, 2 * n - 1)
-    d = d.select(F.col("id").alias(id_col), F.col("t").alias(text_col), "n_words", "word_chars", "n_symbols",
-                 "n_dup_lines", "n_repeat_words",
+    d = d.select(F.col("row").getField(id_col).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  ((n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
-                 F.coalesce(F.col("llr_sum") / grams, F.lit(0.0)).alias("score"))
+                 F.coalesce(F.col("llr_sum") / grams, F.lit(0.0)).alias("score"), "row")
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_llr))
 
 
-def trusted_flag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """``docs`` with a boolean ``_trusted``: labelled, and good in every label row."""
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The kept input rows. An exploded empty array drops a row like a filter would, but isn't
+    pushed below the statistics, where every one of them would be computed again."""
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+
+
+def trusted_flag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 quality_col: str = "quality") -> DataFrame:
+    """Id and text of ``docs`` with a boolean ``_trusted``: labelled, and good in every label row."""
     good = (labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.coalesce(quality_col, F.lit(0))).alias("_q"))
             .where(F.col("_q") == 1).select(F.col(id_col), F.lit(True).alias("_trusted")))
-    return docs.join(checked_broadcast(good), id_col, "left")
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col))
+    good = good.withColumnRenamed(id_col, "_good")
+    return known.join(checked_broadcast(good), F.col("_id") == F.col("_good"), "left").drop("_good").withColumnRenamed("_id", id_col)

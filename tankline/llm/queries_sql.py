@@ -91,3 +91,25 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
+
+_ESC = r"regexp_replace(t, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|ROLE |/ROLE\])', '\1\2\\\3', 'g')"
+OP4 = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length({_ESC}) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 6 ELSE 16 + length(role) END))::BIGINT AS formatted_chars,
+  0 AS n_rewrites
+FROM c GROUP BY conv_id
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT h, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p LEFT JOIN r USING (h)
+"""

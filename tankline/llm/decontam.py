@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import indices, with_row_id, words
+from tankline.llm.common import indices, packed, with_row_id, words
 from tankline.operators.joins import checked_broadcast
 
 WINDOW = 10
@@ -115,5 +115,4 @@ def covered(hits: Column) -> Column:
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents (known by id) in which a window of an item occurs."""
     bad = find(docs, items, id_col, text_col, **how).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    b = checked_broadcast(bad)
-    return docs.join(b, docs[id_col].eqNullSafe(b["_bad"]), "left_anti")
+    return packed(docs, i=id_col).join(checked_broadcast(bad), F.col("i").eqNullSafe(F.col("_bad")), "left_anti").select("row.*")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import LOWER, UPPER, WORD
+from tankline.llm.common import LOWER, UPPER, WORD, packed
 from tankline.llm.components import components
 from tankline.operators.joins import checked_broadcast
 from tankline.session import ensure_checkpoint_dir
@@ -274,8 +274,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     both id and text count as one."""
     c = classes(docs, id_col, text_col, **how)
     keep = c.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    own = [f"`{x}`" for x in docs.columns]
-    k = checked_broadcast(keep)
-    d = docs.join(k, docs[id_col].eqNullSafe(k["_k"]))
-    once = d.where("_n = 1").select(*own)
-    return once.unionByName(d.where("_n > 1").select(*own).dropDuplicates([id_col, text_col]))
+    d = packed(docs, i=id_col, t=text_col).join(checked_broadcast(keep), F.col("i").eqNullSafe(F.col("_k")))
+    return d.where("_n = 1").unionByName(d.where("_n > 1").dropDuplicates(["i", "t"])).select("row.*")

@@ -6,8 +6,8 @@ text's lines; their mean, weighted by line length, is calibrated into the score.
 
 Learning uses at most ``max_docs`` labelled documents (those with the smallest hash
 of their id), of which only line features reach the driver. Lines first take their
-document's label; lines of bad documents that the first model is sure are good are
-relabelled, and the model is fitted again.
+document's label; lines of bad documents that look good by their own features alone
+are relabelled, and the CRF is fitted to that.
 
 Defined cases: null, empty and blank texts have no line and score 0; repeated rows
 are scored one by one; conflicting labels of a document are not learned from; without
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tankline.llm import crf
 
-MAX_DOCS = 6000
+MAX_DOCS = 2000
 SYMBOLS = "#*$%&<>{}=~^_\\@"
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _DIGIT = re.compile(r"[0-9]")
@@ -111,20 +111,21 @@ def fit_arrays(x: np.ndarray, size: np.ndarray, lengths: np.ndarray, quality: np
     of_doc = quality[doc].astype(int)
     if len(x) == 0 or of_doc.min() == of_doc.max():
         return LineModel(np.zeros(x.shape[1] + 1), np.zeros((2, 2)), np.zeros(2), 0.0, 0.0)
-    gold = of_doc.copy()
-    model = None
-    for _ in range(2):
+
+    def learn(x: np.ndarray, gold: np.ndarray, lengths: np.ndarray) -> LineModel:
         def emission(th):
             e = np.zeros((len(x), 2))
             e[:, 1] = x @ th[:-1] + th[-1]
             return e
 
-        th, trans, start = crf.fit(emission, lambda d: np.append(x.T @ d[:, 1], d[:, 1].sum()), np.zeros(x.shape[1] + 1), 2,
-                                   gold, lengths)
-        model = LineModel(th, trans, start, 0.0, 0.0)
-        # by its own features alone: a line of a bad document may be good
-        alone = model.emission(x)[:, 1]
-        gold = np.where((of_doc == 0) & (alone > 2.0), 1, of_doc)
+        return LineModel(*crf.fit(emission, lambda d: np.append(x.T @ d[:, 1], d[:, 1].sum()), np.zeros(x.shape[1] + 1), 2,
+                                  gold, lengths, l2=1e-5, steps=200, rate=0.2), 0.0, 0.0)
+
+    # by its own features alone (chains of one line) a line of a bad document may look good
+    own = x[:, :N_FEATURES]
+    single = learn(own, of_doc, np.ones(len(x), int))
+    looks = single.line_marginals(own, np.ones(len(x), int))
+    model = learn(x, np.where((of_doc == 0) & (looks > 0.5), 1, of_doc), lengths)
     has = lengths > 0
     mean = weighted_mean(model.line_marginals(x, lengths), size, lengths)
     model.slope, model.shift = _calibrate(mean[has], quality[has])

@@ -21,12 +21,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankline.operators.joins import attach
+from tankline.operators import kmeans_many as KM
+from tankline.operators.joins import checked_broadcast
 from tankline.operators.temporal import entity_efficiency
 from tankline.schema import DEFAULT, TxnCols
 
 FEATURES = "features"
-MAX_MICRO = 2000  # bound on micro-clusters merged on the driver
+MAX_MICRO = 2000  # largest ``micro`` of the linkage summaries (merged on the driver)
 
 
 # ------------------------------------------------------------------ features
@@ -105,74 +106,24 @@ def parallel_map(fn, items, parallelism: int = PARALLEL_FITS) -> list:
         return list(ex.map(fn, items))
 
 
-def spark_tol(df: DataFrame, tol: float = 1e-4, features: str = FEATURES) -> float:
-    """The reference's K-means tolerance is relative: the squared centre shift is
-    compared with tol x the mean feature variance. Spark compares each centre's
-    shift with its ``tol``, so the equivalent Spark value is sqrt(tol x mean var)."""
-    arr = df.select(vector_to_array(features).alias("a"))
-    d = len(arr.first()["a"])
-    r = arr.agg(*[F.var_pop(F.col("a")[i]).alias(f"v{i}") for i in range(d)]).first()
-    mean_var = sum(float(r[f"v{i}"] or 0.0) for i in range(d)) / d
-    return max(math.sqrt(tol * mean_var), 1e-12)
-
-
 def kmeans_best(df: DataFrame, k: int, restarts: int = 10, max_iter: int = 300, seed: int = 1,
-                init: str = "k-means||", weight: str | None = None, features: str = FEATURES,
-                parallelism: int = PARALLEL_FITS, tol: float = 1e-4):
-    """CL-5: ``restarts`` distributed K-means fits with different seeds (run as
-    concurrent jobs); the fit with the lowest within-cluster sum of squares is kept
-    (ties: the lowest seed). ``tol`` has the reference's relative meaning."""
-    narrow = fit_input(df, [features, *([weight] if weight else [])])
-    stol = spark_tol(narrow, tol, features)
-
-    def one(r):
-        km = KMeans(k=k, maxIter=max_iter, seed=seed + r, initMode=init, featuresCol=features, tol=stol,
-                    **({"weightCol": weight} if weight else {}))
-        return km.fit(narrow)
+                init: str = "k-means++", features: str = FEATURES, tol: float = 1e-4) -> KM.Centers:
+    """CL-5: ``restarts`` K-means fits with different seeds, fitted side by side; the fit
+    with the lowest within-cluster sum of squares is kept (ties: the lowest seed)."""
+    fits = [KM.Fit(k, seed + r, init, max_iter) for r in range(restarts)]
+    return KM.best(KM.fit_many(KM.narrow(df, features), fits, tol))
 
-    models = parallel_map(one, range(restarts), parallelism)
-    narrow.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
 
-
-ROWS_PER_PARTITION = 200_000
-
-
-def fit_input(df: DataFrame, cols) -> DataFrame:
-    """The columns an iterative fit reads, cached once, in about one partition per
-    ``ROWS_PER_PARTITION`` rows (never more partitions than the input has): small
-    inputs stop paying per-task overhead on every iteration, large ones keep
-    their parallelism."""
-    narrow = df.select(*cols)
-    n = narrow.count()
-    parts = max(1, min(narrow.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
-    return narrow.coalesce(parts).persist()
-
-
-def total_ss(df: DataFrame, features: str = FEATURES) -> float:
-    """WCSS of one cluster (k = 1): sum of squared distances to the mean."""
-    arr = df.select(vector_to_array(features).alias("a"))
-    d = len(arr.first()["a"])
-    aggs = []
-    for i in range(d):
-        x = F.col("a")[i]
-        aggs += [F.sum(x * x).alias(f"q{i}"), F.sum(x).alias(f"s{i}")]
-    r = arr.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    n = r["n"]
-    return float(sum(r[f"q{i}"] - r[f"s{i}"] ** 2 / n for i in range(d)))
+def best_per_k(df: DataFrame, ks: Sequence[int], restarts: int = 10, max_iter: int = 300, seed: int = 1) -> dict[int, KM.Centers]:
+    """The best of ``restarts`` fits for every k; all fits share each pass over the rows."""
+    models = KM.fit_many(KM.narrow(df), [KM.Fit(k, seed + r, max_iter=max_iter) for k in ks for r in range(restarts)])
+    return {k: KM.best(models[i * restarts : (i + 1) * restarts]) for i, k in enumerate(ks)}
 
 
 def elbow(df: DataFrame, ks: Sequence[int] = range(1, 11), restarts: int = 10, max_iter: int = 300,
           seed: int = 1) -> DataFrame:
-    """CL-6: WCSS for each k (k = 1 by aggregate; others by the best of restarts)."""
-    d = df.select(FEATURES).cache()
-
-    def one(k):
-        w = total_ss(d) if k == 1 else kmeans_best(d, k, restarts, max_iter, seed, parallelism=1).summary.trainingCost
-        return (int(k), float(w))
-
-    rows = parallel_map(one, ks)
-    d.unpersist()
+    """CL-6: WCSS of the best of ``restarts`` fits for each k."""
+    rows = [(int(k), float(m.cost)) for k, m in best_per_k(df, list(ks), restarts, max_iter, seed).items()]
     return df.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
@@ -196,13 +147,10 @@ def silhouette(pred: DataFrame, prediction: str = "prediction", features: str =
     return float(ev.evaluate(pred))
 
 
-def silhouette_by_k(df: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 1) -> DataFrame:
+def silhouette_by_k(df: DataFrame, ks: Sequence[int] = range(2, 11), restarts: int = 10, seed: int = 1) -> DataFrame:
     """CL-8: silhouette per k for the best-of-restarts K-means; the max is marked."""
-    def one(k):
-        m = kmeans_best(df, k, restarts=3, seed=seed, parallelism=1)
-        return (int(k), silhouette(m.transform(df)))
-
-    rows = parallel_map(one, ks)
+    models = best_per_k(df, list(ks), restarts, seed=seed)
+    rows = parallel_map(lambda k: (int(k), silhouette(models[k].transform(df))), models)
     best = max(rows, key=lambda t: (t[1], -t[0]))[0]
     return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
 
@@ -329,32 +277,22 @@ def hierarchical(df: DataFrame, n_clusters: int | None = None, height: float | N
     return labelled, mt
 
 
-def birch(df: DataFrame, n_clusters: int, threshold: float = 0.5, max_leaves: int = MAX_MICRO,
-          out: str = "prediction", features: str = FEATURES):
-    """CL-12: clustering features (n, linear sum, square sum) of grid cells of side
-    ``threshold`` -- one distributed aggregation -- then Ward merging of the leaf
-    centroids to ``n_clusters``. When there are more leaves than ``max_leaves`` the
-    threshold doubles and the leaves are rebuilt (as BIRCH does when its tree
-    outgrows memory). Rows get their leaf's cluster."""
+def birch(df: DataFrame, n_clusters: int, threshold: float = 0.5, out: str = "prediction", features: str = FEATURES,
+          restarts: int = 10, seed: int = 1) -> DataFrame:
+    """CL-12: clustering features (n, linear sum) of grid cells of side ``threshold`` -- one
+    distributed aggregation, as many cells as the data fill -- then the global phase: K-means
+    over the cell centroids, weighted by their counts. Rows get their cell's cluster."""
     arr = df.withColumn("_a", vector_to_array(features))
-    d = len(arr.first()["_a"])
-    t = threshold
-    while True:
-        cell = F.concat_ws(",", *[F.floor(F.col("_a")[i] / F.lit(t)).cast("string") for i in range(d)])
-        cf = arr.groupBy(cell.alias("_cell")).agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_a")[i]).alias(f"ls{i}") for i in range(d)],
-            F.sum(sum(F.col("_a")[i] * F.col("_a")[i] for i in range(d))).alias("ss"))
-        if cf.limit(max_leaves + 1).count() <= max_leaves:
-            break
-        t *= 2
-    leaves = cf.collect()  # bounded by max_leaves
-    rows = [(i, int(r["n"]), np.array([r[f"ls{j}"] / r["n"] for j in range(d)])) for i, r in enumerate(leaves)]
-    merges = linkage(rows, "ward")
-    lab = cut_merges(len(rows), merges, n_clusters=n_clusters)
-    mp = df.sparkSession.createDataFrame([(leaves[i]["_cell"], lab[i]) for i in range(len(rows))],
-                                         f"_cell string, {out} int")
-    res = arr.withColumn("_cell", cell).join(F.broadcast(mp), "_cell").drop("_cell", "_a")  # <= max_leaves rows
-    return res, t
+    cell = F.transform("_a", lambda x: F.floor(x / F.lit(threshold)))
+    first = arr.select(F.size("_a").alias("d")).first()
+    d = first["d"] if first else 0
+    arr = arr.withColumn("_cell", cell)
+    cf = arr.groupBy("_cell").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(F.col("_a")[i]).alias(f"c{i}") for i in range(d)])
+    cf = cf.select("_cell", "n", array_to_vector(F.array(*[f"c{i}" for i in range(d)])).alias("_c")).checkpoint(eager=True)
+    fits = [KM.Fit(n_clusters, seed + r, weight=0) for r in range(restarts)]
+    model = KM.best(KM.fit_many(KM.narrow(cf, "_c", weights=F.array("n")), fits))
+    labels = model.transform(cf, "_c", out).select("_cell", out)
+    return arr.join(checked_broadcast(labels), "_cell").drop("_cell", "_a")
 
 
 # ------------------------------------------------------------------ mixtures

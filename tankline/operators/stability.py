@@ -14,11 +14,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tankline.operators import cluster as CL
+from tankline.operators import kmeans_many as KM
 
 # Poisson(1) cumulative probabilities P(X <= j), j = 0..11, from the rule e^-1 sum 1/i!.
 POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(12)]
@@ -64,13 +65,20 @@ def poisson_weight(key: Column, replicate: Column, seed: int) -> Column:
     return sum((u > F.lit(p)).cast("int") for p in POISSON1_CDF)
 
 
-def bootstrap_fits(df: DataFrame, k: int, n_boot: int = 100, key: str = "id", seed: int = 1, restarts: int = 1):
-    """SR-6 + CL-5: one weighted K-means fit per replicate; returns the models."""
-    def one(r):
-        d = df.withColumn("_w", poisson_weight(F.col(key), F.lit(r), seed).cast("double")).where(F.col("_w") > 0)
-        return CL.kmeans_best(d, k, restarts=restarts, seed=seed + r, weight="_w", parallelism=1)
+def bootstrap_weights(n_boot: int, key: str = "id", seed: int = 1) -> Column:
+    """SR-6: the weights of a row in every replicate, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)),
+                       lambda r: poisson_weight(F.col(key), r, seed).cast("tinyint"))
 
-    return CL.parallel_map(one, range(n_boot))
+
+def bootstrap_fits(df: DataFrame, k: int, n_boot: int = 100, key: str = "id", seed: int = 1, restarts: int = 10):
+    """SR-6 + CL-5: per replicate the best of ``restarts`` weighted K-means fits, all fitted
+    side by side; returns (base fit, fits of the replicates)."""
+    w = F.concat(F.array(F.lit(1).cast("tinyint")), bootstrap_weights(n_boot, key, seed))
+    fits = [KM.Fit(k, seed + 1000 * r + i, weight=r) for r in range(n_boot + 1) for i in range(restarts)]
+    models = KM.fit_many(KM.narrow(df, weights=w), fits)
+    each = [KM.best(models[r * restarts : (r + 1) * restarts]) for r in range(n_boot + 1)]
+    return each[0], each[1:]
 
 
 def _match(base: np.ndarray, other: np.ndarray) -> list[int]:
@@ -90,12 +98,13 @@ def _match(base: np.ndarray, other: np.ndarray) -> list[int]:
 
 
 def bootstrap_centroids(df: DataFrame, k: int = 3, n_boot: int = 100, key: str = "id", seed: int = 1,
-                        feature_names: Sequence[str] | None = None) -> DataFrame:
+                        feature_names: Sequence[str] | None = None, restarts: int = 10) -> DataFrame:
     """CL-17: mean, std and coefficient of variation of every centroid coordinate over
     bootstrap replicates, after matching each replicate's centres to the base fit."""
-    base = np.array(CL.kmeans_best(df, k, restarts=1, seed=seed).clusterCenters())
+    first, reps = bootstrap_fits(df, k, n_boot, key, seed, restarts)
+    base = np.array(first.clusterCenters())
     cents = []
-    for m in bootstrap_fits(df, k, n_boot, key, seed):
+    for m in reps:
         c = np.array(m.clusterCenters())
         if len(c) == k:
             cents.append(c[_match(base, c)])
@@ -126,65 +135,88 @@ def cooccurrence_stability(base_labels: DataFrame, rep_labels: DataFrame, key: s
                       .otherwise(F.col("together") / F.col("pairs")).alias("stability"))
 
 
-def bootstrap_cooccurrence(df: DataFrame, k: int = 3, n_boot: int = 100, key: str = "id", seed: int = 1) -> DataFrame:
+def bootstrap_cooccurrence(df: DataFrame, k: int = 3, n_boot: int = 100, key: str = "id", seed: int = 1,
+                           restarts: int = 10) -> DataFrame:
     """CL-18 end to end: base K-means labels, replicate fits, replicate labels with
     their Poisson weights (exploded once over replicates), then the group-sum form."""
-    base_model = CL.kmeans_best(df, k, restarts=1, seed=seed)
-    base = base_model.transform(df).select(key, F.col("prediction").alias("base"))
-    reps = None
-    for r, m in enumerate(bootstrap_fits(df, k, n_boot, key, seed)):
-        lab = (m.transform(df).select(key, F.col("prediction").alias("label"))
-               .withColumn("w", poisson_weight(F.col(key), F.lit(r), seed).cast("double"))
-               .where(F.col("w") > 0).withColumn("replicate", F.lit(r)))
-        reps = lab if reps is None else reps.unionByName(lab)
-    return cooccurrence_stability(base, reps, key)
-
-
-def feature_impact(df: DataFrame, k: int, names: Sequence[str], key: str = "id", seed: int = 1) -> DataFrame:
-    """CL-21: refit without each feature (``VectorSlicer``); impact = 1 - ARI against
-    the labels of the full-feature fit."""
-    base = CL.kmeans_best(df, k, restarts=1, seed=seed).transform(df).select(key, F.col("prediction").alias("full"))
-    rows = None
+    base_model, reps = bootstrap_fits(df, k, n_boot, key, seed, restarts)
+    lab = df.select(key, KM.labels_of([base_model, *reps], F.col(CL.FEATURES)).alias("_l"),
+                    bootstrap_weights(n_boot, key, seed).alias("_w"))
+    base = lab.select(key, F.col("_l")[0].alias("base"))
+    both = F.arrays_zip(F.slice("_l", 2, n_boot).alias("label"), F.col("_w").alias("w"))
+    long = lab.select(key, F.posexplode(both).alias("replicate", "z")).select(
+        key, "replicate", F.col("z.label").alias("label"), F.col("z.w").cast("double").alias("w")).where("w > 0")
+    return cooccurrence_stability(base, long, key)
+
+
+def feature_impact(df: DataFrame, k: int, names: Sequence[str], key: str = "id", seed: int = 1, restarts: int = 10) -> DataFrame:
+    """CL-21: refit without each feature; impact = 1 - ARI against the labels of the
+    full-feature fit. All fits share the passes."""
+    dims = [tuple(range(len(names))), *[tuple(j for j in range(len(names)) if j != i) for i in range(len(names))]]
+    models = KM.fit_many(KM.narrow(df), [KM.Fit(k, seed + r, dims=x) for x in dims for r in range(restarts)])
+    each = [KM.best(models[i * restarts : (i + 1) * restarts]) for i in range(len(dims))]
+    lab = df.select(key, KM.labels_of(each, F.col(CL.FEATURES)).alias("_l"))
+    lab = lab.select(*[F.col("_l")[i].alias(f"l{i}") for i in range(len(dims))]).cache()
+    out = None
     for i, nm in enumerate(names):
-        keep = [j for j in range(len(names)) if j != i]
-        sl = VectorSlicer(inputCol=CL.FEATURES, outputCol="_sub", indices=keep).transform(df)
-        m = CL.kmeans_best(sl, k, restarts=1, seed=seed, features="_sub")
-        lab = m.transform(sl).select(key, F.col("prediction").alias("drop"))
-        a = ari(base.join(lab, key), "full", "drop").select(F.lit(nm).alias("feature"), (F.lit(1.0) - F.col("ari")).alias("impact"))
-        rows = a if rows is None else rows.unionByName(a)
-    return rows
+        a = ari(lab, "l0", f"l{i + 1}").select(F.lit(nm).alias("feature"), (F.lit(1.0) - F.col("ari")).alias("impact"))
+        out = a if out is None else out.unionByName(a)
+    return out
 
 
-def temporal_stability(df: DataFrame, ts: str, k: int = 4, min_rows: int = 1000, key: str = "id", seed: int = 1) -> DataFrame:
+def temporal_stability(df: DataFrame, ts: str, k: int = 4, min_rows: int = 1000, key: str = "id", seed: int = 1,
+                       restarts: int = 10) -> DataFrame:
     """CL-22: for consecutive months with more than ``min_rows`` rows (AG-16, at least
     three needed), the month-t model applied to month t+1 against a refit on t+1:
-    ARI per month pair. All rows of each month are used (no sampling)."""
+    ARI per month pair. All months are fitted side by side, and one pass over the rows
+    counts the (previous label, own label) pairs of every month."""
     m = df.withColumn("_m", F.date_format(F.col(ts), "yyyy-MM"))
     months = [r[0] for r in m.groupBy("_m").count().where(F.col("count") > min_rows).orderBy("_m").collect()]
-    rows = []
+    schema = "month string, next_month string, ari double"
     if len(months) < 3:
-        return df.sparkSession.createDataFrame([], "month string, next_month string, ari double")
-    models = {mo: CL.kmeans_best(m.where(F.col("_m") == mo), k, restarts=1, seed=seed) for mo in months}
+        return df.sparkSession.createDataFrame([], schema)
+    d = KM.narrow(m.where(F.col("_m").isin(months)), group=F.col("_m"))
+    fits = [KM.Fit(k, seed + r, group=mo) for mo in months for r in range(restarts)]
+    models = KM.fit_many(d, fits)
+    each = [KM.best(models[i * restarts : (i + 1) * restarts]) for i in range(len(months))]
+    lab = KM.labels_of(each, array_to_vector("a"))
+    at = F.array_position(F.array(*map(F.lit, months)), F.col("g")).cast("int")
+    pairs = (d.select("g", at.alias("i"), lab.alias("l")).where("i > 1")
+             .groupBy("g", F.get("l", F.col("i") - 2).alias("prev"), F.get("l", F.col("i") - 1).alias("refit")).count().collect())
+    rows = []
     for a, b in zip(months[:-1], months[1:]):
-        nb = m.where(F.col("_m") == b)
-        x = models[a].transform(nb).select(key, F.col("prediction").alias("prev"))
-        y = models[b].transform(nb).select(key, F.col("prediction").alias("refit"))
-        rows.append((a, b, float(ari(x.join(y, key), "prev", "refit").first()["ari"])))
-    return df.sparkSession.createDataFrame(rows, "month string, next_month string, ari double")
+        t = np.zeros((k, k))
+        for r in pairs:  # k x k counts per month
+            if r["g"] == b:
+                t[r["prev"], r["refit"]] = r["count"]
+        rows.append((a, b, ari_of_table(t)))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def ari_of_table(t: np.ndarray) -> float:
+    """Adjusted Rand index of a contingency table."""
+    c2 = lambda x: float((x * (x - 1) / 2).sum())
+    same, a, b = c2(t), c2(t.sum(axis=1)), c2(t.sum(axis=0))
+    n = float(t.sum())
+    expected, most = a * b / (n * (n - 1) / 2), (a + b) / 2
+    return 1.0 if most == expected else (same - expected) / (most - expected)
 
 
-def kmeans_grid(df: DataFrame, ks=(2, 3, 4, 5), inits=("k-means||", "random"), restarts=(10, 20),
+def kmeans_grid(df: DataFrame, ks=(2, 3, 4, 5), inits=("k-means++", "random"), restarts=(10, 20),
                 iters=(200, 300, 500), seed: int = 1) -> DataFrame:
-    """CL-23: silhouette and WCSS for every (k, init, restarts, iterations)."""
+    """CL-23: silhouette and WCSS for every (k, init, restarts, iterations). Settings share
+    fits: 10 restarts are the first 10 of 20."""
     d = df.select(CL.FEATURES).cache()
+    shared = [KM.Fit(k, seed + r, init, it) for k in ks for init in inits for it in iters for r in range(max(restarts))]
+    fitted = dict(zip(shared, KM.fit_many(KM.narrow(d), shared)))
 
     def one(setting):
         k, init, r, it = setting
-        m = CL.kmeans_best(d, k, restarts=r, max_iter=it, seed=seed, init=init, parallelism=1)
+        m = KM.best([fitted[KM.Fit(k, seed + i, init, it)] for i in range(r)])
         p = m.transform(d)
         if p.select("prediction").distinct().limit(2).count() < 2:
             return None
-        return (int(k), init, int(r), int(it), CL.silhouette(p), float(m.summary.trainingCost))
+        return (int(k), init, int(r), int(it), CL.silhouette(p), float(m.cost))
 
     rows = [r for r in CL.parallel_map(one, itertools.product(ks, inits, restarts, iters)) if r is not None]
     d.unpersist()
@@ -226,11 +258,11 @@ def silhouette_by_algorithm(df: DataFrame, k: int = 3, seed: int = 1) -> DataFra
     """CL-27: silhouette of K-means, Ward (micro-clusters), BIRCH and the Gaussian
     mixture at the same k; the best is marked."""
     rows = []
-    km = CL.kmeans_best(df, k, restarts=1, seed=seed).transform(df)
+    km = CL.kmeans_best(df, k, seed=seed).transform(df)
     rows.append(("KMeans", CL.silhouette(km)))
     ward, _ = CL.hierarchical(df, n_clusters=k, seed=seed)
     rows.append(("Agglomerative", CL.silhouette(ward)))
-    b, _ = CL.birch(df, k)
+    b = CL.birch(df, k)
     rows.append(("Birch", CL.silhouette(b)))
     g = CL.gmm(df, k, seed).transform(df)
     rows.append(("GaussianMixture", CL.silhouette(g)))

@@ -87,22 +87,22 @@ def kmeans_vehicles(spark, sf):
 @query("kmeans_transactions", covers=("CL-5", "CL-3"))
 def kmeans_transactions(spark, sf):
     d = transactions_scaled(spark, sf)
-    return CL.kmeans_best(d, 4, restarts=3).transform(d).select("id", F.col("prediction").alias("cluster"))
+    return CL.kmeans_best(d, 4).transform(d).select("id", F.col("prediction").alias("cluster"))
 
 
 @query("elbow", covers=("CL-6",))
 def elbow(spark, sf):
-    return CL.elbow(vehicles_scaled(spark, sf), range(1, 11), restarts=3)
+    return CL.elbow(vehicles_scaled(spark, sf), range(1, 11))
 
 
 @query("elbow_choice", covers=("CL-7", "WN-9"))
 def elbow_choice(spark, sf):
-    return CL.elbow_choice(CL.elbow(vehicles_scaled(spark, sf), range(1, 11), restarts=2), default=3)
+    return CL.elbow_choice(CL.elbow(vehicles_scaled(spark, sf), range(1, 11)), default=3)
 
 
 @query("silhouette_by_k", covers=("CL-8",))
 def silhouette_by_k(spark, sf):
-    return CL.silhouette_by_k(vehicles_scaled(spark, sf), range(2, 7))
+    return CL.silhouette_by_k(vehicles_scaled(spark, sf))
 
 
 @query("ward_merges", covers=("CL-9", "CL-10"))
@@ -126,7 +126,7 @@ def ward_cut_height(spark, sf):
 
 @query("birch", covers=("CL-12",))
 def birch(spark, sf):
-    lab, _ = CL.birch(transactions_scaled(spark, sf), 4, threshold=0.5)
+    lab = CL.birch(transactions_scaled(spark, sf), 4, threshold=0.5)
     return lab.select("id", F.col("prediction").alias("cluster"))
 
 
@@ -138,7 +138,7 @@ def gmm_transactions(spark, sf):
 
 @query("mixture_grid", covers=("CL-14",))
 def mixture_grid(spark, sf):
-    return CL.mixture_grid(transactions_scaled(spark, sf), ks=(3, 4), covs=("full", "tied", "diag", "spherical"))
+    return CL.mixture_grid(transactions_scaled(spark, sf), ks=(3, 4, 5, 6))
 
 
 # ------------------------------------------------------------------ agreement on given labels (SQL)
@@ -204,12 +204,12 @@ def cooccurrence(spark, sf):
 
 @query("bootstrap_centroids", covers=("CL-17", "SR-6", "D16"))
 def bootstrap_centroids(spark, sf):
-    return ST.bootstrap_centroids(vehicles_scaled(spark, sf), 3, n_boot=20, feature_names=CL.VEHICLE_FEATURES)
+    return ST.bootstrap_centroids(vehicles_scaled(spark, sf), 3, feature_names=CL.VEHICLE_FEATURES)
 
 
 @query("bootstrap_cooccurrence", covers=("CL-18", "SR-6"))
 def bootstrap_cooccurrence(spark, sf):
-    return ST.bootstrap_cooccurrence(vehicles_scaled(spark, sf), 3, n_boot=5)
+    return ST.bootstrap_cooccurrence(vehicles_scaled(spark, sf), 3)
 
 
 @query("feature_impact", covers=("CL-21",))
@@ -222,13 +222,12 @@ def temporal_cluster_stability(spark, sf):
     priced = SG.stage(spark, sf, "priced")
     feats = CL.transaction_features(priced).withColumnRenamed("txn_id", "id")
     d = CL.standardize(feats, CL.TXN_FEATURES)
-    return ST.temporal_stability(d, "ts", k=4, min_rows=1000)
+    return ST.temporal_stability(d, "ts", k=4, min_rows=100)  # months hold about 200 rows at the smallest check scale
 
 
 @query("kmeans_grid", covers=("CL-23",))
 def kmeans_grid(spark, sf):
-    return ST.kmeans_grid(vehicles_scaled(spark, sf), ks=(2, 3, 4, 5), inits=("k-means||", "random"),
-                          restarts=(1,), iters=(200, 300))
+    return ST.kmeans_grid(vehicles_scaled(spark, sf))
 
 
 @query("linkage_grid", covers=("CL-24",))
@@ -238,8 +237,7 @@ def linkage_grid(spark, sf):
 
 @query("best_kmeans_settings", covers=("CL-25", "SR-4"))
 def best_kmeans_settings(spark, sf):
-    return ST.best_settings(ST.kmeans_grid(vehicles_scaled(spark, sf), ks=(2, 3, 4), inits=("k-means||",),
-                                           restarts=(1,), iters=(300,)))
+    return ST.best_settings(ST.kmeans_grid(vehicles_scaled(spark, sf)))
 
 
 @query("silhouette_by_algorithm", covers=("CL-27", "CL-8"))
@@ -250,7 +248,7 @@ def silhouette_by_algorithm(spark, sf):
 @query("stability_report", covers=("CL-26", "SNK-2"))
 def stability_report(spark, sf):
     d = vehicles_scaled(spark, sf)
-    parts = {"centroids": ST.bootstrap_centroids(d, 3, n_boot=3, feature_names=CL.VEHICLE_FEATURES),
+    parts = {"centroids": ST.bootstrap_centroids(d, 3, feature_names=CL.VEHICLE_FEATURES),
              "feature_impact": ST.feature_impact(d, 3, CL.VEHICLE_FEATURES)}
     path = os.path.join(ensure_checkpoint_dir(spark), "reports", "stability_report")
     return ST.stability_report(path, parts)
@@ -261,12 +259,12 @@ def labels_attached(spark, sf):
     """Transaction clusters attached to every transaction by id (rows removed by the
     fence keep a null label), and vehicle K-means vs Ward labels joined per vehicle."""
     d = transactions_scaled(spark, sf)
-    lab = CL.kmeans_best(d, 4, restarts=2).transform(d).select(F.col("id").alias("txn_id"),
+    lab = CL.kmeans_best(d, 4).transform(d).select(F.col("id").alias("txn_id"),
                                                                F.col("prediction").alias("cluster"))
     t = SG.stage(spark, sf, "txn").select("txn_id", "entity_id")
     full = t.join(lab, "txn_id", "left")
     v = vehicles_scaled(spark, sf)
-    km = CL.kmeans_best(v, 3, restarts=2).transform(v).select("id", F.col("prediction").alias("kmeans"))
+    km = CL.kmeans_best(v, 3).transform(v).select("id", F.col("prediction").alias("kmeans"))
     ward, _ = CL.hierarchical(v, n_clusters=3)
     both = km.join(ward.select("id", F.col("prediction").alias("ward")), "id")
     pairs = both.groupBy("kmeans", "ward").count()

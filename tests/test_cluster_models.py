@@ -53,7 +53,7 @@ def test_ward_birch_gmm_on_blobs(spark):
     lab, merges = CL.hierarchical(d, n_clusters=3, micro=30)
     assert ST.ari(lab, "truth", "prediction").first().ari > 0.95
     assert merges.count() == 29
-    b, _ = CL.birch(d, 3, threshold=0.5)
+    b = CL.birch(d, 3, threshold=0.5)
     assert ST.ari(b, "truth", "prediction").first().ari > 0.95
     g = CL.gmm(d, 3).transform(d)
     assert ST.ari(g, "truth", "prediction").first().ari > 0.95

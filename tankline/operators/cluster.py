@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tankline.operators import kmeans_many as KM
 from tankline.operators.joins import checked_broadcast
+from tankline.operators.ranking import exact_quantiles
 from tankline.operators.temporal import entity_efficiency
 from tankline.schema import DEFAULT, TxnCols
 
@@ -74,8 +75,10 @@ def fence_filter(df: DataFrame, cols: Sequence[str], fenced: Sequence[str], lo_q
     (interpolated, V15) quantiles."""
     d = df.dropna(subset=list(cols))
     for c in fenced:
-        q = d.agg(F.percentile(F.col(c).cast("double"), F.array(F.lit(lo_q), F.lit(hi_q))).alias("q")).first()["q"]
-        lo, hi = q[0], q[1]
+        q = exact_quantiles(d, c, [lo_q, hi_q])
+        if q is None:
+            return d
+        lo, hi = q
         iqr = hi - lo
         d = d.where((F.col(c) >= F.lit(lo - k * iqr)) & (F.col(c) <= F.lit(hi + k * iqr)))
     return d

@@ -56,11 +56,13 @@ def group_mean(df: DataFrame, keys: Sequence[str], amount: str, out: str = "avg_
 
 
 def with_amount_flag(df: DataFrame, c: TxnCols = DEFAULT, multiplier: float = DEFAULT_MULTIPLIER,
-                     keys: Sequence[str] | None = None) -> DataFrame:
-    """HF-1 (+ WN-2): ``avg_category_amount`` and ``amount_flag``."""
+                     keys: Sequence[str] | None = None, of: DataFrame | None = None) -> DataFrame:
+    """HF-1 (+ WN-2): ``avg_category_amount`` and ``amount_flag``. The mean is that of ``of``
+    (default: the rows themselves): a caller that has shuffled the rows passes what they
+    were read from, so the aggregate reads a pruned scan."""
     df = with_month_name(df, c)
     keys = list(keys or group_keys(c))
-    avg = group_mean(df, keys, c.amount)
+    avg = group_mean(with_month_name(df if of is None else of, c), keys, c.amount)
     out = attach(df, avg, keys, "left")
     return out.withColumn("amount_flag", X.flag(F.col(c.amount) > F.col("avg_category_amount") * F.lit(multiplier)))
 
@@ -101,9 +103,9 @@ def apply_flags(df: DataFrame, c: TxnCols = DEFAULT, multiplier: float = DEFAULT
                 money_scale: float = 100.0, bucket: str = "day") -> DataFrame:
     """HF-5 / HF-6: all three flags and their count on priced transactions
     (output of ``temporal.enrich_prices``)."""
-    # the gap first: its per-bucket summary then reads only the scan, not the mean join
+    # the gap first, then the mean of the incoming rows: neither reads the other's exchange
     d = df if "gap_days" in df.columns else with_gap_days(df, c, bucket=bucket)
-    d = with_amount_flag(d, c, multiplier)
+    d = with_amount_flag(d, c, multiplier, of=df)
     d = with_frequency_flag(d, c, days_threshold, bucket)
     d = with_price_flag(d, c, price_threshold, money_scale)
     return with_flag_count(d)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol, Param, Params
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -23,6 +23,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tankline.operators.cluster import parallel_map
 from tankline.operators.joins import attach
 from tankline.operators.ranking import rank_within_group
 from tankline.schema import DEFAULT, TxnCols
@@ -232,24 +233,52 @@ def estimator(kind: str, features: str = FEATURES, weight: str | None = "weight"
     raise ValueError(kind)
 
 
-def n_features(df: DataFrame, stages: list) -> int:
-    """Width of the assembled feature vector (needed for the perceptron's input layer)."""
-    m = Pipeline(stages=stages).fit(df.limit(1000))
-    return len(m.transform(df.limit(1)).first()[FEATURES])
-
-
 def fit(train: DataFrame, kind: str, select_k: int | None = None, seed: int = 1, **params) -> PipelineModel:
-    """Preprocess (+ optional ANOVA selection) + classifier as one ``Pipeline``."""
+    """Preprocess (+ optional ANOVA selection), then the classifier. The preprocessing is
+    fitted once on all training rows; the perceptron's input width is that of its vectors."""
     stages = preprocessing()
     feats = FEATURES
     if select_k:
         stages.append(with_selector(select_k))
         feats = "selected"
+    prep = Pipeline(stages=stages).fit(train)
+    x = prep.transform(train)
     if kind == "mlp" and "layers" not in params:
-        width = select_k or n_features(train, preprocessing())
-        params["layers"] = [width, 100, 50, 3]
-    stages.append(estimator(kind, feats, weight="weight" if "weight" in train.columns else None, seed=seed, **params))
-    return Pipeline(stages=stages).fit(train)
+        params["layers"] = [vector_width(x, feats), 100, 50, 3]
+    model = estimator(kind, feats, weight="weight" if "weight" in train.columns else None, seed=seed, **params).fit(x)
+    return PipelineModel(stages=[*prep.stages, model])
+
+
+def vector_width(df: DataFrame, col: str) -> int:
+    """Slots of a vector column: its metadata, or else the one width of all its rows."""
+    meta = df.schema[col].metadata.get("ml_attr", {})
+    if "num_attrs" in meta:
+        return int(meta["num_attrs"])
+    if "attrs" in meta:
+        return sum(len(v) for v in meta["attrs"].values())
+    from pyspark.ml.functions import vector_to_array
+    return int(df.agg(F.max(F.size(vector_to_array(col)))).first()[0])
+
+
+class MacroF1(Evaluator):
+    """Unweighted mean of the per-class F1 (classes seen as label or prediction)."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        n = {(r[0], r[1]): r[2] for r in dataset.groupBy(LABEL, "prediction").count().collect()}  # classes squared
+        classes = sorted({c for pair in n for c in pair})
+        total = 0.0
+        for c in classes:
+            hit = n.get((c, c), 0)
+            both = sum(v for (y, _), v in n.items() if y == c) + sum(v for (_, p), v in n.items() if p == c)
+            total += 2 * hit / both if both else 0.0
+        return total / max(1, len(classes))
+
+    def isLargerBetter(self) -> bool:  # noqa: N802  as pyspark.ml names it
+        return True
+
+
+def evaluator(metric: str) -> Evaluator:
+    return MacroF1() if metric == "macro_f1" else MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
 
 
 def accuracy_f1(pred: DataFrame) -> dict:
@@ -259,7 +288,7 @@ def accuracy_f1(pred: DataFrame) -> dict:
 
 # ------------------------------------------------------------- model selection
 
-def grid_search(train: DataFrame, kind: str, grid: dict, folds: int = 3, seed: int = 1, parallelism: int = 4,
+def grid_search(train: DataFrame, kind: str, grid: dict, folds: int = 3, seed: int = 1, parallelism: int = 8,
                 metric: str = "accuracy") -> tuple[PipelineModel, DataFrame]:
     """ML-16: ``CrossValidator`` over the grid with stratified folds (ML-6) as
     ``foldCol``; returns the refit best pipeline (D15: refit on all rows) and a
@@ -276,7 +305,7 @@ def grid_search(train: DataFrame, kind: str, grid: dict, folds: int = 3, seed: i
 
 
 def random_search(train: DataFrame, kind: str, space: dict, n_iter: int = 50, folds: int = 5, seed: int = 1,
-                  parallelism: int = 4, metric: str = "f1") -> tuple[PipelineModel, DataFrame]:
+                  parallelism: int = 8, metric: str = "macro_f1") -> tuple[PipelineModel, DataFrame]:
     """ML-17: seeded draws from the space (lists are sampled uniformly, (lo, hi)
     int/float tuples uniformly in range) evaluated by ``CrossValidator``."""
     rng = random.Random(seed)
@@ -303,17 +332,37 @@ def _cross_validate(train, est, maps, folds, seed, parallelism, metric):
     d = stratified_folds(train, "txn_id", folds, seed=seed)
     prep = Pipeline(stages=preprocessing()).fit(d)
     x = prep.transform(d).select("txn_id", LABEL, FEATURES, "fold", *(["weight"] if "weight" in d.columns else []))
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator(metric), foldCol="fold", numFolds=folds,
                         parallelism=parallelism, seed=seed)
     cvm = cv.fit(x)
     spark = train.sparkSession
-    rows = [(i, str({p.name: v for p, v in m.items()}), float(s)) for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]
-    trials = spark.createDataFrame(rows, "candidate int, params string, mean_score double")
+
+    def settings(m) -> dict:
+        out = {}
+        for p, v in m.items():
+            out.update({q.name: v.getOrDefault(q) for q in v.params if v.isSet(q)} if p.name == "classifier" else {p.name: v})
+        return out
+
+    each = [settings(m) for m in maps]
+    names = sorted({k for s in each for k in s if len({str(o.get(k)) for o in each}) > 1} or {k for s in each for k in s})
+    kinds = {n: "double" if all(isinstance(s.get(n), (int, float)) for s in each) else "string" for n in names}
+    rows = [(i, *[float(s[n]) if kinds[n] == "double" else str(s.get(n)) for n in names], float(v))
+            for i, (s, v) in enumerate(zip(each, cvm.avgMetrics))]
+    trials = spark.createDataFrame(rows, "candidate int, " + "".join(f"`{n}` {kinds[n]}, " for n in names) + "mean_score double")
     best = PipelineModel(stages=[*prep.stages, cvm.bestModel])
     return best, trials
 
 
+def parameter_influence(trials: DataFrame, params: Sequence[str], score: str = "mean_score") -> DataFrame:
+    """ML-18: per parameter value the number of trials and their mean and best score, with the
+    slope of the linear trend of the score over the parameter (null where it doesn't vary)."""
+    long = trials.unpivot([score], list(params), "param", "value")
+    line = long.groupBy("param").agg((F.covar_pop("value", score) / F.nullif(F.var_pop("value"), F.lit(0.0))).alias("slope"))
+    per = long.groupBy("param", "value").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.max(score).alias("best_score"))
+    return attach(per, line, "param", "inner").select(
+        "param", "value", "n", F.round("mean_score", 9).alias("mean_score"), "best_score", F.round("slope", 9).alias("slope"))
+
+
 # ------------------------------------------------------------- diagnostics
 
 def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
@@ -349,11 +398,15 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
                            seed: int = 1, metric: str = "accuracy") -> DataFrame:
     """ML-25: drop in the metric when one input column is shuffled, mean and std
     over repeats."""
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
-    base = ev.evaluate(model.transform(test))
+    test = test.cache()
+    base = evaluator(metric).evaluate(model.transform(test))
+    runs = [(f, r) for f in features for r in range(repeats)]
+    got = dict(zip(runs, parallel_map(lambda x: base - evaluator(metric).evaluate(
+        model.transform(permute_column(test, x[0], "txn_id", seed + x[1]))), runs, 8)))
+    test.unpersist()
     rows = []
     for f in features:
-        drops = [base - ev.evaluate(model.transform(permute_column(test, f, "txn_id", seed + r))) for r in range(repeats)]
+        drops = [got[f, r] for r in range(repeats)]
         m = sum(drops) / len(drops)
         sd = (sum((x - m) ** 2 for x in drops) / len(drops)) ** 0.5
         rows.append((f, m, sd))

@@ -7,6 +7,7 @@ followed by work on the small result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,13 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def distinct_profile(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """AG-9: distinct count per column (exact, or HyperLogLog++ with ``approx``)."""
-    f = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    wide = df.agg(*[f(c).alias(c) for c in cols])
-    return wide.unpivot([], list(cols), "column", "n_distinct")
+    """AG-9: distinct count per column (exact, or HyperLogLog++ with ``approx``). Exact counts
+    are one aggregate per column: several in one would expand every row once per column."""
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).unpivot([], list(cols), "column", "n_distinct")
+    parts = [df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+             .select(F.lit(c).alias("column"), "n_distinct") for c in cols]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distinct_per_group(df: DataFrame, key: str, col: str) -> DataFrame:

@@ -8,6 +8,8 @@ the rank is offset + position inside the partition.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +77,48 @@ def rank_within_group(df: DataFrame, group: str, order: str, out: str = "rank")
     j = attach(d, pg, ["_pid", group], "inner")  # one row per (partition, group): size-checked
     return j.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + F.lit(1)).drop(
         "_pid", "_mid", "_first", "_off")
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float] | None:
+    """Interpolated quantiles (V15) of the non-null, non-NaN values: counts per value, running
+    counts over range partitions, then the two order statistics around each position. No
+    task holds more than its range of values. None for no values."""
+    x = F.col(col).cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = cumulative_by_key(counts, "_x", ["_n"])
+    n = cum.agg(F.max("cum__n").alias("n")).first()["n"]
+    if not n:
+        return None
+    at = [q * (n - 1) for q in qs]
+    want = sorted({i for p in at for i in (math.floor(p), math.ceil(p))})
+    got = cum.agg(*[F.min(F.when(F.col("cum__n") > i, F.col("_x"))).alias(str(i)) for i in want]).first()
+    return [got[str(math.floor(p))] + (got[str(math.ceil(p))] - got[str(math.floor(p))]) * (p - math.floor(p)) for p in at]
+
+
+def exact_quantiles_by(df: DataFrame, group: str, col: str, qs: list[float]) -> DataFrame:
+    """(group, n, q: array of quantiles): ``exact_quantiles`` for every group at once. Values
+    are ranked over (group, value) ranges, so a hot group spans many tasks; a group's own
+    ranks are the running counts less those of the groups before it."""
+    x = F.col(col).cast("double")
+    d = df.where(F.col(group).isNotNull() & x.isNotNull() & ~F.isnan(x))
+    counts = d.groupBy(F.struct(F.col(group).alias("g"), x.alias("x")).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = cumulative_by_key(counts, "_k", ["_n"])
+    size = cum.groupBy(F.col("_k.g").alias("g")).agg(F.sum("_n").alias("n"), F.max("cum__n").alias("top"))
+    size = size.select("g", "n", (F.col("top") - F.col("n")).alias("before"))
+    from tankline.operators.joins import attach
+    c = attach(cum.select(F.col("_k.g").alias("g"), F.col("_k.x").alias("x"), "cum__n"), size, "g", "inner")
+    rank = F.col("cum__n") - F.col("before")
+
+    def stat(i):  # the value with the 0-based rank i in its group
+        return F.min(F.when(rank > i, F.col("x")))
+
+    aggs = []
+    for j, q in enumerate(qs):
+        p = F.lit(q) * (F.col("n") - 1)
+        aggs += [stat(F.floor(p)).alias(f"l{j}"), stat(F.ceil(p)).alias(f"h{j}")]
+    out = c.groupBy("g", "n").agg(*aggs)
+    qv = []
+    for j, q in enumerate(qs):
+        p = F.lit(q) * (F.col("n") - 1)
+        qv.append(F.col(f"l{j}") + (F.col(f"h{j}") - F.col(f"l{j}")) * (p - F.floor(p)))
+    return out.select(F.col("g").alias(group), "n", F.array(*qv).alias("q"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tankline.functions import expr as X
 from tankline.operators.joins import attach
+from tankline.operators.ranking import exact_quantiles_by
 
 OTHERS = "Others"
 OTHER = "Other"
@@ -64,20 +65,13 @@ def histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def box_stats(df: DataFrame, cat: str, x: str, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, cat: str, x: str) -> DataFrame:
     """SM-4: per category quartiles (linear interpolation, V15), IQR, whiskers at the
-    most extreme values within 1.5 IQR of the box, outlier count.
-
-    ``percentile`` keeps a value -> count map per group, so its memory follows the
-    number of distinct values, not rows; ``exact=False`` uses ``percentile_approx``
-    for unbounded value domains."""
+    most extreme values within 1.5 IQR of the box, outlier count. The quartiles come from
+    ranks over (category, value) ranges, so no reducer holds a category's values."""
     d = df.where(F.col(cat).isNotNull() & F.col(x).isNotNull())
-    if exact:
-        q = F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        q = F.percentile_approx(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).cast("array<double>")
-    qs = d.groupBy(cat).agg(q.alias("_q"), F.count(F.lit(1)).alias("n"))
-    qs = qs.select(cat, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    qs = exact_quantiles_by(d, cat, x, [0.25, 0.5, 0.75])
+    qs = qs.select(cat, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = attach(d, qs, cat, "inner")
     lo_f = F.col("q1") - F.lit(1.5) * F.col("iqr")

@@ -66,16 +66,33 @@ def learning_curve(df: DataFrame, kind: str, sizes: Sequence[float] = tuple(i /
     d = M.stratified_folds(df, "txn_id", k, seed=seed)
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("txn_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
     d = d.withColumn("_u", h.cast("double") / F.lit(float(16 ** 8))).cache()
-    rows = []
-    for f in range(k):
-        train_all, test = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-        for size in sizes:
-            tr = train_all.where(F.col("_u") < F.lit(size))
-            model = M.fit(tr, kind, seed=seed, **params)
-            rows.append({"fold": f, "train_fraction": float(size), "n_train": tr.count(),
-                         "train_macro_f1": run_metrics(model.transform(tr))["macro_f1"],
-                         "test_macro_f1": run_metrics(model.transform(test))["macro_f1"]})
-    return _frame(df.sparkSession, rows)
+
+    def one(run):
+        f, size = run
+        tr = d.where((F.col("fold") != f) & (F.col("_u") < F.lit(size)))
+        model = M.fit(tr, kind, seed=seed, **params)
+        ev = M.MacroF1()
+        return (f, float(size), tr.count(), ev.evaluate(model.transform(tr)), ev.evaluate(model.transform(d.where(F.col("fold") == f))))
+
+    rows = M.parallel_map(one, [(f, s) for f in range(k) for s in sizes], 8)
+    d.unpersist()
+    return df.sparkSession.createDataFrame(rows, "fold int, train_fraction double, n_train long, train_macro_f1 double, test_macro_f1 double")
+
+
+def learning_summary(curve: DataFrame) -> DataFrame:
+    """ML-28: mean and population std over the folds, per training size."""
+    return curve.groupBy("train_fraction").agg(
+        F.avg("n_train").alias("mean_n_train"), *[f(c).alias(f"{n}_{c}") for c in ("train_macro_f1", "test_macro_f1")
+                                                  for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def bundle_table(parts: dict[str, DataFrame]) -> DataFrame:
+    """The tables of ``evaluation_bundle`` as one: (part, row as JSON), a row per row."""
+    out = None
+    for name, df in parts.items():
+        rows = df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def robustness(df: DataFrame, kind: str, levels: Sequence[float] = (0.05, 0.1, 0.2), seed: int = 1, **params) -> DataFrame:

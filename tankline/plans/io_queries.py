@@ -14,7 +14,7 @@ from tankline.sources import stages as SG
 
 
 def _path(spark, sf, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{SG._key(sf)}/{SG._NAMESPACE[0]}/{name}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{SG._key(spark, sf)}/{SG._NAMESPACE[0]}/{name}"
 
 
 PRODUCT_COLS = {"coastal_petrol_cents": "95 LRP (c/l)", "coastal_diesel_cents": "Diesel 0.05% (c/l) ",
@@ -45,7 +45,7 @@ def csv_roundtrip(spark, sf):
 @query("register_semicolon", covers=("SRC-2", "SNK-3"), sql=FX.with_views("SELECT * FROM register", "register"))
 def register_semicolon(spark, sf):
     p = _path(spark, sf, "register_csv")
-    SG.stage(spark, sf, "register").coalesce(1).write.mode("overwrite").option("header", True).option("sep", ";").csv(p)
+    SG.stage(spark, sf, "register").write.mode("overwrite").option("header", True).option("sep", ";").csv(p)
     return FI.read_csv(spark, p, "reg_no bigint, old_reg bigint, site string, district string, source string", sep=";")
 
 

@@ -6,7 +6,7 @@ one in. ``get_spark`` is a convenience for scripts, tests and the bench.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,11 +26,15 @@ BASE_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "tankline", extra: dict | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    """A session for scripts. Master, memory and the number of shuffle partitions are the
+    submitter's business: they are only set when the caller (tests, bench) gives them."""
+    builder = SparkSession.builder.appName(app_name)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf.setdefault("spark.driver.memory", "16g")
+    if master:
+        builder = builder.master(master)
+        conf["spark.driver.memory"] = "16g"
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -41,11 +45,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only
-    when nothing is configured (local tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Without one, a session that runs in a
+    single process (``local[...]``: tests, bench) gets a scratch folder; a cluster gets an
+    error, as its executors can't share a folder of one machine."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
+    if not current and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="tankline-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)

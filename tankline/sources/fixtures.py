@@ -55,8 +55,7 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = (table(spark, sf_dir, "lineitem")
-          .where(F.col("l_shipdate") >= F.lit("1995-03-01").cast("date")))
+    li = table(spark, sf_dir, "lineitem")
     cents = F.round(F.col("l_extendedprice") * 100)
 
     def unit(cond):
@@ -148,7 +147,7 @@ SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS effective_date,
        SUM(CASE WHEN l_linestatus = 'F' THEN ROUND(l_extendedprice * 100) END) / SUM(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS coastal_diesel_cents,
        SUM(CASE WHEN l_returnflag = 'R' THEN ROUND(l_extendedprice * 100) END) / SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS inland_petrol_cents,
        SUM(CASE WHEN l_returnflag = 'A' THEN ROUND(l_extendedprice * 100) END) / SUM(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS inland_diesel_cents
-FROM lineitem WHERE l_shipdate >= DATE '1995-03-01'
+FROM lineitem
 GROUP BY CAST(date_trunc('month', l_shipdate) AS DATE)""",
     "meter": """
 SELECT entity_id, ts, CAST(SUM(q) OVER (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS odo

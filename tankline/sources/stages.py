@@ -6,8 +6,9 @@ prep      txn, price, meter, register, names, scored  (fixture views)
 priced    txn + as-of prices + unit price             (PP-5)
 flagged   priced + the three flags and their count    (HF-6)
 
-A stage is keyed by the input directory and the size and modification time of
-its parquet files, so changed inputs are rebuilt. Writes go to a private path
+A stage is keyed by the input directory, the size and modification time of its
+parquet files (from the file system that holds them) and the source of the code that
+builds it, so changed inputs and definitions are rebuilt. Writes go to a private path
 that is renamed into place when complete, so a lost executor, an interrupted
 write or a concurrent builder never leaves a half table in use.
 """
@@ -15,7 +16,7 @@ write or a concurrent builder never leaves a half table in use.
 from __future__ import annotations
 
 import hashlib
-import os
+import inspect
 import threading
 import uuid
 
@@ -26,17 +27,24 @@ from tankline.sources import fixtures as FX
 from tankline.sources.tables import TABLES
 
 
-# Bumped whenever a stage's definition changes, so older stage tables are not reused.
-STAGE_VERSION = "2"
+def _definitions() -> str:
+    """The source text of what builds the stages: a changed definition is a changed key."""
+    from tankline.functions import expr
+    from tankline.operators import flags, joins, temporal
+    return "".join(inspect.getsource(m) for m in (FX, expr, joins, temporal, flags))
 
 
-def _key(sf_dir: str) -> str:
-    parts = [STAGE_VERSION, os.path.abspath(sf_dir)]
+def _key(spark: SparkSession, sf_dir: str) -> str:
+    """Names the input's files, sizes and times, as its own file system reports them."""
+    parts = [_definitions(), sf_dir.rstrip("/")]
     for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
+        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        jvm, fs = _fs(spark, path)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if fs.exists(p):
+            top = fs.getFileStatus(p)
+            for st in (fs.listStatus(p) if top.isDirectory() else [top]):
+                parts.append(f"{t}:{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -91,7 +99,7 @@ def use_namespace(ns: str) -> None:
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read stage ``name`` for ``sf_dir``, building and writing it first if needed."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/stages/{_key(sf_dir)}/{_NAMESPACE[0]}/{name}"
+    path = f"{root}/stages/{_key(spark, sf_dir)}/{_NAMESPACE[0]}/{name}"
     if not _exists(spark, path):
         with _LOCKS_GUARD:
             lock = _LOCKS.setdefault(path, threading.Lock())

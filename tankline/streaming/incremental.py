@@ -10,16 +10,17 @@ from tankline.operators.flags import apply_flags
 
 def incremental_flags(spark: SparkSession, source_dir: str, schema: StructType, table_path: str, flagged_path: str,
                       checkpoint: str, available_now: bool = True, **flag_params) -> DataFrame:
-    """Stream parquet files of priced transactions from ``source_dir``; each
-    micro-batch is appended to ``table_path`` (exactly once: the sink is keyed by
-    the streaming checkpoint) and ``flagged_path`` is rewritten with the batch
-    flags over the whole table. Returns the flagged table."""
+    """Stream parquet files of priced transactions from ``source_dir``. ``foreachBatch`` is
+    at-least-once, so a batch may be repeated: each is written to a folder named by its
+    epoch under ``table_path``, overwriting what an earlier try left, and the flags of the
+    whole table go to a new folder under ``flagged_path`` per epoch. A reader takes the
+    newest finished one, so it never sees a table that is being written. Returns the
+    flagged table."""
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.write.mode("append").parquet(table_path)
-        apply_flags(spark.read.parquet(table_path), **flag_params).write.mode("overwrite").parquet(flagged_path)
+        write_epoch(batch, epoch_id, table_path)
+        whole = spark.read.option("basePath", table_path).parquet(f"{table_path}/epoch=*").drop("epoch")
+        apply_flags(whole, **flag_params).write.mode("overwrite").parquet(f"{flagged_path}/version={epoch_id}")
 
     w = (spark.readStream.schema(schema).parquet(source_dir).writeStream
          .foreachBatch(on_batch).option("checkpointLocation", checkpoint))
@@ -27,4 +28,19 @@ def incremental_flags(spark: SparkSession, source_dir: str, schema: StructType,
     q = w.start()
     if available_now:
         q.awaitTermination()
-    return spark.read.parquet(flagged_path)
+    return latest(spark, flagged_path)
+
+
+def write_epoch(batch: DataFrame, epoch_id: int, table_path: str) -> None:
+    """One micro-batch; writing it again changes nothing."""
+    batch.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch_id}")
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version under ``path``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(p)
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/version={max(done)}")

@@ -5,13 +5,14 @@ text; two names are similar when it reaches ``threshold``, i.e. when
 ``lev <= k(L) = floor(L * (100 - threshold) / 100)`` for the longer length L.
 
 The similarity self-join is exact and never compares all pairs: by the
-pigeonhole principle, if lev(s, r) <= k then one of k+1 disjoint segments of the
-longer string s occurs unchanged in r, shifted by at most k positions. Every
-string emits its k+1 segments (as the longer side) and, for each admissible
-longer length L, the substrings at the segment positions +-k (as the shorter
-side); candidates meet in an equi-join on (L, segment, text) and are verified
-with ``levenshtein``. Rows per string grow with k^3, which is small for names
-(k <= 2 up to 59 characters at threshold 95).
+pigeonhole principle, if lev(s, r) <= k then at least two of k+2 disjoint segments of
+the longer string s occur unchanged in r, each shifted by at most k positions and in
+order. Every string emits the pairs of its k+2 segments (as the longer side) and, for
+each admissible longer length L, the pairs of substrings near those positions (as the
+shorter side); candidates meet in an equi-join on (L, segments, both texts) and are
+verified with ``levenshtein``. A word that a third of the names share fills one segment;
+the other one keeps such names apart. Rows per string grow with k^4, which is small
+for names (k <= 2 up to 59 characters at threshold 95).
 
 Representatives: when names are processed in first-appearance order and each
 maps its similar names to itself, the last writer wins, so a name's
@@ -32,42 +33,50 @@ def _k(length, threshold: float):
     return F.floor(length * F.lit(100.0 - threshold) / F.lit(100.0) + F.lit(1e-9)).cast("int")
 
 
-def _segments(L, k):
-    """Start (0-based) and length of segment i of the k+1 segment split of length L."""
-    nseg = k + 1
+def _segment(L, nseg, i):
+    """Start (0-based) and length of segment ``i`` when length L is cut into ``nseg``."""
     base = F.floor(L / nseg).cast("int")
-    rem = L - base * nseg
-    return nseg, base, rem
+    plain = nseg - (L - base * nseg)  # segments without an extra character
+    return i * base + F.greatest(F.lit(0), i - plain), base + F.when(i >= plain, 1).otherwise(0)
 
 
 def similar_pairs(strings: DataFrame, col: str = "norm", threshold: float = 95.0) -> DataFrame:
     """Distinct string pairs (a < b) with similarity >= threshold (exact)."""
     s = strings.select(F.col(col).alias("s")).where(F.col("s").isNotNull() & (F.length("s") > 0)).distinct()
     s = s.withColumn("L", F.length("s")).withColumn("k", _k(F.col("L"), threshold))
-    # long side: the k+1 segments of each string
-    seg = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    nseg = F.col("k") + 1
-    base = F.floor(F.col("L") / nseg).cast("int")
-    rem = F.col("L") - base * nseg
-    start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - (nseg - rem))
-    slen = base + F.when(F.col("i") >= nseg - rem, 1).otherwise(0)
-    seg = seg.select(F.col("s").alias("a"), "L", "i", F.substring("s", start + 1, slen).alias("piece"))
-    # short side: for each admissible longer length L, substrings near each segment start
+    nseg = F.col("k") + 2
+    pairs_of = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.transform(
+        F.sequence(i + 1, F.col("k") + 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+    def with_segments(df: DataFrame) -> DataFrame:
+        df = df.withColumn("ij", F.explode(pairs_of))
+        (si, ni), (sj, nj) = (_segment(F.col("L"), nseg, F.col(f"ij.{x}")) for x in "ij")
+        return df.select("*", si.alias("si"), ni.alias("ni"), sj.alias("sj"), nj.alias("nj"))
+
+    # long side: every two of the k+2 segments of each string
+    seg = with_segments(s).select(F.col("s").alias("a"), "L", "ij", F.substring("s", F.col("si") + 1, F.col("ni")).alias("x"),
+                                  F.substring("s", F.col("sj") + 1, F.col("nj")).alias("y"))
+    # short side: for each admissible longer length L, substrings near both segments' starts
     maxL = F.floor(F.col("L") * F.lit(100.0) / F.lit(max(threshold, 1e-9)) + F.lit(1e-9)).cast("int")
     p = s.select(F.col("s").alias("b"), F.col("L").alias("len_b"),
                  F.explode(F.sequence(F.col("L"), F.greatest(F.col("L"), maxL))).alias("L"))
     p = p.withColumn("k", _k(F.col("L"), threshold)).where(F.col("L") - F.col("len_b") <= F.col("k"))
-    p = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    nseg = F.col("k") + 1
-    base = F.floor(F.col("L") / nseg).cast("int")
-    rem = F.col("L") - base * nseg
-    start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - (nseg - rem))
-    slen = base + F.when(F.col("i") >= nseg - rem, 1).otherwise(0)
-    p = (p.withColumn("q", F.explode(F.sequence(start - F.col("k"), start + F.col("k"))))
-         .withColumn("slen", slen)
-         .where((F.col("q") >= 0) & (F.col("q") + F.col("slen") <= F.col("len_b")) & (F.col("slen") > 0))
-         .select("b", "L", "i", F.substring("b", F.col("q") + 1, F.col("slen")).alias("piece")))
-    cand = seg.join(p, ["L", "i", "piece"]).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    p = with_segments(p)
+
+    def shifts(n: str):  # an empty segment is intact wherever it stands
+        return F.when(F.col(n) > 0, F.sequence(-F.col("k"), F.col("k"))).otherwise(F.array(F.lit(0)))
+
+    p = p.withColumn("di", F.explode(shifts("ni"))).withColumn("dj", F.explode(shifts("nj")))
+    p = p.withColumn("qi", F.col("si") + F.col("di")).withColumn("qj", F.col("sj") + F.col("dj"))
+    ok = [(F.col(n) == 0) | ((F.col(q) >= 0) & (F.col(q) + F.col(n) <= F.col("len_b"))) for q, n in (("qi", "ni"), ("qj", "nj"))]
+    together = (F.col("ni") == 0) | (F.col("nj") == 0) | (
+        (F.abs(F.col("di") - F.col("dj")) <= F.col("k")) & (F.col("qi") + F.col("ni") <= F.col("qj")))  # edits between them
+
+    def piece(q: str, n: str):
+        return F.when(F.col(n) > 0, F.substring("b", F.col(q) + 1, F.col(n))).otherwise(F.lit(""))
+
+    p = p.where(ok[0] & ok[1] & together).select("b", "L", "ij", piece("qi", "ni").alias("x"), piece("qj", "nj").alias("y"))
+    cand = seg.join(p, ["L", "ij", "x", "y"]).where(F.col("a") != F.col("b")).select("a", "b").distinct()
     lev = F.levenshtein("a", "b")
     longest = F.greatest(F.length("a"), F.length("b"))
     ok = F.lit(100.0) * lev <= F.lit(100.0 - threshold) * longest

@@ -16,6 +16,7 @@ from tankline.plans.registry import query
 from tankline.session import ensure_checkpoint_dir
 from tankline.sources import fixtures as FX
 from tankline.sources import stages as SG
+from tankline.sources.tables import table
 
 VEH_SQL_CTES = EFF_CTES + ["""
 veh AS (SELECT k.entity_id, k.kmpl, t.total_amount, t.mean_amount, t.total_litres_tx, t.mean_litres
@@ -271,3 +272,42 @@ def labels_attached(spark, sf):
     per_cluster = full.groupBy("cluster").count().withColumnRenamed("count", "n_txn")
     return pairs.unionByName(per_cluster.select(F.col("cluster").alias("kmeans"), F.lit(None).cast("int").alias("ward"),
                                                 F.col("n_txn").alias("count")))
+
+
+# ------------------------------------------------------------------ selection steps on given tables (SQL)
+
+@query("elbow_rule", covers=("CL-7", "WN-9"), sql="""
+WITH w AS (SELECT c_nationkey + 1 AS k, 1e6 / (c_nationkey + 1) + SUM(c_acctbal) AS wcss FROM customer WHERE c_nationkey < 10 GROUP BY c_nationkey),
+r AS (SELECT k, (wcss - lag(wcss) OVER (ORDER BY k)) / (lag(wcss) OVER (ORDER BY k) - lag(wcss, 2) OVER (ORDER BY k)) AS rate FROM w)
+SELECT CAST(COALESCE(MIN(k) FILTER (k >= 3 AND rate > 0.7), 4) AS INTEGER) AS k, COUNT(*) FILTER (k >= 3 AND rate > 0.7) = 0 AS defaulted FROM r""")
+def elbow_rule(spark, sf):
+    """The elbow rule on a given curve (one point per nation)."""
+    c = table(spark, sf, "customer").where("c_nationkey < 10").groupBy((F.col("c_nationkey") + 1).alias("k")).agg(F.sum("c_acctbal").alias("s"))
+    return CL.elbow_choice(c.select("k", (F.lit(1e6) / F.col("k") + F.col("s")).alias("wcss")))
+
+
+@query("best_settings_rule", covers=("CL-25", "SR-4"), sql="""
+SELECT CAST(c_nationkey AS INTEGER) AS k, c_mktsegment AS init, MAX(c_acctbal) AS silhouette FROM customer
+GROUP BY c_nationkey, c_mktsegment ORDER BY silhouette DESC, k, init LIMIT 5""")
+def best_settings_rule(spark, sf):
+    g = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("int").alias("k"), F.col("c_mktsegment").alias("init")).agg(
+        F.max("c_acctbal").alias("silhouette"))
+    return ST.best_settings(g)
+
+
+@query("labels_joined", covers=("JN-6", "JN-7"), sql=FX.with_views("""
+SELECT t.txn_id, f.cluster, v.first_label, v.second_label FROM txn t
+LEFT JOIN (SELECT txn_id, CAST(litres % 4 AS INTEGER) AS cluster FROM txn WHERE amount_cents > 5000000) f ON f.txn_id = t.txn_id
+LEFT JOIN (SELECT x.entity_id, x.l AS first_label, y.l AS second_label
+           FROM (SELECT entity_id, MIN(site) AS l FROM txn GROUP BY entity_id) x
+           JOIN (SELECT entity_id, MAX(category) AS l FROM txn WHERE litres > 60 GROUP BY entity_id) y ON x.entity_id = y.entity_id) v
+  ON v.entity_id = t.entity_id""", "txn"))
+def labels_joined(spark, sf):
+    """Labels of part of the rows attached to all of them by id, and two labelings of the
+    vehicles joined."""
+    t = SG.stage(spark, sf, "txn")
+    some = t.where("amount_cents > 5000000").select("txn_id", (F.col("litres") % 4).cast("int").alias("cluster"))
+    one = t.groupBy("entity_id").agg(F.min("site").alias("first_label"))
+    two = t.where("litres > 60").groupBy("entity_id").agg(F.max("category").alias("second_label"))
+    return (t.select("txn_id", "entity_id").join(some, "txn_id", "left").join(one.join(two, "entity_id"), "entity_id", "left")
+            .select("txn_id", "cluster", "first_label", "second_label"))

@@ -317,7 +317,20 @@ def distinct_profile(spark, sf):
     return PF.distinct_profile(SG.stage(spark, sf, "txn"), TXN_COLS)
 
 
-@query("table_profile", covers=("AG-11",))
+@query("run_statistics", covers=("AG-17",), sql=FX.with_views("""
+SELECT category, ROUND(AVG(n), 6) AS n_mean, ROUND(STDDEV_POP(n), 6) AS n_std FROM (
+  SELECT category, ts, CAST(COUNT(*) AS DOUBLE) AS n FROM txn GROUP BY category, ts) r GROUP BY category""", "txn"))
+def run_statistics(spark, sf):
+    runs = SG.stage(spark, sf, "txn").groupBy("category", "ts").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    r = PF.run_stats(runs, ["category"], ["n"])
+    return r.select("category", F.round("n_mean", 6).alias("n_mean"), F.round("n_std", 6).alias("n_std"))
+
+
+@query("table_profile", covers=("AG-11",), sql=FX.with_views("""
+SELECT CAST(position AS INTEGER) AS position, "column", type, (SELECT COUNT(*) FROM txn) AS n_rows
+FROM (VALUES (0, 'txn_id', 'bigint'), (1, 'entity_id', 'bigint'), (2, 'ts', 'timestamp_ntz'), (3, 'amount_cents', 'bigint'),
+             (4, 'litres', 'bigint'), (5, 'category', 'string'), (6, 'district', 'string'), (7, 'site', 'string'),
+             (8, 'department', 'string'), (9, 'fuel_type', 'string')) AS t(position, "column", type)""", "txn"))
 def table_profile(spark, sf):
     return PF.table_profile(SG.stage(spark, sf, "txn"))
 

@@ -72,3 +72,34 @@ def test_cumulative_and_dense_rank(spark):
     ranks = {r.k: r.rank for r in dense_rank_keys(spark.createDataFrame([(x,) for x in [5, 3, 3, 9, None, 1]],
                                                                          "k int"), "k").collect()}
     assert ranks == {1: 1, 3: 2, 5: 3, 9: 4}
+
+
+def test_names_that_share_a_frequent_word(spark):
+    import random
+
+    from tankline.operators.fuzzy import similar_pairs
+
+    rng = random.Random(12)
+    names = {"service station " + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 14))) for _ in range(250)}
+    for n in rng.sample(sorted(names), 60):  # one or two edits
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(n))
+            n = rng.choice([n[:i] + n[i + 1 :], n[:i] + "x" + n[i:], n[:i] + "y" + n[i + 1 :]])
+        names.add(n)
+    names |= {"a", "b", "ab", "ba", "abc", "abd", "xbcd", "", "service station"}
+    names = sorted(names)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for threshold in (95.0, 88.0, 50.0):
+        use = names if threshold > 80 else sorted({n for n in names if len(n) < 5} | set(names[:15]))
+        want = {(a, b) for i, a in enumerate(use) for b in use[i + 1 :]
+                if a and b and 100 * lev(a, b) <= (100 - threshold) * max(len(a), len(b))}
+        d = spark.createDataFrame([(n,) for n in use], "norm string")
+        assert {(r.a, r.b) for r in similar_pairs(d, threshold=threshold).collect()} == want

@@ -25,20 +25,21 @@ def with_previous(df: DataFrame, entity: str, ts: str, tiebreak: str, values: Se
     """Add ``prev_<ts>`` and ``prev_<v>``: the previous row of the same entity in
     (ts, tiebreak) order, restarting at changes of ``scope`` columns.
 
-    The facts are hash-partitioned once on (entity, scope, time bucket). On that
-    one exchange both the in-bucket ``lag`` window and the per-bucket summary
-    (last row of the bucket, ``max_by`` on (ts, tiebreak)) run without another
-    shuffle of the facts. The summary -- one row per entity and bucket -- gets
+    The facts are hash-partitioned once on (entity, scope, time bucket) for the
+    in-bucket ``lag`` window. The per-bucket summary (last row of the bucket, ``max_by``
+    on (ts, tiebreak)) is a partial aggregate over a pruned scan, so it shuffles at
+    most a narrow row per entity and bucket. The summary gets
     the previous non-empty bucket's last row via a window per entity and is
     joined back on the partitioning keys, so only the summary moves.
     """
     keys = [entity, *scope]
     cols = [ts, *values]
     d = df.withColumn("_bk", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
+    last = d  # the summary aggregates map-side, straight from what the rows are read from
     d = d.repartition(*[F.col(k) for k in keys], F.col("_bk"))
     w_in = Window.partitionBy(*keys, "_bk").orderBy(F.col(ts), F.col(tiebreak))
     ordkey = F.struct(F.col(ts), F.col(tiebreak))
-    last = d.groupBy(*keys, "_bk").agg(*[F.max_by(c, ordkey).alias(f"_last_{c}") for c in cols])
+    last = last.groupBy(*keys, "_bk").agg(*[F.max_by(c, ordkey).alias(f"_last_{c}") for c in cols])
     w_b = Window.partitionBy(*keys).orderBy("_bk")
     last = last.select(*keys, "_bk", *[F.lag(f"_last_{c}").over(w_b).alias(f"_pb_{c}") for c in cols])
     for c in cols:

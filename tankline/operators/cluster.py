@@ -400,20 +400,53 @@ def em_mixture(df: DataFrame, k: int, cov: str = "diag", iters: int = 100, seed:
     return pi, mu, covs, float(ll)
 
 
+def em_labels(df: DataFrame, k: int, cov: str, pi, mu, covs, out: str = "prediction", features: str = FEATURES) -> DataFrame:
+    """The likeliest component of every row under a model of ``em_mixture``."""
+    import pandas as pd
+
+    pi, mu, covs = np.asarray(pi), np.asarray(mu), np.asarray(covs)
+    d = mu.shape[1]
+
+    @F.pandas_udf("int")
+    def of(a: pd.Series) -> pd.Series:
+        x = np.stack(a.to_numpy()) if len(a) else np.zeros((0, d))
+        logs = np.empty((len(x), k))
+        for c in range(k):
+            diff = x - mu[c]
+            if cov == "tied":
+                q, ld = np.einsum("ni,ij,nj->n", diff, np.linalg.inv(covs), diff), np.linalg.slogdet(covs)[1]
+            else:
+                v = covs[c] if cov == "diag" else np.full(d, covs[c])
+                q, ld = (diff * diff / v).sum(axis=1), np.log(v).sum()
+            logs[:, c] = np.log(pi[c]) - 0.5 * ld - 0.5 * q
+        return pd.Series(logs.argmax(axis=1).astype(np.int32))
+
+    return df.withColumn(out, of(vector_to_array(features)))
+
+
 def mixture_grid(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6),
                  covs: Sequence[str] = ("full", "tied", "diag", "spherical"), seed: int = 1) -> DataFrame:
-    """CL-14: log-likelihood, AIC and BIC per (components, covariance type)."""
+    """CL-14: log-likelihood, AIC, BIC and silhouette per (components, covariance type); the
+    silhouette is null if all rows fall to one component."""
     n = df.count()
     d = len(df.select(vector_to_array(FEATURES).alias("a")).first()["a"])
     d_c = df.select(FEATURES).cache()
 
     def one(setting):
         k, cov = setting
-        ll = float(gmm(d_c, k, seed).summary.logLikelihood) if cov == "full" else em_mixture(d_c, k, cov, seed=seed)[3]
+        if cov == "full":
+            m = gmm(d_c, k, seed)
+            ll, lab = float(m.summary.logLikelihood), m.transform(d_c)
+        else:
+            pi, mu, covs_, ll = em_mixture(d_c, k, cov, seed=seed)
+            lab = em_labels(d_c, k, cov, pi, mu, covs_)
+        lab = lab.select(FEATURES, "prediction").cache()
+        sil = silhouette(lab) if lab.select("prediction").distinct().count() > 1 else None
+        lab.unpersist()
         p = _n_params(k, d, cov)
-        return (int(k), cov, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll)
+        return (int(k), cov, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll, sil)
 
     rows = parallel_map(one, itertools.product(ks, covs))
     d_c.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_components int, covariance_type string, log_likelihood double, "
-                                                 "aic double, bic double")
+                                                 "aic double, bic double, silhouette double")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tankline.operators import linear_many as LM
 from tankline.operators import models as M
 from tankline.operators import validation as V
 from tankline.plans.flag_queries import PRICED_SQL, flagged_sql, flagged_txn
@@ -131,6 +132,44 @@ def grid_search(spark, sf):
     return trials
 
 
+# The reference's grids.
+FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [15, 20], "minInstancesPerNode": [5, 10]}
+SGD_GRID = [LM.Setting(loss, alpha, penalty) for loss in LM.LOSSES for alpha in (1e-4, 1e-3) for penalty in ("l1", "l2", "elasticnet")]
+CLASSES = (0, 1, 2)
+
+
+@query("grid_search_forest", covers=("ML-16", "ML-13"))
+def grid_search_forest(spark, sf):
+    train, _ = _split(spark, sf)
+    _, trials = M.grid_search(M.subset_for_tuning(train, "txn_id", above=5000), "random_forest", FOREST_GRID)
+    return trials
+
+
+def _vectors(df):
+    from pyspark.ml import Pipeline
+    return Pipeline(stages=M.preprocessing()).fit(df)
+
+
+@query("grid_search_sgd", covers=("ML-16", "ML-15"))
+def grid_search_sgd(spark, sf):
+    """All 18 settings x 3 folds fitted side by side."""
+    train, _ = _split(spark, sf)
+    d = M.stratified_folds(train, "txn_id", 3, seed=1)
+    return LM.cross_validate(_vectors(d).transform(d), SGD_GRID, 3, CLASSES)
+
+
+@query("train_sgd", covers=("ML-15",))
+def train_sgd(spark, sf):
+    train, test = _split(spark, sf)
+    prep = _vectors(train)
+    x = prep.transform(test)
+    out = x.select("txn_id", "label", "features")
+    theta = LM.fit_many(LM.narrow(prep.transform(train)), [LM.Setting(loss) for loss in LM.LOSSES], CLASSES)
+    for loss, t in zip(LM.LOSSES, theta):
+        out = LM.predict(out, t, CLASSES).withColumnRenamed("prediction", loss)
+    return out.drop("features")
+
+
 @query("random_search", covers=("ML-17", "ML-18"))
 def random_search(spark, sf):
     train, _ = _split(spark, sf)

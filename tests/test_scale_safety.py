@@ -159,3 +159,35 @@ def test_a_replayed_epoch_changes_nothing(spark, tmp_path):
     for epoch, part in ((0, d.where("id < 4")), (1, d.where("id >= 4")), (0, d.where("id < 4")), (1, d.where("id >= 4"))):
         write_epoch(part, epoch, f"{tmp_path}/t")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/t").collect()) == list(range(10))
+
+
+def test_linear_losses_reach_the_minimum_of_their_objective(spark):
+    from tankline.operators import linear_many as LM
+
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 2)) + np.array([[2, 0], [-2, 0], [0, 2.5]])[y]
+    d = spark.createDataFrame([(int(i), [float(v) for v in r], float(c), int(i) % 3) for i, (r, c) in enumerate(zip(x, y))],
+                              "txn_id long, a array<double>, label double, fold int")
+    from pyspark.ml.functions import array_to_vector
+    d = d.withColumn("features", array_to_vector("a"))
+    sets = [LM.Setting(loss, 1e-3, p) for loss in LM.LOSSES for p in ("l1", "l2", "elasticnet")]
+    theta = LM.fit_many(LM.narrow(d), sets, (0, 1, 2))
+    xs = np.hstack([x, np.ones((300, 1))])
+
+    def objective(s, t, c):
+        m = np.where(y == c, 1, -1) * (xs @ t)
+        loss = {"hinge": np.maximum(0, 1 - m), "log_loss": np.log1p(np.exp(-m)),
+                "modified_huber": np.where(m < -1, -4 * m, np.maximum(0, 1 - m) ** 2)}[s.loss].mean()
+        l1 = {"l1": 1, "l2": 0, "elasticnet": LM.ELASTIC_L1}[s.penalty]
+        return loss + s.alpha * (l1 * np.abs(t[:-1]).sum() + (1 - l1) * 0.5 * (t[:-1] ** 2).sum())
+
+    for s, t in zip(sets, theta):
+        for c in range(3):
+            at = objective(s, t[c], c)
+            near = min(objective(s, t[c] + rng.normal(scale=0.3, size=3), c) for _ in range(200))
+            assert at <= near + 0.03, (s, c, at, near)
+    p = LM.predict(d, theta[0], (0, 1, 2)).collect()
+    assert np.mean([r.prediction == r.label for r in p]) > 0.85
+    cv = LM.cross_validate(d, sets[:2], 3, (0, 1, 2)).collect()
+    assert all(r.mean_score > 0.85 for r in cv)

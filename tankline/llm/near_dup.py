@@ -14,11 +14,14 @@ weighs by occurrence instead.
 
 1. One pass over the texts writes (row, id, text key, band hashes). Equal word sequences
    share a key; one row of each (a node) goes on.
-2. Band hashes are exploded and grouped. A bucket's smallest node is its pivot; every
-   other member is compared with the pivot on the whole texts (linear in the bucket).
-3. Components of the links. Only in buckets whose members are still in different
-   components all pairs across components are compared, so a bucket of thousands of
-   copies costs its size, and no link between components is lost.
+2. Band hashes are exploded and grouped. A bucket's most central node (the one that shares
+   the largest buckets) is its pivot; every other member is compared with it on the whole
+   texts. Links make components; in two more rounds buckets that still span components
+   take a pivot outside their first one. All of this is linear in the bucket.
+3. Members of buckets that still span components are compared across components; an exact
+   prefix filter with length and positional bounds over their rarest shingles finds the
+   pairs, so neither a bucket of thousands of copies nor one of texts around a common
+   passage costs its square, and no link between components is lost.
 4. Components again; a class is named by its smallest id.
 
 50 bands of 7 coordinates miss a pair at 0.8 with probability 1e-5.
@@ -30,6 +33,7 @@ repeated rows are one class; other columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankline.llm.common import LOWER, UPPER, WORD, packed
@@ -50,6 +54,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 50, 7
 K = BANDS * ROWS
+ROUNDS = 3      # of star comparisons before the remainder is paired
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans(UPPER, LOWER)
 _U = np.uint64
@@ -214,6 +219,56 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def with_roots(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def star_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): in every bucket that spans components, the most central node b outside the
+    component of the bucket's most central node (in the first round, that node itself) and
+    all members of other components. Linear in the bucket."""
+    at = with_roots(members, found)
+    rank = F.struct("degree", -F.col("node"))
+    first = at.groupBy("band").agg(F.max(F.struct(rank.alias("rank"), "root")).alias("top"))
+    if found.isEmpty():
+        pivot = first.select("band", (-F.col("top.rank.col2")).alias("b"), F.col("top.root").alias("root_b"))
+    else:
+        out = at.join(first, "band").where(F.col("root") != F.col("top.root"))
+        pivot = out.groupBy("band").agg(F.max(F.struct(rank.alias("rank"), "root")).alias("p")).select(
+            "band", (-F.col("p.rank.col2")).alias("b"), F.col("p.root").alias("root_b"))
+    return at.join(pivot, "band").where("root <> root_b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that may be similar, from (node, root, text).
+
+    Exact prefix filter: with shingles ordered by how many of these nodes hold them, sets
+    of similarity ``s`` share one among the first ``n - ceil(s n) + 1`` of each. A passage
+    that thousands of nodes share is not among the rarest shingles of texts that differ
+    otherwise, so such texts, which fall into one bucket, are not paired."""
+    kind = "node long, root long, n int, h long"
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = WordHashes()
+            for node, root, text in zip(batch["node"], batch["root"], batch["text"]):
+                h = np.unique(shingle_hashes(words_of(text), seen)).view(np.int64)
+                yield pd.DataFrame({"node": node, "root": root, "n": np.int32(len(h)), "h": h})
+
+    sh = nodes.select("node", "root", "text").mapInPandas(explode, kind)
+    freq = sh.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("node").orderBy("f", "h")  # a text's own shingles
+    first = sh.join(freq, "h").withColumn("i", F.row_number().over(order)).where(
+        (F.col("i") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("f") > 1))
+    left = first.select("h", F.col("node").alias("a"), "root", "n", "i")
+    right = first.select("h", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("i").alias("j"))
+    alike = (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9) & (F.col("root") > F.col("root_b"))
+    # the first common shingle of a similar pair leaves room for the overlap that it needs
+    need = F.ceil((F.col("n") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
+    room = 1 + F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("j")) >= need
+    return left.join(right, "h").where(alike & room).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
             weights: str = "set") -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), class_size (rows) and
@@ -233,9 +288,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     nodes = stored(worded.join(keys.select("node"), F.col("row") == F.col("node"))
                    .select("node", "id", "key", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").drop("top")
+    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(bands.join(buckets, "band"), "members")  # only of buckets with two nodes or more
-    star = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # a node that shares large buckets in many bands is central in its group: the best one to compare with
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    members = stored(members.join(degree, "node").select("band", "node", "degree"), "ranked")
     # texts of the nodes in such buckets, found by id and checked by key
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "key"), "node")
 
@@ -248,18 +305,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     w = checked_broadcast(wanted.withColumnRenamed("id", "_id"))
     texts = stored(source.join(w, source["id"].eqNullSafe(w["_id"])).select("node", "text", "key")
                    .mapInPandas(keyed, "node long, text string").dropDuplicates(["node"]), "texts")
-    links = stored(verify(star, texts, similarity), "links")
-    found = components(links)
-    at = members.join(found, "node", "left").select("band", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    # pairs across components in one bucket; those with the pivot have been compared
-    rest = at.where("node <> pivot")
-    open_ = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = stored(rest.join(open_, "band", "left_semi").select("band", "node", "root"), "open")
-    other = rest.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = (rest.select("band", F.col("node").alias("a"), "root").join(other, "band").where("root > root_b")
-             .select("a", "b").distinct())
-    more = stored(verify(pairs, texts, similarity), "more")
-    found = components(links.unionByName(more))
+    found = spark.createDataFrame([], "node long, root long")
+    links = []
+    for r in range(ROUNDS):
+        star = star_pairs(members, found)
+        links.append(stored(verify(star, texts, similarity), f"links-{r}"))
+        found = components(functools.reduce(DataFrame.unionByName, links))
+    at = with_roots(members, found)
+    mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = at.join(mixed, "band", "left_semi").select("node", "root").distinct()
+    links.append(stored(verify(rare_pairs(rest.join(texts, "node"), similarity), texts, similarity), "more"))
+    found = components(functools.reduce(DataFrame.unionByName, links))
     named = keys.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     member = rows.select("id", "key").join(named, "key", "left")
     size = member.where(F.col("key").isNotNull()).groupBy("root").agg(

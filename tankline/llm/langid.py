@@ -34,7 +34,7 @@ SIZES = (1 << 16, 1 << 14, 1 << 15)
 OFFSETS = (0, SIZES[0], SIZES[0] + SIZES[1])
 CELLS = sum(SIZES)
 MAX_DOCS = 2000
-VOCAB_MEMORY = 200_000      # distinct words a task remembers before it starts afresh
+VOCAB_MEMORY = 400_000      # distinct words a task remembers before it starts afresh
 MAX_WORD = 40               # affixes and n-grams of longer "words" are those of their two ends
 
 
@@ -42,16 +42,31 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+class PieceCells(dict):
+    """Cells of the pieces of words in one table, remembered."""
+
+    def __init__(self, table: int):
+        super().__init__()
+        self.offset, self.size = OFFSETS[table], SIZES[table]
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > VOCAB_MEMORY:
+            self.clear()
+        c = self[piece] = self.offset + zlib.crc32(piece.encode("utf-8", "surrogatepass")) % self.size
+        return c
+
+
+_AFFIX, _GRAM = PieceCells(1), PieceCells(2)
+
+
 def word_cells(word: str) -> tuple[list[int], list[int], list[int]]:
     """Cells of a word in the three tables."""
-    h = zlib.crc32
-    lex = [h(word.encode("utf-8", "surrogatepass")) % SIZES[0]]
+    lex = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % SIZES[0]]
     w = word if len(word) <= MAX_WORD else word[: MAX_WORD // 2] + word[-MAX_WORD // 2 :]
-    b = [c.encode("utf-8", "surrogatepass") for c in w]
-    n = len(b)
-    affix = [b"<" + b"".join(b[:k]) for k in (1, 2, 3) if k <= n] + [b"".join(b[n - k :]) + b">" for k in (1, 2, 3, 4) if k <= n]
-    grams = [b"".join(b[i : i + k]) for k in (2, 3) for i in range(n - k + 1)]
-    return (lex, [OFFSETS[1] + h(a) % SIZES[1] for a in affix], [OFFSETS[2] + h(g) % SIZES[2] for g in grams])
+    n = len(w)
+    affix = [_AFFIX["<" + w[:k]] for k in range(1, min(3, n) + 1)] + [_AFFIX[w[n - k :] + ">"] for k in range(1, min(4, n) + 1)]
+    grams = [_GRAM[w[i : i + 2]] for i in range(n - 1)] + [_GRAM[w[i : i + 3]] for i in range(n - 2)]
+    return lex, affix, grams
 
 
 def count_cells(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -62,11 +77,15 @@ def count_cells(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         def flush() -> Iterator[pd.DataFrame]:
             for lang, words in held.items():
-                total = np.zeros(CELLS)
-                for w, n in words.items():
-                    for cells in word_cells(w):
-                        for c in cells:
-                            total[c] += n
+                cells, sizes = [], []
+                for w in words:
+                    lex, affix, grams = word_cells(w)
+                    cells += lex
+                    cells += affix
+                    cells += grams
+                    sizes.append(1 + len(affix) + len(grams))
+                n = np.repeat(np.fromiter(words.values(), float, len(words)), sizes)
+                total = np.bincount(np.array(cells, int), n, CELLS)
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": total[at].astype(np.int64)})
             held.clear()
@@ -120,8 +139,14 @@ class WordModel:
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
         if new:
             got = self.emission(self.features(new))
-            self.rows = got if self.rows is None else np.vstack([self.rows, got])
-            self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
+            have, need = len(self.cache), len(self.cache) + len(new)
+            if self.rows is None or need > len(self.rows):  # grows by doubling
+                more = np.empty((2 * need, len(self.langs)))
+                if have:
+                    more[:have] = self.rows[:have]
+                self.rows = more
+            self.rows[have:need] = got
+            self.cache.update(zip(new, range(have, need)))
         return self.rows[np.fromiter(map(self.cache.__getitem__, words), int, len(words))]
 
     def label_words(self, texts: list[list[str]]) -> np.ndarray:

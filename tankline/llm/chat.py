@@ -21,7 +21,6 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
@@ -74,9 +73,14 @@ def parse(formatted: str) -> list[Turn]:
     return turns
 
 
-def shared(a: str, b: str) -> int:
-    """Length of the common prefix."""
-    return len(os.path.commonprefix([a, b]))
+def shared(a: str, b: str, end: bool = False) -> int:
+    """Length of the common prefix (with ``end``: suffix), by halving: slices compare at once."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        same = a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] if end else a[low:mid] == b[low:mid]
+        low, high = (mid, high) if same else (low, mid - 1)
+    return low
 
 
 def locate(render: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
@@ -93,7 +97,7 @@ def locate(render: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, in
             start = shared(before, now)
         one, two = (render([*turns[:k], (role, p)]) for p in ("a", "z"))
         head = shared(one, two)
-        tail = min(shared(one[::-1], two[::-1]), len(one) - head)
+        tail = min(shared(one, two, end=True), len(one) - head)
         spans.append((start, len(now), head, max(head, len(now) - tail)))
         before = now
     return before, spans, rewrites

@@ -308,9 +308,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = spark.createDataFrame([], "node long, root long")
     links = []
     for r in range(ROUNDS):
-        star = star_pairs(members, found)
+        star = stored(star_pairs(members, found), f"star-{r}")
+        if star.isEmpty():  # no bucket spans components any more
+            break
         links.append(stored(verify(star, texts, similarity), f"links-{r}"))
         found = components(functools.reduce(DataFrame.unionByName, links))
+    if not links:
+        links.append(spark.createDataFrame([], "a long, b long"))
     at = with_roots(members, found)
     mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     rest = at.join(mixed, "band", "left_semi").select("node", "root").distinct()

@@ -4,8 +4,10 @@ Two multinomials over ``buckets`` hashed word 1- and 2-grams are counted in one
 aggregation: the trusted target (documents that the caller trusts) and the raw
 corpus (all documents). A document's score is the mean of
 ``log(p_target / p_raw)`` over its n-grams, so it doesn't depend on length, and the
-verdict is the fixed comparison ``score >= min_llr``. The model is one array of
-``buckets`` doubles whatever the corpus holds; every document is scored where its
+verdict is ``score >= min_llr``. ``min_llr`` is a low quantile of the trusted documents'
+scores, so it moves with the corpus; for it an n-gram counts once less in the target,
+because other clean documents haven't their own n-grams there. The model is one array
+of ``buckets`` floats whatever the corpus holds; every document is scored where its
 text is, so texts are neither shuffled nor collected.
 
 Statistics: words, their code points, symbol characters, repeated lines, and words
@@ -13,7 +15,8 @@ inside 8-word windows that occur twice or more.
 
 Defined cases: a null or empty text has no words, no n-grams, score 0 and fails the
 base rule; repeated rows are judged one by one (and count as often as they occur);
-other columns are ignored; with no trusted text every score is 0.
+other columns are ignored; with no trusted text every score is 0 and the base rule
+decides alone.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from pyspark.sql import functions as F
 
 from tankline.llm.common import indices, let, tokens
 from tankline.operators.joins import checked_broadcast
+from tankline.session import ensure_checkpoint_dir
 
-BUCKETS = 1 << 14    # the model is one array of this many floats (64 KB)
-SMOOTHING = 5.0     # counts added to every bucket, shared out by the raw distribution
-MIN_LLR = -0.12      # clean prose scores about 0 (at least -0.05 on the test tables), junk -0.15 and below
+BUCKETS = 1 << 18    # the model is one array of this many floats (1 MB)
+SMOOTHING = 81920 / BUCKETS     # counts added to every bucket, shared out by the raw distribution: a fixed total
+LOW = 0.005          # the share of trusted documents below the threshold
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -84,9 +88,12 @@ def text_statistics(text: Column, w: Column) -> dict[str, Column]:
 
 
 def fit_llr(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets: int = BUCKETS,
-            smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one column ``llr``: the array of bucket log ratios. All rows of ``docs`` are
-    the raw corpus, those with a true ``trusted_col`` the target."""
+            smoothing: float = SMOOTHING, low: float = LOW) -> DataFrame:
+    """One row: ``llr``, the array of bucket log ratios, and ``min_llr``, the ``low`` quantile of
+    the trusted documents' scores. All rows of ``docs`` are the raw corpus, those with a true
+    ``trusted_col`` the target. The row is checkpointed, as both the threshold and the
+    verdict read it."""
+    ensure_checkpoint_dir(docs.sparkSession)
     good = F.coalesce(F.col(trusted_col), F.lit(False)).cast("long")
     counts = (docs.select(good.alias("good"), tokens(F.col(text_col)).alias("w"))
               .select("good", F.explode(ngram_hashes(F.col("w"))).alias("h"))
@@ -94,35 +101,46 @@ def fit_llr(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets:
               .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")))
     # ``buckets`` rows from here on, whatever the corpus
     table = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    cells = table.agg(F.array_sort(F.collect_list(F.struct(
+    cells = table.agg(F.sort_array(F.collect_list(F.struct(
         "b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")))).alias("c"),
         F.sum("raw").alias("r"), F.sum("good").alias("g"))
     n_raw, n_good = F.coalesce("r", F.lit(0)), F.coalesce("g", F.lit(0))
     weight = smoothing * buckets
 
-    def ratio(c: Column) -> Column:
+    def ratio(c: Column, good: Column) -> Column:
         p_raw = (c["raw"] + 1.0) / (F.col("n_raw") + float(buckets))
         # the target is smoothed towards the raw distribution: no evidence means ratio 1
-        return F.log((c["good"] + weight * p_raw) / (F.col("n_good") + weight) / p_raw)
+        return F.log((good + weight * p_raw) / (F.col("n_good") + weight) / p_raw)
 
     d = cells.withColumn("n_raw", n_raw).withColumn("n_good", n_good)
-    return d.select(F.transform("c", ratio).cast("array<float>").alias("llr"))
+    model = d.select(F.transform("c", lambda c: ratio(c, c["good"])).cast("array<float>").alias("llr"),
+                     F.transform("c", lambda c: ratio(c, F.greatest(c["good"] - 1, F.lit(0)))).cast("array<float>").alias("others"),
+                     ).checkpoint(eager=True)
+    trusted = docs.where(F.col(trusted_col)).select(tokens(F.col(text_col)).alias("w")).where(F.size("w") >= MIN_WORDS)
+    scored = trusted.select("w", _pairs(F.col("w")).alias("pairs"), model.select("others").scalar().alias("m"))
+    score = _llr_sum() / (2 * F.size("w") - 1)
+    # rounded: the quantile is exact and its buffer a few thousand values, whatever the corpus
+    least = scored.select(F.floor(score * 1000).alias("s")).agg((F.percentile("s", low) / 1000).alias("min_llr"))
+    return model.crossJoin(least).select("llr", F.coalesce("min_llr", F.lit(float("-inf"))).alias("min_llr")).checkpoint(eager=True)
 
 
-def judge(docs: DataFrame, llr: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          min_llr: float = MIN_LLR) -> DataFrame:
+def _llr_sum() -> Column:
+    """Sum over the n-grams of the columns w and pairs of the array in the column m. The array is
+    a scalar put there right before: every projection with it copies it into each row."""
+    return F.aggregate(F.concat(F.transform("w", lambda x: F.xxhash64(x)), "pairs"), F.lit(0.0),
+                       lambda a, h: a + F.get("m", F.pmod(h, F.size("m")).cast("int")))
+
+
+def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, score (mean log ratio), kept and ``row``, the input row as a struct. ``llr``
+    base_failed, score (mean log ratio), kept and ``row``, the input row as a struct. ``model``
     comes from ``fit_llr``."""
     text = F.col("row").getField(text_col)
     # the model is a scalar: every task gets the one array, texts stay where they are
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tokens(F.col(text_col)).alias("w"),
-                    llr.scalar().alias("m"))
-    d = d.select("row", "w", "m", _pairs(F.col("w")).alias("pairs"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tokens(F.col(text_col)).alias("w"))
+    d = d.select("row", "w", _pairs(F.col("w")).alias("pairs"), model.select("llr").scalar().alias("m"))
     stats = text_statistics(text, F.col("w"))
-    llr_sum = F.aggregate(F.concat(F.transform("w", lambda x: F.xxhash64(x)), "pairs"), F.lit(0.0),
-                          lambda a, h: a + F.get("m", F.pmod(h, F.size("m")).cast("int")))
-    d = d.select("row", *[c.alias(k) for k, c in stats.items()], llr_sum.alias("llr_sum"),
+    d = d.select("row", *[c.alias(k) for k, c in stats.items()], _llr_sum().alias("llr_sum"),
                  window_hashes(F.col("pairs"), F.size("w")).alias("heads"))
     d = with_repeated_words(d, "heads", "n_repeat_words")
     n = F.col("n_words")
@@ -130,7 +148,7 @@ def judge(docs: DataFrame, llr: DataFrame, id_col: str = "doc_id", text_col: str
     d = d.select(F.col("row").getField(id_col).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  ((n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
                  F.coalesce(F.col("llr_sum") / grams, F.lit(0.0)).alias("score"), "row")
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_llr))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.select("min_llr").scalar()))
 
 
 def kept_rows(judged: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ its text, decontamination drops every row with a contaminated id.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,11 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the labels of the remaining documents are all of one kind there is nothing to learn:
+    every text with a line scores 0.5 and is kept, with a warning."""
     model = quality_crf.fit(docs, read(spark, sf_dir, "labels"), learn=~quality_crf.held_out(F.col("_id"), 3, 1))
+    if not model.learned:
+        warnings.warn("quality_classifier: no labels of both kinds among the remaining documents; every text with a line is kept")
     out = "_score" + uuid.uuid4().hex
     return quality_crf.score(docs, model, out=out).where(F.col(out) >= 0.5).drop(out)
 

@@ -4,14 +4,17 @@ Each line with a word has features of its own (symbols, capitals, repeats, ...)
 those of the lines before and after it. Marginals come from forward-backward over the
 text's lines; their mean, weighted by line length, is calibrated into the score.
 
-Learning uses at most ``max_docs`` labelled documents (those with the smallest hash
-of their id), of which only line features reach the driver. Lines first take their
+Learning uses at most ``max_docs`` labelled documents that are among the given ones, half
+of them of each label at most (those with the smallest hash of their id), of which only
+the features of the first ``max_lines`` lines reach the driver. Lines first take their
 document's label; lines of bad documents that look good by their own features alone
 are relabelled, and the CRF is fitted to that.
 
 Defined cases: null, empty and blank texts have no line and score 0; repeated rows
 are scored one by one; conflicting labels of a document are not learned from; without
-labels of both kinds every text with a line scores 0.5; other columns are kept.
+labels of both kinds every text with a line scores 0.5 (``LineModel.learned`` is false);
+documents that share an id are one in learning, with the smallest text; other columns
+are kept.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from tankline.llm import crf
 
 MAX_DOCS = 2000
+MAX_LINES = 1000    # of one document in learning; scores take all lines
 SYMBOLS = "#*$%&<>{}=~^_\\@"
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _DIGIT = re.compile(r"[0-9]")
@@ -75,6 +79,11 @@ class LineModel:
     slope: float
     shift: float
 
+    @property
+    def learned(self) -> bool:
+        """False for the model of labels of one kind only, which can't tell texts apart."""
+        return bool(self.weights.any())
+
     def emission(self, x: np.ndarray) -> np.ndarray:
         e = np.zeros((len(x), 2))
         e[:, 1] = x @ self.weights[:-1] + self.weights[-1]
@@ -138,30 +147,36 @@ def _crc(c: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     max_docs: int, learn: Column | None) -> DataFrame:
-    """(quality, text) of at most ``max_docs`` labelled documents: the smallest id hashes."""
+    """(quality, text) of at most ``max_docs`` labelled documents that are in ``docs``, with at most
+    half of them (rounded up) per label: the smallest id hashes."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(
         F.col("_id").isNotNull() & F.col("_y").isNotNull())
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where(F.col("_y") == F.col("_z"))
+    # labels of documents that an earlier stage rejected take no places
+    known = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").select("_id", F.col("_y").cast("int").alias("_y"))
+    bad, good = (known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit((max_docs + 1 - y) // 2) for y in (0, 1))
     # max_docs bounds the broadcast side
-    some = known.select("_id", "_y").orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    return docs.join(F.broadcast(some), docs[id_col] == some["_id"]).select(
-        F.col("_y").cast("int").alias("y"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    some = F.broadcast(bad.unionByName(good))
+    return texts.join(some, texts["_doc"] == some["_id"]).groupBy("_id").agg(
+        F.min("_y").alias("y"), F.min("_text").alias("text")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_docs: int = MAX_DOCS, learn: Column | None = None) -> LineModel:
-    """``learn`` (over ``_id``) tells which labelled rows may be learned from."""
+        max_docs: int = MAX_DOCS, learn: Column | None = None, max_lines: int = MAX_LINES) -> LineModel:
+    """``learn`` (over ``_id``) tells which labelled rows may be learned from; at most
+    ``max_docs * max_lines`` lines are collected."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, max_docs, learn)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for y, text in zip(b["y"], b["text"]):
-                x, size = text_features(text)
+                x, size = (a[:max_lines] for a in text_features(text))
                 yield pd.DataFrame({"y": [y], "n": [len(x)], "x": [x.tobytes()], "size": [size.tobytes()]})
 
-    rows = sample.mapInPandas(features, "y int, n int, x binary, size binary").collect()  # max_docs rows of numbers
+    rows = sample.mapInPandas(features, "y int, n int, x binary, size binary").collect()  # max_docs rows of numbers, max_lines long
     rows.sort(key=lambda r: (r["y"], r["n"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, 3 * N_FEATURES)
     size = np.frombuffer(b"".join(bytes(r["size"]) for r in rows), np.float64)

@@ -86,6 +86,21 @@ def test_quality(spark, odd_docs, no_docs, prose_of):
     assert {r["s"] for r in quality_crf.score(docs, none, out="s").collect()} == {0.5}
 
 
+def test_quality_sample_is_of_the_given_documents_and_both_labels(spark, prose_of):
+    rng = random.Random(9)
+    labels = spark.createDataFrame([(i, int(i % 50 > 0), 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    # an earlier stage left every tenth document; 40 of these 200 are bad
+    docs = spark.createDataFrame([(i, prose_of(rng, 8)) for i in range(0, 2000, 10)] + [(10, "a copy")], "doc_id long, text string")
+    sample = quality_crf.training_sample(docs, labels, "doc_id", "text", "quality", 60, None).collect()
+    assert sorted(r["y"] for r in sample) == [0] * 30 + [1] * 30
+    few = quality_crf.training_sample(docs, labels, "doc_id", "text", "quality", 1000, None).collect()
+    assert sorted(r["y"] for r in few) == [0] * 40 + [1] * 160
+    one = quality_crf.fit(docs, labels.where("quality = 1"))
+    assert not one.learned
+    lines = spark.createDataFrame([(i, "\n".join(prose_of(rng, 5) for _ in range(30))) for i in range(2)], "doc_id long, text string")
+    assert quality_crf.fit(lines, labels, max_lines=3).learned
+
+
 SYL = {"xx": "ka to mi nu ra se ho ki", "yy": "bol dren gast vurk plin stof", "zz": "eau oui tre ille ance ment"}
 
 

@@ -138,10 +138,14 @@ SGD_GRID = [LM.Setting(loss, alpha, penalty) for loss in LM.LOSSES for alpha in
 CLASSES = (0, 1, 2)
 
 
+# The reference's ranges (its upper ends are exclusive), up to the deepest tree Spark grows.
+FOREST_SPACE = {"numTrees": (50, 299), "maxDepth": (10, 30), "minInstancesPerNode": (1, 9)}
+
+
 @query("grid_search_forest", covers=("ML-16", "ML-13"))
 def grid_search_forest(spark, sf):
     train, _ = _split(spark, sf)
-    _, trials = M.grid_search(M.subset_for_tuning(train, "txn_id", above=5000), "random_forest", FOREST_GRID)
+    _, trials = M.grid_search(train, "random_forest", FOREST_GRID)
     return trials
 
 
@@ -173,9 +177,7 @@ def train_sgd(spark, sf):
 @query("random_search", covers=("ML-17", "ML-18"))
 def random_search(spark, sf):
     train, _ = _split(spark, sf)
-    space = {"numTrees": (20, 60), "maxDepth": (3, 12), "minInstancesPerNode": (1, 10)}
-    # tuned on the reference's subset rule (ML-7)
-    _, trials = M.random_search(M.subset_for_tuning(train, "txn_id", above=5000), "random_forest", space)
+    _, trials = M.random_search(train, "random_forest", FOREST_SPACE)
     return trials
 
 
@@ -183,7 +185,7 @@ def random_search(spark, sf):
 def random_search_linear(spark, sf):
     train, _ = _split(spark, sf)
     space = {"regParam": (1e-5, 1e-1), "elasticNetParam": (0.0, 1.0)}
-    _, trials = M.random_search(M.subset_for_tuning(train, "txn_id", above=5000), "logistic", space)
+    _, trials = M.random_search(train, "logistic", space)
     return trials
 
 

@@ -1,5 +1,7 @@
 """Evaluation tables on edge_report fixtures (ML-19..ML-23)."""
 
+import pytest
+
 from tankline.operators import evaluation as EV
 
 
@@ -27,3 +29,17 @@ def test_calibration_edges(spark):
     got = {r.bin: r.n for r in EV.calibration(df).collect()}
     # 0.1 sits on an inner edge -> lower bin; 0.3 < 0.30000000000000004 (numpy's edge) -> bin 2
     assert got == {0: 2, 2: 2, 9: 1}
+
+
+@pytest.mark.parametrize("name", ["random_search", "random_search_linear", "grid_search_forest"])
+def test_searches_fit_all_training_rows(spark, monkeypatch, name):
+    from tankline.plans import model_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "_split", lambda *a: (spark.range(6000).withColumnRenamed("id", "txn_id"), None))
+    for f in ("random_search", "grid_search"):
+        monkeypatch.setattr(Q.M, f, lambda train, kind, space: (None, seen.append((train.count(), space))))
+    getattr(Q, name)(spark, None)
+    assert seen[0][0] == 6000
+    if name == "random_search":
+        assert seen[0][1]["numTrees"] == (50, 299) and seen[0][1]["maxDepth"] == (10, 30)

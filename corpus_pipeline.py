@@ -2,8 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is
 written as Parquet in the shared folder before the next one reads it. The first four
-return the columns of documents, the last one row per remaining document with its
-place in the training stream.
+return the columns of documents, the last one row per remaining document with all its
+places in the training stream: ``copies`` of them in the array ``positions``, none for a
+document that the mix leaves out. Rows are in the order of the first; exploding
+``positions`` gives the stream.
 
 Documents are known by doc_id. Nulls, empty texts, repeated rows, empty tables and
 further columns are treated as each operator's docstring says: quality rules reject
@@ -49,7 +51,7 @@ def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def apply_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.plan(docs).drop("positions")
+    return mixing.plan(docs)
 
 
 STAGES = [

@@ -55,6 +55,17 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mixing.plan(no_docs).count() == 0
 
 
+def test_mixing_stage_returns_every_position(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * (5 if i % 3 else 20), "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.apply_mixing(spark, docs, "").collect()
+    stream = mixing.stream(docs).collect()
+    assert max(r["copies"] for r in out) == 2 and all(r["copies"] == len(r["positions"]) for r in out)
+    assert sorted((r["doc_id"], p) for r in out for p in r["positions"]) == sorted((r["doc_id"], r["_position"]) for r in stream)
+
+
 def test_schedule_integrates_to_the_target():
     # the rate is target * (1 + slope * (2t - 1)); positions invert its integral
     for slope in mixing.SLOPES:

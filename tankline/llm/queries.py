@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tankline.llm import (chat, decontam, langid, license_scan, mixing, near_dup, quality_crf, quality_rules,
-                          url_filter, warc)
+from tankline.llm import (align, chat, decontam, langid, license_scan, lm, mixing, near_dup, quality_crf, quality_rules,
+                          resample, url_filter, vocab, warc)
 from tankline.llm import queries_sql as SQL
 from tankline.llm.common import read
 from tankline.session import ensure_checkpoint_dir
@@ -86,7 +86,30 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+#: Where every worker finds the tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocab.ByteBpe(f"{TOKENIZERS}/byte_bpe_50k.json"), vocab.Pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    d = align.align(read(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    d = align.with_counts(d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+    return d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return d.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lm.score_texts(read(spark, sf_dir, "documents"), vocab.ByteBpe(f"{TOKENIZERS}/byte_bpe_50k.json"),
+                       quality_crf.held_out(F.col("id"), 7, 2))
+    return d.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_quality_crf, op4_chat_format, op5_url_filter, op6_mixing, op7_warc, op8_langid,
-    op9_near_dup, op10_decontam)}
-ORACLE = {"op1_license_scan": SQL.OP1, "op4_chat_format": SQL.OP4, "op5_url_filter": SQL.OP5, "op6_mixing": SQL.OP6, "op7_warc": SQL.OP7, "op10_decontam": SQL.OP10}
+    op9_near_dup, op10_decontam, op11_align, op12_resample, op13_lm_score)}
+ORACLE = {"op1_license_scan": SQL.OP1, "op4_chat_format": SQL.OP4, "op5_url_filter": SQL.OP5, "op6_mixing": SQL.OP6, "op7_warc": SQL.OP7, "op10_decontam": SQL.OP10, "op12_resample": SQL.OP12}

@@ -113,3 +113,26 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM p LEFT JOIN r USING (h)
 """
+
+#: CRC-32 by its table, which is made from the reversed polynomial; one pass over the distinct words.
+OP12 = r"""
+WITH lut AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS (SELECT 0 AS tgt, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+    UNION ALL
+    SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+n AS (SELECT tgt, id, word, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM n)),
+b AS (SELECT word, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM h),
+k AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1])), 4294967295) % 10000 AS bucket FROM b, lut),
+c AS (SELECT bucket, sum(CASE WHEN tgt = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN tgt = 1 THEN n ELSE 0 END) AS t FROM n JOIN k USING (word) GROUP BY bucket),
+tot AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM c, tot),
+d AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN k USING (word) JOIN g USING (bucket) WHERE tgt = 0 GROUP BY id),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000.0 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
+    FROM documents LEFT JOIN d ON doc_id = id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN place <= 10 * eligible // 100 THEN place END AS rank
+FROM e LEFT JOIN r ON e.doc_id = r.doc_id
+"""

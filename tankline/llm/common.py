@@ -11,6 +11,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words of the licence, near-duplicate and decontamination operators (after A-Z became a-z).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same rule for the bytes of a UTF-8 text: A-Z to a-z, any other ASCII but letters and digits to a blank.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Words of the quality and mixing operators: runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 
@@ -57,3 +59,14 @@ def packed(df: DataFrame, **keys: str) -> DataFrame:
     input can clash with those an operator adds."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                      *[F.col(f"`{c}`").alias(name) for name, c in keys.items()])
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, weight: str, parts: int = 1000) -> DataFrame:
+    """Left join with a table of unique keys that says in ``weight`` how many rows of ``big`` have each.
+    Keys of a ``parts``-th of those rows or more, of which there are at most ``parts``, are
+    broadcast, so no task gets all rows of a hot key; the others are shuffled."""
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) >= F.lit(max(2.0, total / parts))
+    hot = F.broadcast(small.where(is_hot))
+    rest = big.join(hot.select(key), key, "left_anti").join(small.where(~is_hot), key, "left")
+    return big.join(hot, key).unionByName(rest)

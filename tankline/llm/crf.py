@@ -11,6 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 
+RESCALE = 4     # steps between rescalings, far from what a float holds
+
+
 def _norm(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
@@ -41,7 +44,8 @@ def marginals(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: n
         if any_r[i]:
             q[r[:, i]] = p[r[:, i]].sum(axis=2, keepdims=True) * s
         p = q * e[:, i, None, :]
-        p /= p.max(axis=(1, 2), keepdims=True) + 1e-300
+        if i % RESCALE == RESCALE - 1 or i == size - 1:
+            p /= p.max(axis=(1, 2), keepdims=True) + 1e-300
     # messages at the block borders
     fwd, bwd = np.empty((blocks, k)), np.empty((blocks, k))
     v = np.full(k, 1.0 / k)
@@ -61,9 +65,12 @@ def marginals(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: n
         if any_r[i]:
             q[r[:, i]] = s
         q = q * e[:, i]
-        z = q.sum(axis=1, keepdims=True)
-        a = q / z
-        alpha[:, i], scale[:, i] = a, z[:, 0]
+        if edges or i % RESCALE == RESCALE - 1:
+            z = q.sum(axis=1, keepdims=True)
+            a, scale[:, i] = q / z, z[:, 0]
+        else:
+            a = q
+        alpha[:, i] = a
     beta = np.empty((blocks, size, k))
     bt = bwd
     for i in range(size - 1, -1, -1):
@@ -71,7 +78,7 @@ def marginals(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: n
         q = (e[:, i] * bt) @ t.T
         if any_r[i]:
             q[r[:, i]] = 1.0
-        bt = _norm(q)
+        bt = _norm(q) if i % RESCALE == 0 else q
     alpha, beta = alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n]
     gamma = _norm(alpha * beta)
     if not edges:

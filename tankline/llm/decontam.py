@@ -11,29 +11,41 @@ window). A document is hit where a window occurs word for word. The join:
   ``p - o >= 0``; length bound: ``start + size <= n_words`` of the document;
 * survivors are compared word by word (item-sized windows of the document).
 
-Shingles of a document are looked up and verified where its words are; only matches
-(start, size, window) and one row per document are shuffled, grouped by row.
+Words are hashed once; a shingle's hash is that of its words' hashes. With an index of up to
+``BROADCAST_MAX_ROWS`` windows (counted) shingles are looked up and verified where the
+document's words are; only matches (start, size, window) and one row per document are
+shuffled, grouped by row. A larger index meets the shingles as (row, position, hash) in a
+shuffle join, and words are fetched only for the documents with candidates.
 
 Defined cases: null or empty texts have no words and are clean; items without words
-take no part; equal items all count; repeated rows are judged one by one; an empty
+take no part; equal items all count; rows are judged one by one, whatever their ids; an empty
 benchmark leaves every document clean; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tankline.llm.common import indices, packed, with_row_id, words
-from tankline.operators.joins import checked_broadcast
+from tankline.operators.joins import BROADCAST_MAX_ROWS, checked_broadcast
+from tankline.session import ensure_checkpoint_dir
 
 WINDOW = 10
 SHINGLE = 4
 
 
-def _shingles(w: Column, size: Column | int) -> Column:
-    """Hashes of all runs of ``size`` words."""
-    return F.transform(indices(F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i + 1, size)))
+def _hashes(w: str) -> Column:
+    """Hashes of the words of the array column ``w``."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _shingles(wh: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` words, from the column of the words' hashes. Their number is
+    part of the hash, so runs of different sizes never mix."""
+    return F.transform(indices(F.size(wh) - size + 1), lambda i: F.xxhash64(*[F.get(wh, i + j) for j in range(size)], F.lit(size)))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -44,62 +56,84 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         F.transform(starts, lambda i: F.slice("w", i + 1, window)))).alias("win")).distinct()
 
 
-def doc_shingles(sizes: list[int]) -> Column:
-    """Array of (p, h): start and hash of the shingles of the column ``w``; longer shingles
-    carry their size in the hash so sizes never mix."""
-    def of(k: int) -> Column:
-        return F.transform(_shingles(F.col("w"), k), lambda h, i: F.struct(
-            i.cast("int").alias("p"), F.xxhash64(h, F.lit(k)).alias("h")))
-
-    parts = [of(k) for k in sizes]
+def doc_shingles(wh: str, sizes: list[int]) -> Column:
+    """Array of (p, h): start and hash of the shingles of a document."""
+    parts = [F.transform(_shingles(wh, k), lambda h, i: F.struct(i.cast("int").alias("p"), h.alias("h"))) for k in sizes]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def window_shingles(uniq: DataFrame, sizes: list[int]) -> DataFrame:
+    """(win, wid, o, h): the shingles of every window."""
+    d = uniq.withColumn("wh", _hashes("win"))
+    of = F.lit(None).cast("array<bigint>")
+    for k in sizes:
+        of = F.when(F.col("k") == k, _shingles("wh", k)).otherwise(of)
+    return d.select("win", "wid", F.posexplode(of).alias("o", "h"))
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-         item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+         item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """One row per input row: id, n_words, n_hit, hits (sorted array of (start, size)),
     items (array of item ids as strings, sorted), contaminated."""
+    return _found(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, item_col, item_text_col, window, shingle,
+                  max_rows).drop("_rid").withColumnRenamed("id", id_col)
+
+
+def _found(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, shingle: int, max_rows: int) -> DataFrame:
+    """``find`` of (id, text), with the ids ``_rid`` of the rows: those given, or else new ones."""
+    if "_rid" not in texts.columns:
+        texts = with_row_id(texts)
     wins = item_windows(items, item_col, item_text_col, window)
     uniq = (wins.select("win").distinct().withColumn("wid", F.xxhash64("win"))
             .withColumn("k", F.least(F.size("win"), F.lit(shingle))))
-    sh = uniq.select("win", "wid", "k", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.size("win") - F.col("k")), lambda i: F.xxhash64(
-            F.xxhash64(F.slice("win", i + 1, F.col("k"))), F.col("k")))).alias("o", "h"))
     sizes = sorted(r["k"] for r in uniq.select("k").distinct().collect())  # at most ``shingle`` values
-    base = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    base = texts.select("_rid", "id", words(F.col("text")).alias("w"))
     if not sizes:
-        return base.select(F.col("id").alias(id_col), F.size("w").cast("long").alias("n_words"),
-                           F.lit(0).cast("long").alias("n_hit"),
+        return base.select("_rid", "id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                            F.array().cast("array<struct<start:int,size:int>>").alias("hits"),
                            F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+    sh = window_shingles(uniq, sizes)
+    base = base.withColumn("wh", _hashes("w"))
     # rarity of the benchmark's shingles over all documents
-    freq = (base.select(F.explode(doc_shingles(sizes)["h"]).alias("h"))
+    freq = (base.select(F.explode(doc_shingles("wh", sizes)["h"]).alias("h"))
             .join(checked_broadcast(sh.select("h").distinct()), "h", "left_semi")
             .groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     # windows that hold a shingle no document holds can't occur; of the others the rarest is kept
     index = (sh.join(freq, "h", "left").groupBy("wid", "win")
              .agg(F.min(F.struct("n", "o", "h")).alias("r"), F.max(F.col("n").isNull()).alias("absent"))
-             .where(~F.col("absent")).select("wid", "win", F.col("r.o").alias("o"), F.col("r.h").alias("h")))
-    d = with_row_id(base).withColumn("n_words", F.size("w"))
-    keep = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("long").alias("h")))
-    d = d.select("_rid", "id", "n_words", "w", F.explode(F.concat(keep, doc_shingles(sizes))).alias("s"))
-    d = d.select("_rid", "id", "n_words", "w", F.col("s.p").alias("p"), F.col("s.h").alias("h"))
-    d = d.join(checked_broadcast(index), "h", "left")
+             .where(~F.col("absent")).select("wid", "win", F.col("r.o").alias("o"), F.col("r.h").alias("h"))).checkpoint(eager=True)
     start, size = F.col("p") - F.col("o"), F.size("win")
     fits = (start >= 0) & (start + size <= F.col("n_words"))
     same = F.col("wid").isNotNull() & F.when(fits, F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("win"))
-    hit = d.select("_rid", "id", "n_words", "p", F.when(same, F.struct(start.alias("start"), size.alias("size"))).alias("at"),
-                   F.when(same, F.col("wid")).alias("wid")).where((F.col("p") < 0) | F.col("at").isNotNull())
-    per = hit.groupBy("_rid").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"),
+    at = F.when(same, F.struct(start.alias("start"), size.alias("size"))).alias("at")
+    found = F.when(same, F.col("wid")).alias("wid")
+    if index.limit(max_rows + 1).count() <= max_rows:
+        d = base.withColumn("n_words", F.size("w"))
+        keep = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("long").alias("h")))
+        d = d.select("_rid", "id", "n_words", "w", F.explode(F.concat(keep, doc_shingles("wh", sizes))).alias("s"))
+        d = d.select("_rid", "id", "n_words", "w", F.col("s.p").alias("p"), F.col("s.h").alias("h")).join(F.broadcast(index), "h", "left")
+        hit = d.select("_rid", "id", "n_words", "p", at, found).where((F.col("p") < 0) | F.col("at").isNotNull())
+    else:
+        path = f"{ensure_checkpoint_dir(texts.sparkSession).rstrip('/')}/decontam-{uuid.uuid4().hex}"
+        base.select("_rid", "id", "w", "wh").write.parquet(path)  # row ids are fixed from here on
+        stored = texts.sparkSession.read.parquet(path)
+        cand = stored.select("_rid", F.explode(doc_shingles("wh", sizes)).alias("s")).select("_rid", F.col("s.p").alias("p"), F.col("s.h").alias("h"))
+        cand = cand.join(index.select("h", "wid", "o", size.alias("size")), "h").where(F.col("p") >= F.col("o")).select("_rid", "p", "o", "wid").checkpoint(eager=True)
+        full = stored.join(cand.select("_rid").distinct(), "_rid", "left_semi").select("_rid", "w", F.size("w").alias("n_words"))
+        met = cand.join(full, "_rid").join(index.select("wid", "win"), "wid").select("_rid", at, found).where(F.col("at").isNotNull())
+        rows = stored.select("_rid", "id", F.size("w").alias("n_words"))
+        hit = rows.withColumns({"at": F.lit(None).cast("struct<start:int,size:int>"), "wid": F.lit(None).cast("long")}).unionByName(
+            met.select("_rid", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("n_words"), "at", "wid"))
+    per = hit.groupBy("_rid").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"),
                                   F.array_sort(F.collect_set("at")).alias("hits"), F.collect_set("wid").alias("wids"))
     # names of the items: one row per distinct window of a document, its spans with the first
     owners = wins.select(F.col("item").cast("string").alias("item"), F.xxhash64("win").alias("wid"))
     per = per.select("_rid", "id", "n_words", "hits", F.posexplode_outer("wids").alias("pos", "wid"))
     per = per.withColumn("hits", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("hits")))
     out = (per.join(checked_broadcast(owners), "wid", "left").groupBy("_rid")
-           .agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.max("hits").alias("hits"),
+           .agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.max("hits").alias("hits"),
                 F.array_sort(F.collect_set("item")).alias("items")))
-    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
+    return out.select("_rid", "id", F.col("n_words").cast("long").alias("n_words"),
                       covered(F.col("hits")).alias("n_hit"), "hits", "items", (F.size("hits") > 0).alias("contaminated"))
 
 
@@ -112,7 +146,15 @@ def covered(hits: Column) -> Column:
         lambda a: a["n"])
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents (known by id) in which a window of an item occurs."""
-    bad = find(docs, items, id_col, text_col, **how).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return packed(docs, i=id_col).join(checked_broadcast(bad), F.col("i").eqNullSafe(F.col("_bad")), "left_anti").select("row.*")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+          max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs. The verdict is the row's own, so
+    rows that share an id, or have none, don't go with one another; the rows are written to the
+    shared folder first, which fixes their numbers."""
+    spark = docs.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decontam-rows-{uuid.uuid4().hex}"
+    packed(docs, id=id_col, text=text_col).select("row", F.monotonically_increasing_id().alias("_rid")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    texts = stored.select("_rid", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"))
+    bad = _found(texts, items, "item_id", "text", window, shingle, max_rows).where("contaminated").select("_rid")
+    return stored.join(checked_broadcast(bad), "_rid", "left_anti").select("row.*")

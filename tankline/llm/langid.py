@@ -5,68 +5,93 @@ word (lexicon), affix and inner letter n-gram occurs per language, hashed into t
 of fixed size. A word's features are its log odds in the three tables; the CRF learns
 their weights, a bias per language and the transitions between neighbouring words,
 from code-switched sequences spliced from spans of at most ``max_docs`` training
-documents. Forward-backward labels the words of whole texts; a document's language has
-the largest marginal mass, weighted by word length.
+documents, as many of each language. Forward-backward labels the words of whole texts; a
+document's language has the largest marginal mass, weighted by word length.
 
-Defined cases: a text without letters (null, empty, digits) is ``und`` with score 0;
-repeated rows are labelled one by one; a null language is not learned; with no
-training text everything is ``und``; other columns are kept.
+A word is a run of letters of any length; all its n-grams count. The cells of a batch of words
+are hashed side by side from their code points.
+
+Defined cases: a text without letters (null, empty, digits, numerals such as a half or a Roman
+eight) is ``und`` with score 0; repeated rows are labelled one by one; a null language is
+not learned; with no training text everything is ``und``; other columns are kept.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankline.llm import crf
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Cells of the tables: lexicon, affixes, n-grams.
+_RUNS = re.compile(r"[^\W\d_]+")
+#: Cells of the tables: lexicon, affixes, n-grams. Powers of two.
 SIZES = (1 << 16, 1 << 14, 1 << 15)
 OFFSETS = (0, SIZES[0], SIZES[0] + SIZES[1])
 CELLS = sum(SIZES)
 MAX_DOCS = 2000
 VOCAB_MEMORY = 400_000      # distinct words a task remembers before it starts afresh
-MAX_WORD = 40               # affixes and n-grams of longer "words" are those of their two ends
+PREFIXES, SUFFIXES, GRAMS = (1, 2, 3), (1, 2, 3, 4), (2, 3)
+_U = np.uint64
+_ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
-
-
-class PieceCells(dict):
-    """Cells of the pieces of words in one table, remembered."""
-
-    def __init__(self, table: int):
-        super().__init__()
-        self.offset, self.size = OFFSETS[table], SIZES[table]
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) > VOCAB_MEMORY:
-            self.clear()
-        c = self[piece] = self.offset + zlib.crc32(piece.encode("utf-8", "surrogatepass")) % self.size
-        return c
-
-
-_AFFIX, _GRAM = PieceCells(1), PieceCells(2)
+    """Runs of letters, lower-cased. The pattern's classes leave numerals in, which are no letters."""
+    if not text:
+        return []
+    words = _RUNS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for w in words for c in (*w, " ")).split()
+
+
+def _cell(h: np.ndarray, table: int) -> np.ndarray:
+    h = (h ^ (h >> _U(29))) * _ODD[4]
+    return OFFSETS[table] + (h >> _U(64 - (SIZES[table].bit_length() - 1))).astype(np.int64)
+
+
+def cells_of(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cells, index of the word) in each of the three tables for non-empty words."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1)
+    end = np.cumsum(n)
+    start = end - n
+    which = np.arange(len(words))
+    owner = np.repeat(which, n)
+    place = np.arange(len(c)) - np.repeat(start, n)
+    power = np.cumprod(np.full(int(n.max(initial=0)) + 1, _ODD[0]))
+    lex = np.add.reduceat(c * power[place], start) + n.astype(_U) if len(words) else c
+    affix, at = [], []
+    for k, base, step in [*((k, start, 1) for k in PREFIXES), *((k, end - 1, -1) for k in SUFFIXES)]:
+        some = which[n >= k]
+        h = np.full(len(some), _U(k if step > 0 else 16 + k))
+        for j in range(k):
+            h = (h + c[base[some] + step * j]) * _ODD[1]
+        affix.append(h)
+        at.append(some)
+    grams, of = [], []
+    left = np.repeat(n, n) - place      # letters from here to the word's end
+    for k in GRAMS:
+        some = np.flatnonzero(left >= k)
+        h = np.full(len(some), _U(k))
+        for j in range(k):
+            h = (h + c[some + j]) * _ODD[2]
+        grams.append(h)
+        of.append(owner[some])
+    return [(_cell(lex, 0), which), (_cell(np.concatenate(affix), 1), np.concatenate(at)), (_cell(np.concatenate(grams), 2), np.concatenate(of))]
 
 
 def word_cells(word: str) -> tuple[list[int], list[int], list[int]]:
     """Cells of a word in the three tables."""
-    lex = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % SIZES[0]]
-    w = word if len(word) <= MAX_WORD else word[: MAX_WORD // 2] + word[-MAX_WORD // 2 :]
-    n = len(w)
-    affix = [_AFFIX["<" + w[:k]] for k in range(1, min(3, n) + 1)] + [_AFFIX[w[n - k :] + ">"] for k in range(1, min(4, n) + 1)]
-    grams = [_GRAM[w[i : i + 2]] for i in range(n - 1)] + [_GRAM[w[i : i + 3]] for i in range(n - 2)]
-    return lex, affix, grams
+    return tuple(c.tolist() for c, _ in cells_of([word]))
 
 
 def count_cells(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -77,15 +102,10 @@ def count_cells(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         def flush() -> Iterator[pd.DataFrame]:
             for lang, words in held.items():
-                cells, sizes = [], []
-                for w in words:
-                    lex, affix, grams = word_cells(w)
-                    cells += lex
-                    cells += affix
-                    cells += grams
-                    sizes.append(1 + len(affix) + len(grams))
-                n = np.repeat(np.fromiter(words.values(), float, len(words)), sizes)
-                total = np.bincount(np.array(cells, int), n, CELLS)
+                if not words:
+                    continue
+                n = np.fromiter(words.values(), float, len(words))
+                total = sum(np.bincount(c, n[w], CELLS) for c, w in cells_of(list(words)))
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": total[at].astype(np.int64)})
             held.clear()
@@ -119,14 +139,12 @@ class WordModel:
         """(words, 3, languages): mean log odds of each table's cells."""
         k = len(self.langs)
         out = np.zeros((len(words), 3, k))
-        cells = [word_cells(w) for w in words]
-        for g in range(3):
-            n = np.array([len(c[g]) for c in cells], int)
-            at = np.fromiter((x for c in cells for x in c[g]), int, int(n.sum()))
-            doc = np.repeat(np.arange(len(words)), n)
+        if not words:
+            return out
+        for g, (cells, owner) in enumerate(cells_of(words)):
+            n = np.maximum(np.bincount(owner, minlength=len(words)), 1)
             for j in range(k):
-                out[:, g, j] = np.bincount(doc, self.table[at, j], len(words))
-            out[:, g] /= np.maximum(n, 1)[:, None]
+                out[:, g, j] = np.bincount(owner, self.table[cells, j], len(words)) / n
         return out
 
     def emission(self, feats: np.ndarray) -> np.ndarray:
@@ -136,22 +154,25 @@ class WordModel:
         """Emission scores; those of words met before are remembered."""
         if len(self.cache) > VOCAB_MEMORY:
             self.cache, self.rows = {}, None
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
-        if new:
-            got = self.emission(self.features(new))
-            have, need = len(self.cache), len(self.cache) + len(new)
+        row = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            first = list(dict.fromkeys(words[i] for i in new.tolist()))
+            got = self.emission(self.features(first))
+            have, need = len(self.cache), len(self.cache) + len(first)
             if self.rows is None or need > len(self.rows):  # grows by doubling
                 more = np.empty((2 * need, len(self.langs)))
                 if have:
                     more[:have] = self.rows[:have]
                 self.rows = more
             self.rows[have:need] = got
-            self.cache.update(zip(new, range(have, need)))
-        return self.rows[np.fromiter(map(self.cache.__getitem__, words), int, len(words))]
+            self.cache.update(zip(first, range(have, need)))
+            row[new] = [self.cache[words[i]] for i in new.tolist()]
+        return self.rows[row]
 
     def label_words(self, texts: list[list[str]]) -> np.ndarray:
         """Marginals of all words of a batch, end to end."""
-        flat = [w for t in texts for w in t]
+        flat = list(chain.from_iterable(texts))
         if not flat:
             return np.zeros((0, len(self.langs)))
         return crf.marginals(self.word_scores(flat), self.trans, self.start, np.array([len(t) for t in texts], int))
@@ -162,7 +183,7 @@ class WordModel:
         if not self.langs or not lengths.sum():
             return ["und"] * len(texts), np.zeros(len(texts))
         doc = np.repeat(np.arange(len(texts)), lengths)
-        size = np.fromiter((len(w) for t in split for w in t), float, int(lengths.sum()))
+        size = np.fromiter(map(len, chain.from_iterable(split)), float, int(lengths.sum()))
         g = self.label_words(split)
         mass = np.column_stack([np.bincount(doc, g[:, j] * size, len(texts)) for j in range(len(self.langs))])
         best = mass.argmax(axis=1)
@@ -189,11 +210,29 @@ def spliced(texts: list[tuple[str, list[str]]], langs: list[str], seed: int = 7)
     return seqs, gold
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        max_docs: int = MAX_DOCS, max_words: int = 150) -> WordModel:
+def sample_keys(docs: DataFrame, text_col: str, lang_col: str, max_docs: int) -> DataFrame:
+    """(lang, h): the texts with the smallest hashes, as many of each language (the common ones
+    have the places that rare ones leave). Only hashes are sorted; a task sends at most
+    ``max_docs`` of each language."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, h in b.groupby("lang")["h"]:
+                held[lang] = np.unique(np.concatenate([held.get(lang, np.zeros(0, np.int64)), h.to_numpy()]))[:max_docs]
+        for lang, h in held.items():
+            yield pd.DataFrame({"lang": lang, "h": h})
+
+    keys = docs.where(F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
+    keys = keys.mapInPandas(run, "lang string, h long").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks x max_docs rows at most
+    return keys.withColumn("place", place).where(F.col("place") <= max_docs).orderBy("place", "h").limit(max_docs).select("lang", "h")
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = 150) -> WordModel:
     """``docs`` are the training documents. Table counts cover all of them; the CRF's weights
-    are learned from ``max_docs`` of them (smallest id hashes), ``max_words`` words from the
-    middle of each."""
+    are learned from ``max_docs`` different texts, as many of each language, and of each from
+    ``max_words`` words in five spans spread over the whole text."""
     docs = docs.where(F.col(lang_col).isNotNull())
     # at most CELLS rows of one array each
     rows = (count_cells(docs, text_col, lang_col).groupBy("cell")
@@ -213,17 +252,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         p = (c + 2.0 * size * share / 16) / (c.sum(axis=0) + 2.0 * size / 16)
         table[OFFSETS[g] : OFFSETS[g] + size] = np.log(p / share)
     model = WordModel(langs, table, np.ones(3 + k) * 0.0, np.zeros((k, k)), np.zeros(k))
-    some = (docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-            .orderBy("h").limit(max_docs))
+    keys = F.broadcast(sample_keys(docs, text_col, lang_col, max_docs))  # max_docs rows
+    some = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).join(
+        keys, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
-    def middle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 w = words_of(text)
-                at = max(0, (len(w) - max_words) // 2)
-                yield pd.DataFrame({"lang": [lang], "words": [" ".join(w[at : at + max_words])]})
+                if len(w) > max_words:
+                    size = -(-max_words // 5)
+                    w = [x for i in range(5) for at in [i * (len(w) - size) // 4] for x in w[at : at + size]]
+                yield pd.DataFrame({"lang": [lang], "words": [" ".join(w)]})
 
-    texts = sorted((r["lang"], r["words"]) for r in some.mapInPandas(middle, "lang string, words string").collect())
+    texts = sorted((r["lang"], r["words"]) for r in some.mapInPandas(spans, "lang string, words string").collect())
     seqs, gold = spliced([(a, b.split(" ")) for a, b in texts if b], langs)
     flat = [w for s in seqs for w in s]
     if flat:

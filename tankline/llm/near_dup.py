@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -45,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankline.llm.common import LOWER, UPPER, WORD, packed
+from tankline.llm.common import WORD_BYTES, hot_join, packed
 from tankline.llm.components import components
 from tankline.operators.joins import checked_broadcast
 from tankline.session import ensure_checkpoint_dir
@@ -55,8 +54,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 50, 7
 K = BANDS * ROWS
 ROUNDS = 3      # of star comparisons before the remainder is paired
-_WORD = re.compile(WORD)
-_LOWER = str.maketrans(UPPER, LOWER)
 _U = np.uint64
 #: Poisson(1): probabilities of at most 0, 1, 2, ... darts in a cell.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, n + 1)) for n in range(18)])
@@ -70,21 +67,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    """The words of ``common.WORD`` after A-Z became a-z, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
 class WordHashes(dict):
     """64-bit hashes of words, remembered within a batch."""
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-def shingle_hashes(words: list[str], seen: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(words: list[bytes], seen: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Hashes of all runs of ``size`` words, in order; of the whole text if it is shorter."""
     h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
@@ -97,8 +93,8 @@ def shingle_hashes(words: list[str], seen: WordHashes, size: int = SHINGLE) -> n
     return out
 
 
-def text_key(words: list[str]) -> bytes:
-    return hashlib.blake2b("\0".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def text_key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\0".join(words), digest_size=16).digest()
 
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int = K) -> np.ndarray:
@@ -138,14 +134,16 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
             frac = g >> _U(40)
             when = rank[d] + frac.astype(float) * 2.0**-24
             keep = (up < weights[at[e[d]]]) & (when < depth[own[e[d]]]) & (when >= done[own[e[d]]])
-            value = (rank[d][keep].astype(np.uint64) << _U(50)) | (frac[keep] << _U(26)) | (mix(g[keep]) >> _U(38))
+            value = (rank[d][keep].astype(np.uint64) << _U(40)) | (frac[keep] << _U(16)) | (mix(g[keep]) >> _U(48))
             slot = own[e[d[keep]]] * k + ((g[keep] & _U(0xFFFF)) * _U(k) >> _U(16)).astype(np.int64)
             np.minimum.at(sig, slot, value)
             lo = hi
         empty = (sig.reshape(n, k) == np.iinfo(np.uint64).max).any(axis=1)
-        todo = todo & empty & (depth < 8000)
+        todo = todo & empty
         done = np.where(todo, depth, done)
         depth = np.where(todo, depth * 2, depth)
+        if depth.max(initial=0) >= 1 << 24:  # the rank's bits in a value
+            raise ValueError("weights far below 1")
     return sig.reshape(n, k)
 
 
@@ -284,7 +282,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     rows = stored(sketch(docs, id_col, text_col, weights).withColumn("row", F.monotonically_increasing_id()), "sketch")
     worded = rows.where(F.col("key").isNotNull())
     # one node per word sequence: its first row, which is stored and so fixed
-    keys = stored(worded.groupBy("key").agg(F.min("row").alias("node")), "keys")
+    keys = stored(worded.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n_rows")), "keys")
     nodes = stored(worded.join(keys.select("node"), F.col("row") == F.col("node"))
                    .select("node", "id", "key", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
@@ -320,13 +318,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     rest = at.join(mixed, "band", "left_semi").select("node", "root").distinct()
     links.append(stored(verify(rare_pairs(rest.join(texts, "node"), similarity), texts, similarity), "more"))
     found = components(functools.reduce(DataFrame.unionByName, links))
-    named = keys.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    member = rows.select("id", "key").join(named, "key", "left")
-    size = member.where(F.col("key").isNotNull()).groupBy("root").agg(
-        F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("node").alias("n_texts"))
-    return (member.join(size, "root", "left").select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")))
+    named = stored(keys.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    # counts per class from counts per text, which come back first to the texts, then to the rows
+    size = named.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+    of_text = stored(hot_join(named.select("key", "n_rows", "root"), size, "root", "n_texts").drop("root"), "classes")
+    member = hot_join(rows.select("id", "key"), of_text, "key", "n_rows")
+    one = F.lit(1).cast("long")
+    return member.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
+                         F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_texts", one * 0).alias("n_texts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -148,13 +148,15 @@ def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
     d = d.select(F.col("row").getField(id_col).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  ((n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
                  F.coalesce(F.col("llr_sum") / grams, F.lit(0.0)).alias("score"), "row")
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.select("min_llr").scalar()))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.select("min_llr").scalar()))
+    # what a generator makes can't be filtered below it: callers' filters would else be pushed into the
+    # statistics, each of which would be computed again for every use
+    return d.select(F.explode(F.array(F.struct(*d.columns))).alias("_r")).select("_r.*")
 
 
 def kept_rows(judged: DataFrame) -> DataFrame:
-    """The kept input rows. An exploded empty array drops a row like a filter would, but isn't
-    pushed below the statistics, where every one of them would be computed again."""
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    """The kept input rows."""
+    return judged.where("kept").select("row.*")
 
 
 def trusted_flag(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import packed
+from tankline.llm.common import WORD_BYTES, packed
 from tankline.operators.ranking import dense_rank_keys
 from tankline.session import ensure_checkpoint_dir
 
@@ -40,12 +40,10 @@ BUCKETS = 10_000
 MIN_WORDS = 20
 FINISH = 4096
 _LAST = np.iinfo(np.int64).max
-#: Bytes of a text to bytes of its words: A-Z lower-cased, other ASCII but letters and digits a space.
-_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_BYTES).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
 def buckets_of(words: list[bytes], max_run: int, buckets: int) -> np.ndarray:

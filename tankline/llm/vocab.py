@@ -7,6 +7,8 @@ import os
 import re
 from dataclasses import dataclass
 
+import numpy as np
+
 #: Fixed value: the published splitting pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Beyond Latin letters, the character classes of two pattern engines may be of different Unicode versions.
@@ -42,6 +44,15 @@ class ByteBpe:
         return [slow.encode(t, add_special_tokens=False).ids if _BEYOND.search(t) else fast.encode_ordinary(t) for t in texts]
 
 
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The same ids as arrays."""
+        _, slow, fast = _byte_bpe(self.path)
+        if fast is None:
+            return [np.array(x, np.uint32) for x in self.encode(texts)]
+        return [np.array(slow.encode(t, add_special_tokens=False).ids, np.uint32) if _BEYOND.search(t)
+                else fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+
+
 @functools.lru_cache(maxsize=4)
 def _byte_bpe(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,6 +95,9 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return _pieces(self.path)[1].encode(texts, num_threads=1)
 
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.encode(texts)]
+
 
 @functools.lru_cache(maxsize=4)
 def _pieces(path: str):

@@ -223,7 +223,7 @@ def test_near_duplicates(spark, odd_docs, no_docs, prose_of):
     assert {r["doc_id"]: r["class_id"] for r in got} == {d: want[d, t] for d, t in rows}
     sizes = collections.Counter(want.values())
     assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
-    assert all(r["n_texts"] == len({" ".join(near_dup.words_of(texts[d])) for d, c in ((x["doc_id"], x["class_id"]) for x in got) if c == r["class_id"]}) for r in got[:20])
+    assert all(r["n_texts"] == len({tuple(near_dup.words_of(texts[d])) for d, c in ((x["doc_id"], x["class_id"]) for x in got) if c == r["class_id"]}) for r in got[:20])
     kept = near_dup.dedup(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     odd = near_dup.classes(odd_docs).collect()

@@ -136,3 +136,28 @@ def test_cell_counts_cover_every_document(spark):
     c = langid.count_cells(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), "text", "lang")
     lex = langid.word_cells("ab")[0][0]
     assert {r["lang"]: r["n"] for r in c.where(F.col("cell") == lex).collect()} == {"l0": 25, "l1": 25}
+
+
+def test_numerals_are_no_letters_and_long_runs_count_whole():
+    assert langid.words_of("½ ² Ⅷ ③ 12 _") == [] and langid.words_of("a½b Ⅷé") == ["a", "b", "é"]
+    long = "ab" * 200
+    assert len(langid.word_cells(long)[2]) == 399 + 398  # all pairs and triples, the middle too
+    words = ["a", "ab", "été", long, "漢字"]
+    together = langid.cells_of(words)
+    for g in range(3):
+        for i, w in enumerate(words):  # no matter what is hashed beside it
+            assert together[g][0][together[g][1] == i].tolist() == list(langid.word_cells(w)[g])
+    assert langid.word_cells("abc")[0] != langid.word_cells("acb")[0]
+
+
+def test_language_sample_has_rare_languages_and_no_copies(spark):
+    rows = [("aa", f"text {i}") for i in range(300)] + [("aa", "same")] * 50 + [("bb", f"rare {i}") for i in range(4)] + [("aa", None)]
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = langid.sample_keys(d, "text", "lang", 20).collect()
+    assert len(got) == len({r["h"] for r in got}) == 20 and sum(r["lang"] == "bb" for r in got) == 4
+
+
+def test_rescaling_doesnt_change_marginals():
+    rng = np.random.default_rng(4)
+    e, t, s = rng.normal(size=(400, 4)) * 20, rng.normal(size=(4, 4)) * 8, rng.normal(size=4)
+    assert np.allclose(crf.marginals(e, t, s, np.array([150, 250])), crf.marginals(e, t, s, np.array([150, 250]), edges=True)[0])

@@ -131,6 +131,15 @@ def test_labelled_junk_is_rejected_at_every_size(spark, sf, lost):
     assert sum(unseen) >= 0.98 * len(unseen)
 
 
+def test_filters_stay_above_the_statistics(spark, odd_docs):
+    model = quality_rules.fit_llr(odd_docs.withColumn("good", F.lit(True)), "good", buckets=64)
+    judged = quality_rules.judge(odd_docs, model)
+    for d in (judged.where(~F.col("base_failed")), judged.where("kept and n_words > 5 and score > -1"), quality_rules.kept_rows(judged)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+    assert judged.where(~F.col("base_failed")).count() == sum(not r["base_failed"] for r in judged.collect())
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1", "http://WWW.Example.com/en/x?y", "https://x.net/es/", "https://x.net/fr/a#b", "http://net/fr/",
             "http://notexample.com/en/", "http://com/", "http://x.com", "http://spam-farm.org/a", "http://s.org/spam/", "ftp://adult-x.de",
@@ -176,6 +185,8 @@ def test_decontamination(spark, odd_docs, no_docs, prose_of):
         for s in range(max(1, len(w) - 9)) if w else ():
             wins[tuple(w[s : s + 10])].add(str(i))
     got = {r["doc_id"]: r for r in decontam.find(docs, bench).collect()}
+    spread = {r["doc_id"]: r for r in decontam.find(docs, bench, max_rows=0).collect()}  # as for a large benchmark
+    assert spread == got
     for i, t in enumerate(texts):
         w, hit, who = words(t), set(), set()
         for n in {len(x) for x in wins}:
@@ -192,3 +203,7 @@ def test_decontamination(spark, odd_docs, no_docs, prose_of):
     assert decontam.find(no_docs, bench).count() == 0
     assert decontam.find(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.clean(odd_docs, bench.limit(0)).count() == odd_docs.count()
+    # rows that share an id, or have none, are judged by themselves
+    dirty, fine = items[0], "nothing of the kind"
+    shared = spark.createDataFrame([(None, dirty), (None, fine), (1, dirty), (1, fine), (1, fine)], "doc_id long, text string")
+    assert sorted(r["text"] for r in decontam.clean(shared, bench).collect()) == [fine] * 3

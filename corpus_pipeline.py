@@ -33,11 +33,13 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the labels of the remaining documents are all of one kind there is nothing to learn:
-    every text with a line scores 0.5 and is kept, with a warning."""
-    model = quality_crf.fit(docs, read(spark, sf_dir, "labels"), learn=~quality_crf.held_out(F.col("_id"), 3, 1))
+    """Learns from the labelled rows of the source table, as the rules have left hardly a bad one,
+    and judges the remaining documents. Without labels of both kinds there is nothing to
+    learn: every text with a line scores 0.5 and is kept, with a warning."""
+    source = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(source, read(spark, sf_dir, "labels"), learn=~quality_crf.held_out(F.col("_id"), 3, 1))
     if not model.learned:
-        warnings.warn("quality_classifier: no labels of both kinds among the remaining documents; every text with a line is kept")
+        warnings.warn("quality_classifier: no labels of both kinds in the documents table; every text with a line is kept")
     out = "_score" + uuid.uuid4().hex
     return quality_crf.score(docs, model, out=out).where(F.col(out) >= 0.5).drop(out)
 

@@ -21,7 +21,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tankline.operators import cf_tree as CF
 from tankline.operators import kmeans_many as KM
+from tankline.operators import mixtures_many as MX
 from tankline.operators.joins import checked_broadcast
 from tankline.operators.ranking import exact_quantiles
 from tankline.operators.temporal import entity_efficiency
@@ -281,21 +283,17 @@ def hierarchical(df: DataFrame, n_clusters: int | None = None, height: float | N
 
 
 def birch(df: DataFrame, n_clusters: int, threshold: float = 0.5, out: str = "prediction", features: str = FEATURES,
-          restarts: int = 10, seed: int = 1) -> DataFrame:
-    """CL-12: clustering features (n, linear sum) of grid cells of side ``threshold`` -- one
-    distributed aggregation, as many cells as the data fill -- then the global phase: K-means
-    over the cell centroids, weighted by their counts. Rows get their cell's cluster."""
-    arr = df.withColumn("_a", vector_to_array(features))
-    cell = F.transform("_a", lambda x: F.floor(x / F.lit(threshold)))
-    first = arr.select(F.size("_a").alias("d")).first()
-    d = first["d"] if first else 0
-    arr = arr.withColumn("_cell", cell)
-    cf = arr.groupBy("_cell").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(F.col("_a")[i]).alias(f"c{i}") for i in range(d)])
-    cf = cf.select("_cell", "n", array_to_vector(F.array(*[f"c{i}" for i in range(d)])).alias("_c")).checkpoint(eager=True)
+          restarts: int = 10, seed: int = 1, branching: int = CF.BRANCHING) -> DataFrame:
+    """CL-12: a clustering-feature tree of the rows (``cf_tree``), then the global phase: K-means over
+    the entries' centroids, weighted by their rows. A row takes the cluster of the entry that
+    is nearest to it."""
+    entries, _ = CF.subclusters(df, threshold, branching, features)
+    d = entries.select("n", array_to_vector(F.transform("total", lambda v: v / F.col("n"))).alias("_c")).checkpoint(eager=True)
     fits = [KM.Fit(n_clusters, seed + r, weight=0) for r in range(restarts)]
-    model = KM.best(KM.fit_many(KM.narrow(cf, "_c", weights=F.array("n")), fits))
-    labels = model.transform(cf, "_c", out).select("_cell", out)
-    return arr.join(checked_broadcast(labels), "_cell").drop("_cell", "_a")
+    model = KM.best(KM.fit_many(KM.narrow(d, "_c", weights=F.array("n")), fits))
+    rows = model.transform(d, "_c", out).select(vector_to_array("_c").alias("c"), out).collect()  # at most CF.MAX_ENTRIES
+    near = CF.nearest_label(np.array([r["c"] for r in rows]), np.array([r[out] for r in rows], np.int32))
+    return df.withColumn(out, near(vector_to_array(features)))
 
 
 # ------------------------------------------------------------------ mixtures
@@ -305,148 +303,29 @@ def gmm(df: DataFrame, k: int, seed: int = 1, features: str = FEATURES):
     return GaussianMixture(k=k, seed=seed, featuresCol=features, maxIter=100, tol=1e-3).fit(df)
 
 
-def _n_params(k: int, d: int, cov: str) -> int:
-    cov_p = {"full": k * d * (d + 1) // 2, "tied": d * (d + 1) // 2, "diag": k * d, "spherical": k}[cov]
-    return (k - 1) + k * d + cov_p
-
-
-def _em_stats_fn(k: int, d: int, cov: str, pi, mu, covs):
-    """Per-batch E-step: responsibilities in numpy, returned as one row of partial
-    sufficient statistics (summed by Spark)."""
-    import pandas as pd
-
-    pi, mu, covs = np.asarray(pi), np.asarray(mu), np.asarray(covs)
-    if cov == "tied":
-        prec = np.linalg.inv(covs)
-        logdet = np.linalg.slogdet(covs)[1]
-    width = d * d if cov == "tied" else d
-
-    def fn(batches):
-        for pdf in batches:
-            x = np.stack(pdf["a"].to_numpy()) if len(pdf) else np.zeros((0, d))
-            logs = np.empty((len(x), k))
-            for c in range(k):
-                diff = x - mu[c]
-                if cov == "tied":
-                    q = np.einsum("ni,ij,nj->n", diff, prec, diff)
-                    ld = logdet
-                else:
-                    v = covs[c] if cov == "diag" else np.full(d, covs[c])
-                    q = (diff * diff / v).sum(axis=1)
-                    ld = np.log(v).sum()
-                logs[:, c] = np.log(pi[c]) - 0.5 * (d * np.log(2 * np.pi) + ld) - 0.5 * q
-            mx = logs.max(axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
-            lse = (mx + np.log(np.exp(logs - mx).sum(axis=1, keepdims=True)))[:, 0] if len(x) else np.zeros(0)
-            r = np.exp(logs - lse[:, None]) if len(x) else np.zeros((0, k))
-            out = [lse.sum(), float(len(x))]
-            for c in range(k):
-                out.append(r[:, c].sum())
-                out += list(r[:, c] @ x)
-                if cov == "tied":
-                    out += list((x * r[:, c:c + 1]).T.dot(x).ravel())
-                else:
-                    out += list(r[:, c] @ (x * x))
-            yield pd.DataFrame([out], columns=[f"s{i}" for i in range(2 + k * (1 + d + width))])
-    return fn
-
-
 def em_mixture(df: DataFrame, k: int, cov: str = "diag", iters: int = 100, seed: int = 1, tol: float = 1e-3,
                features: str = FEATURES):
-    """CL-14: EM for 'diag', 'spherical' and 'tied' covariances. Each iteration is one
-    distributed pass: ``mapInPandas`` computes responsibilities per Arrow batch and
-    emits partial sufficient statistics, Spark sums them, the driver updates the
-    (k x d) parameters. Initialised from a K-means fit. Returns (weights, means,
-    covariances, log-likelihood); stops when the mean log-likelihood changes by less
-    than ``tol`` (the reference's default)."""
-    arr = df.select(vector_to_array(features).alias("a")).cache()
-    d = len(arr.first()["a"])
-    km = KMeans(k=k, seed=seed, featuresCol="f").fit(arr.select(array_to_vector("a").alias("f")))
-    mu = np.array(km.clusterCenters())
-    pi = np.full(k, 1.0 / k)
-    var_all = np.array(arr.agg(*[F.var_pop(F.col("a")[i]) for i in range(d)]).first(), dtype=float)
-    if cov == "tied":
-        covs = np.diag(var_all + 1e-6)
-    else:
-        covs = np.tile(var_all + 1e-6, (k, 1)) if cov == "diag" else np.full(k, var_all.mean() + 1e-6)
-    width = d * d if cov == "tied" else d
-    ncols = 2 + k * (1 + d + width)
-    schema = ", ".join(f"s{i} double" for i in range(ncols))
-    ll_old = None
-    ll = float("-inf")
-    for _ in range(iters):
-        st = arr.mapInPandas(_em_stats_fn(k, d, cov, pi, mu, covs), schema)
-        r = st.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(ncols)]).first()  # one row of statistics
-        v = np.array([r[f"s{i}"] for i in range(ncols)], dtype=float)
-        ll, n = v[0], v[1]
-        pos = 2
-        sk, mk, qk = [], [], []
-        for c in range(k):
-            sk.append(v[pos]); pos += 1
-            mk.append(v[pos:pos + d]); pos += d
-            qk.append(v[pos:pos + width]); pos += width
-        s = np.array(sk) + 1e-12
-        pi = s / n
-        mu = np.array(mk) / s[:, None]
-        if cov == "tied":
-            tot = sum(np.array(qk[c]).reshape(d, d) - s[c] * np.outer(mu[c], mu[c]) for c in range(k))
-            covs = tot / n + 1e-6 * np.eye(d)
-        else:
-            var = np.array(qk) / s[:, None] - mu ** 2 + 1e-6
-            covs = var if cov == "diag" else var.mean(axis=1)
-        if ll_old is not None and abs(ll - ll_old) / n < tol:
-            break
-        ll_old = ll
-    arr.unpersist()
-    return pi, mu, covs, float(ll)
-
-
-def em_labels(df: DataFrame, k: int, cov: str, pi, mu, covs, out: str = "prediction", features: str = FEATURES) -> DataFrame:
-    """The likeliest component of every row under a model of ``em_mixture``."""
-    import pandas as pd
-
-    pi, mu, covs = np.asarray(pi), np.asarray(mu), np.asarray(covs)
-    d = mu.shape[1]
-
-    @F.pandas_udf("int")
-    def of(a: pd.Series) -> pd.Series:
-        x = np.stack(a.to_numpy()) if len(a) else np.zeros((0, d))
-        logs = np.empty((len(x), k))
-        for c in range(k):
-            diff = x - mu[c]
-            if cov == "tied":
-                q, ld = np.einsum("ni,ij,nj->n", diff, np.linalg.inv(covs), diff), np.linalg.slogdet(covs)[1]
-            else:
-                v = covs[c] if cov == "diag" else np.full(d, covs[c])
-                q, ld = (diff * diff / v).sum(axis=1), np.log(v).sum()
-            logs[:, c] = np.log(pi[c]) - 0.5 * ld - 0.5 * q
-        return pd.Series(logs.argmax(axis=1).astype(np.int32))
-
-    return df.withColumn(out, of(vector_to_array(features)))
-
-
-def mixture_grid(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6),
-                 covs: Sequence[str] = ("full", "tied", "diag", "spherical"), seed: int = 1) -> DataFrame:
-    """CL-14: log-likelihood, AIC, BIC and silhouette per (components, covariance type); the
-    silhouette is null if all rows fall to one component."""
-    n = df.count()
-    d = len(df.select(vector_to_array(FEATURES).alias("a")).first()["a"])
-    d_c = df.select(FEATURES).cache()
-
-    def one(setting):
-        k, cov = setting
-        if cov == "full":
-            m = gmm(d_c, k, seed)
-            ll, lab = float(m.summary.logLikelihood), m.transform(d_c)
-        else:
-            pi, mu, covs_, ll = em_mixture(d_c, k, cov, seed=seed)
-            lab = em_labels(d_c, k, cov, pi, mu, covs_)
-        lab = lab.select(FEATURES, "prediction").cache()
-        sil = silhouette(lab) if lab.select("prediction").distinct().count() > 1 else None
-        lab.unpersist()
-        p = _n_params(k, d, cov)
-        return (int(k), cov, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll, sil)
-
-    rows = parallel_map(one, itertools.product(ks, covs))
-    d_c.unpersist()
+    """CL-14: one mixture of any covariance type: (weights, means, covariances, log-likelihood)."""
+    m = MX.fit_many(df, [(k, cov)], seed, iters, tol, features)[0]
+    return m.weight, m.mean, m.covariance, m.log_likelihood
+
+
+def mixture_grid(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6), covs: Sequence[str] = MX.COVARIANCES, seed: int = 1) -> DataFrame:
+    """CL-14: log-likelihood, AIC, BIC and silhouette per (components, covariance type), all fitted in
+    shared passes; the silhouette is null if all rows fall to one component."""
+    settings = list(itertools.product(ks, covs))
+    models = MX.fit_many(df, settings, seed)
+    labelled = df.select(FEATURES, MX.labels_of(models, F.col(FEATURES)).alias("_l")).cache()
+    n = labelled.count()
+    kinds = labelled.agg(*[F.count_distinct(F.col("_l")[i]).alias(str(i)) for i in range(len(models))]).first()
+
+    def one(i):
+        m, (k, cov) = models[i], settings[i]
+        sil = silhouette(labelled.select(FEATURES, F.col("_l")[i].alias("prediction"))) if kinds[str(i)] > 1 else None
+        ll, p = m.log_likelihood, m.parameters()
+        return int(k), cov, ll, 2.0 * p - 2 * ll, p * math.log(n) - 2 * ll, sil
+
+    rows = parallel_map(one, range(len(models)))
+    labelled.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_components int, covariance_type string, log_likelihood double, "
                                                  "aic double, bic double, silhouette double")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tankline.functions import expr as X
+from tankline.operators.components import connected_components
+from tankline.operators.joins import attach
 
 
 def _k(length, threshold: float):
@@ -84,15 +86,34 @@ def similar_pairs(strings: DataFrame, col: str = "norm", threshold: float = 95.0
     return pairs.withColumn("score", X.similarity_ratio("a", "b"))
 
 
+def name_groups(df: DataFrame, name: str, order: str, threshold: float = 95.0) -> DataFrame:
+    """PP-3, transitive: names that a chain of similar names connects are one group; its
+    representative is the name with the latest first appearance. Names that normalise to
+    the same text are one node, so a group may be as long as the chain. Output: name,
+    representative, first_seen, group_size (distinct names)."""
+    names = (df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(order).alias("first_seen"))
+             .withColumn("norm", X.normalise_text("name")))
+    root = connected_components(similar_pairs(names, "norm", threshold), names.select("norm"))
+    named = attach(names, root.withColumnRenamed("node", "norm"), "norm", "inner")
+    best = named.groupBy("root").agg(F.max_by("name", F.struct("first_seen", "name")).alias("representative"),
+                                     F.count(F.lit(1)).alias("group_size"))
+    return attach(named, best, "root", "inner").select("name", "representative", "first_seen", "group_size")
+
+
 def consolidate_names(df: DataFrame, name: str, order: str, threshold: float = 95.0,
-                      strict_reference: bool = False) -> DataFrame:
-    """PP-3: map every distinct non-null name to its representative.
+                      strict_reference: bool = False, mode: str = "one_hop") -> DataFrame:
+    """PP-3: map every distinct non-null name to its representative. ``mode="components"``
+    follows chains of similar names instead (``name_groups``).
 
     ``order`` gives first appearance (smallest value first). Names that normalise
     to the same text score 100; by default they are merged too (the reference's
     'exact match' filter drops them: ``strict_reference=True``).
     Output: name, representative, first_seen.
     """
+    if mode == "components":
+        return name_groups(df, name, order, threshold).drop("group_size")
+    if mode != "one_hop":
+        raise ValueError(mode)
     names = (df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("first_seen"))
              .withColumn("norm", X.normalise_text(name)))
     # best (latest first appearance) raw name per normalised text

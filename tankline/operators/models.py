@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tankline.operators.cluster import parallel_map
 from tankline.operators.joins import attach
 from tankline.operators.ranking import rank_within_group
+from tankline.operators.summaries import histogram
 from tankline.schema import DEFAULT, TxnCols
 
 LABEL = "label"
@@ -363,6 +364,12 @@ def parameter_influence(trials: DataFrame, params: Sequence[str], score: str = "
         "param", "value", "n", F.round("mean_score", 9).alias("mean_score"), "best_score", F.round("slope", 9).alias("slope"))
 
 
+def score_distribution(trials: DataFrame, score: str = "mean_score", bins: int = 20) -> DataFrame:
+    """ML-18: histogram of the trials' scores (SM-3), each bin with the best score."""
+    best = trials.agg(F.max(F.col(score).cast("double")).alias("best")).first()["best"]
+    return histogram(trials, score, bins).withColumn("best_score", F.lit(best).cast("double"))
+
+
 # ------------------------------------------------------------- diagnostics
 
 def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:

@@ -254,6 +254,14 @@ def best_settings(grid: DataFrame, metric: str = "silhouette", n: int = 5) -> Da
     return grid.orderBy(F.desc(metric), *keys).limit(n)
 
 
+def algorithm_labels(df: DataFrame, k: int = 3, key: str = "id", seed: int = 1) -> DataFrame:
+    """(key, kmeans, birch, mixture): labels of three algorithms that run over all rows."""
+    d = CL.kmeans_best(df, k, seed=seed).transform(df).withColumnRenamed("prediction", "kmeans")
+    d = CL.birch(d, k, out="birch", seed=seed)
+    mixture = CL.MX.labels_of(CL.MX.fit_many(df, [(k, "full")], seed), F.col(CL.FEATURES))[0]
+    return d.select(key, "kmeans", "birch", mixture.alias("mixture")).checkpoint(eager=True)
+
+
 def silhouette_by_algorithm(df: DataFrame, k: int = 3, seed: int = 1) -> DataFrame:
     """CL-27: silhouette of K-means, Ward (micro-clusters), BIRCH and the Gaussian
     mixture at the same k; the best is marked."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tankline.operators import evaluation as EV
 from tankline.operators import models as M
+from tankline.operators.ranking import dense_rank_keys
 
 
 def run_metrics(pred: DataFrame) -> dict:
@@ -123,22 +124,42 @@ def compare_models(df: DataFrame, kinds: dict, seed: int = 1) -> DataFrame:
     return _frame(df.sparkSession, rows)
 
 
-def evaluation_bundle(model, test: DataFrame) -> dict[str, DataFrame]:
-    """ML-34: confusion, report, per-class ROC AUC, average precision and calibration
-    of one fitted model on test rows (scores from the probability vector)."""
+def thinned(curve: DataFrame, points: int, order: str = "threshold") -> DataFrame:
+    """About ``points`` rows of a curve, evenly spread over its rows in the given order; the first and
+    the last are kept. Positions come from range partitions, so no task sorts the whole curve."""
+    keyed = curve.withColumn("_k", F.struct(F.coalesce(order, F.lit(float("inf"))), F.xxhash64(*curve.columns)))
+    rank = dense_rank_keys(keyed, "_k", "_r")
+    n = rank.agg(F.max("_r").alias("n")).first()["n"] or 0
+    step = max(1, n // max(1, points))
+    wanted = rank.where(((F.col("_r") - 1) % step == 0) | (F.col("_r") == n))
+    return keyed.join(F.broadcast(wanted), "_k").drop("_k", "_r")  # about ``points`` rows
+
+
+def evaluation_bundle(model, test: DataFrame, points: int = 100) -> dict[str, DataFrame]:
+    """ML-34: confusion, report, permutation importances, and per class ROC and precision-recall
+    curves (``points`` of them, evenly spread over the curve's points, first and last included),
+    AUC, average precision and calibration of one fitted model on test rows (scores from the
+    probability vector); impurity importances of models that have them."""
     from pyspark.ml.functions import vector_to_array
     pred = model.transform(test)
     yp = pred.select(F.col(M.LABEL).cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"),
                      *([vector_to_array("probability").alias("p")] if "probability" in pred.columns else []))
-    out = {"confusion": EV.confusion(yp), "report": EV.class_report(yp)}
+    out = {"confusion": EV.confusion(yp), "report": EV.class_report(yp),
+           "permutation_importance": M.permutation_importance(model, test, [*M.NUMERICAL, *M.CATEGORICAL])}
+    if hasattr(model.stages[-1], "featureImportances"):
+        out["impurity_importance"] = M.impurity_importance(model, test)
     if "probability" in pred.columns:
-        aucs, aps, cals = [], [], []
+        aucs, aps, cals, rocs, prs = [], [], [], [], []
         for c in range(3):
             one = yp.select(F.col("y_true"), F.col("p")[c].alias("score"))
             aucs.append(EV.roc_auc(one, positive=c).withColumn("class", F.lit(c)))
             aps.append(EV.average_precision(one, positive=c).withColumn("class", F.lit(c)))
+            rocs.append(thinned(EV.roc_points(one, positive=c), points).withColumn("class", F.lit(c)))
+            prs.append(thinned(EV.pr_points(one, positive=c), points).withColumn("class", F.lit(c)))
             cals.append(EV.calibration(one, positive=c).withColumn("class", F.lit(c)))
         out["roc_auc"] = aucs[0].unionByName(aucs[1]).unionByName(aucs[2])
         out["average_precision"] = aps[0].unionByName(aps[1]).unionByName(aps[2])
+        out["roc_curve"] = rocs[0].unionByName(rocs[1]).unionByName(rocs[2])
+        out["pr_curve"] = prs[0].unionByName(prs[1]).unionByName(prs[2])
         out["calibration"] = cals[0].unionByName(cals[1]).unionByName(cals[2])
     return out

@@ -248,9 +248,14 @@ def silhouette_by_algorithm(spark, sf):
 
 @query("stability_report", covers=("CL-26", "SNK-2"))
 def stability_report(spark, sf):
+    """The reference's six parts, and the centroids' spread."""
     d = vehicles_scaled(spark, sf)
-    parts = {"centroids": ST.bootstrap_centroids(d, 3, feature_names=CL.VEHICLE_FEATURES),
-             "feature_impact": ST.feature_impact(d, 3, CL.VEHICLE_FEATURES)}
+    curve = CL.elbow(d, range(2, 11)).cache()
+    labels = ST.algorithm_labels(d, 3)
+    parts = {"optimal_clusters": CL.elbow_choice(curve, default=3), "silhouette_scores": CL.silhouette_by_k(d), "inertia_values": curve,
+             "cluster_stability": ST.bootstrap_cooccurrence(d, 3), "feature_importance": ST.feature_impact(d, 3, CL.VEHICLE_FEATURES),
+             "algorithm_agreement": ST.agreement_matrix(labels, [c for c in labels.columns if c != "id"]),
+             "centroids": ST.bootstrap_centroids(d, 3, feature_names=CL.VEHICLE_FEATURES)}
     path = os.path.join(ensure_checkpoint_dir(spark), "reports", "stability_report")
     return ST.stability_report(path, parts)
 

@@ -3,10 +3,14 @@ tables in the reference's file layout and reads it back with our reader."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tankline.operators.clean import attach_coordinates
 from tankline.plans.flag_queries import FLAG_COLS
 from tankline.plans.registry import REGISTRY, query
+from tankline.plans.table_queries import COORDS_SQL, place_coordinates
 from tankline.session import ensure_checkpoint_dir
 from tankline.sources import fixtures as FX
 from tankline.sources import files as FI
@@ -14,7 +18,8 @@ from tankline.sources import stages as SG
 
 
 def _path(spark, sf, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{SG._key(spark, sf)}/{SG._NAMESPACE[0]}/{name}"
+    """A folder of this run's own, so that sessions on the same input don't overwrite each other."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{SG._key(spark, sf)}/{SG._NAMESPACE[0]}/{uuid.uuid4().hex[:12]}/{name}"
 
 
 PRODUCT_COLS = {"coastal_petrol_cents": "95 LRP (c/l)", "coastal_diesel_cents": "Diesel 0.05% (c/l) ",
@@ -49,13 +54,15 @@ def register_semicolon(spark, sf):
     return FI.read_csv(spark, p, "reg_no bigint, old_reg bigint, site string, district string, source string", sep=";")
 
 
-@query("map_extract", covers=("SNK-4", "SRC-4"), sql=FX.with_views(
-    "SELECT DISTINCT entity_id, site, district FROM txn", "txn"))
+@query("map_extract", covers=("SNK-4", "SRC-4", "JN-11"), sql=FX.with_views("""
+SELECT DISTINCT t.entity_id, c.lat, c.lon FROM txn t LEFT JOIN coords c ON c.address = t.site || ', ' || t.district""", "txn", ctes=[COORDS_SQL]))
 def map_extract(spark, sf):
+    """Id and coordinates of every vehicle's places, through the CSV file."""
     p = _path(spark, sf, "map_extract")
-    FI.write_map_extract(SG.stage(spark, sf, "txn").select("entity_id", "site", "district").distinct(), p,
-                         ["entity_id", "site", "district"])
-    return FI.read_csv(spark, p, "entity_id bigint, site string, district string")
+    places = SG.stage(spark, sf, "txn").select("entity_id", "site", "district").distinct()
+    d = attach_coordinates(places, "site", place_coordinates(spark, sf), region="district").select("entity_id", "lat", "lon").distinct()
+    FI.write_map_extract(d, p, ["entity_id", "lat", "lon"])
+    return FI.read_csv(spark, p, "entity_id bigint, lat double, lon double")
 
 
 @query("streaming_flags", covers=("HF-5", "streaming"), sql=REGISTRY["flags_all"].sql)
@@ -63,7 +70,6 @@ def streaming_flags(spark, sf):
     """The priced stage streamed as files through incremental ingestion; the flagged
     table equals the batch flags of all rows."""
     from tankline.streaming import incremental_flags
-    import uuid
     priced = SG.stage(spark, sf, "priced")
     run = uuid.uuid4().hex[:8]
     src = _path(spark, sf, f"stream/{run}/src")

@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tankline.operators import linear_many as LM
+from tankline.operators import mlp_many as MLP
 from tankline.operators import models as M
+from tankline.operators import trees_many as TM
 from tankline.operators import validation as V
 from tankline.plans.flag_queries import PRICED_SQL, flagged_sql, flagged_txn
 from tankline.plans.registry import query
@@ -133,20 +135,87 @@ def grid_search(spark, sf):
 
 
 # The reference's grids.
-FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [15, 20], "minInstancesPerNode": [5, 10]}
 SGD_GRID = [LM.Setting(loss, alpha, penalty) for loss in LM.LOSSES for alpha in (1e-4, 1e-3) for penalty in ("l1", "l2", "elasticnet")]
 CLASSES = (0, 1, 2)
 
 
-# The reference's ranges (its upper ends are exclusive), up to the deepest tree Spark grows.
-FOREST_SPACE = {"numTrees": (50, 299), "maxDepth": (10, 30), "minInstancesPerNode": (1, 9)}
+def _binned(spark, sf, folds):
+    train, _ = _split(spark, sf, weighted=False)
+    return TM.binned(M.stratified_folds(train, "txn_id", folds, seed=1), M.NUMERICAL, M.CATEGORICAL, fold="fold")
+
+
+def _trial_table(spark, settings, scores):
+    """One row per setting, with its parameters and its mean score on the left-out folds."""
+    import dataclasses
+    rows = [dataclasses.asdict(x) for x in settings]
+    names = [n for n in rows[0] if n not in ("seed", "leave_out")]
+    kinds = {int: "long", float: "double", str: "string", bool: "boolean", tuple: "string"}
+    kind = {n: next((kinds[type(r[n])] for r in rows if r[n] is not None), "string") for n in names}
+    table = [(i, *[str(list(r[n])) if isinstance(r[n], tuple) else r[n] for n in names], v) for i, (r, v) in enumerate(zip(rows, scores))]
+    return spark.createDataFrame(table, "candidate int, " + "".join(f"{n} {kind[n]}, " for n in names) + "mean_score double")
+
+
+def _search(spark, sf, name):
+    """The trials of a search, written once as a stage table: several queries report on them."""
+    import hashlib
+    import inspect
+    source = "".join(inspect.getsource(m) for m in (TM, MLP, M))
+    path = SG.named_path(spark, sf, f"search-{name}-{hashlib.sha1(source.encode()).hexdigest()[:12]}")
+    return SG.written_once(spark, path, lambda: SEARCHES[name](spark, sf))
+
+
+def _forest_search(spark, sf):
+    d, cols = _binned(spark, sf, 5)
+    draws = TM.forest_draws()
+    return _trial_table(spark, draws, TM.cross_validate(d, cols, draws, 5, len(CLASSES)))
+
+
+def _boosted_search(spark, sf):
+    d, cols = _binned(spark, sf, 5)
+    draws = TM.boost_draws()
+    return _trial_table(spark, draws, TM.cross_validate(d, cols, draws, 5, len(CLASSES)))
+
+
+def _mlp_search(spark, sf):
+    train, _ = _split(spark, sf, weighted=False)
+    d = M.stratified_folds(train, "txn_id", 5, seed=1)
+    draws = MLP.net_draws()
+    return _trial_table(spark, draws, MLP.cross_validate(MLP.narrow(_vectors(d).transform(d), fold="fold"), draws, 5, len(CLASSES)))
+
+
+SEARCHES = {"forest": _forest_search, "boosted": _boosted_search, "mlp": _mlp_search}
 
 
 @query("grid_search_forest", covers=("ML-16", "ML-13"))
 def grid_search_forest(spark, sf):
-    train, _ = _split(spark, sf)
-    _, trials = M.grid_search(train, "random_forest", FOREST_GRID)
-    return trials
+    """The reference's 8 settings x 3 folds, side by side."""
+    d, cols = _binned(spark, sf, 3)
+    return _trial_table(spark, TM.forest_grid(), TM.cross_validate(d, cols, TM.forest_grid(), 3, len(CLASSES), "accuracy"))
+
+
+@query("grid_search_boosted", covers=("ML-16", "ML-12"))
+def grid_search_boosted(spark, sf):
+    d, cols = _binned(spark, sf, 3)
+    return _trial_table(spark, TM.boost_grid(), TM.cross_validate(d, cols, TM.boost_grid(), 3, len(CLASSES), "accuracy"))
+
+
+@query("grid_search_mlp", covers=("ML-16", "ML-14"))
+def grid_search_mlp(spark, sf):
+    """The reference's 4 settings x 3 folds, side by side."""
+    train, _ = _split(spark, sf, weighted=False)
+    d = M.stratified_folds(train, "txn_id", 3, seed=1)
+    x = MLP.narrow(_vectors(d).transform(d), fold="fold")
+    return _trial_table(spark, MLP.net_grid(), MLP.cross_validate(x, MLP.net_grid(), 3, len(CLASSES), "accuracy"))
+
+
+@query("train_boosted", covers=("ML-12",))
+def train_boosted(spark, sf):
+    """Softmax boosted trees (100 rounds of depth 6) on all training rows; predictions on the test rows."""
+    train, test = _split(spark, sf, weighted=False)
+    both = train.withColumn("part", F.lit(-1)).unionByName(test.withColumn("part", F.lit(0)))
+    d, cols = TM.binned(both, M.NUMERICAL, M.CATEGORICAL, fold="part")
+    return TM.predictions(d, cols, TM.Boost(leave_out=0), len(CLASSES)).where("f = 0").select(
+        F.col("h").alias("row_hash"), F.col("y").alias("label"), "prediction")
 
 
 def _vectors(df):
@@ -174,11 +243,38 @@ def train_sgd(spark, sf):
     return out.drop("features")
 
 
-@query("random_search", covers=("ML-17", "ML-18"))
+@query("random_search", covers=("ML-17", "ML-18", "ML-13"))
 def random_search(spark, sf):
-    train, _ = _split(spark, sf)
-    _, trials = M.random_search(train, "random_forest", FOREST_SPACE)
-    return trials
+    """50 forests drawn from the reference's ranges x 5 folds, side by side."""
+    return _search(spark, sf, "forest")
+
+
+@query("random_search_boosted", covers=("ML-17", "ML-12"))
+def random_search_boosted(spark, sf):
+    return _search(spark, sf, "boosted")
+
+
+@query("random_search_mlp", covers=("ML-17", "ML-14"))
+def random_search_mlp(spark, sf):
+    return _search(spark, sf, "mlp")
+
+
+@query("search_influence", covers=("ML-18", "FN-17"))
+def search_influence(spark, sf):
+    """Influence of the numeric parameters in the trials of the forest search."""
+    t = _search(spark, sf, "forest")
+    names = ["trees", "max_depth", "min_split", "min_leaf"]
+    return M.parameter_influence(t.select(*[F.col(n).cast("double").alias(n) for n in names], "mean_score"), names)
+
+
+@query("search_scores", covers=("ML-18",))
+def search_scores(spark, sf):
+    """Distribution of the mean scores in the trials of all three searches."""
+    out = None
+    for name in SEARCHES:
+        t = M.score_distribution(_search(spark, sf, name)).withColumn("search", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @query("random_search_linear", covers=("ML-17", "ML-15"))
@@ -207,6 +303,19 @@ def parameter_influence(spark, sf):
     return M.parameter_influence(t, ["depth", "trees"])
 
 
+@query("score_distribution", covers=("ML-18",), sql="""
+WITH t AS (SELECT CAST(c_acctbal AS DOUBLE) AS s FROM customer), mm AS (SELECT MIN(s) AS lo, MAX(s) AS hi FROM t)
+SELECT b.bin, mm.lo + b.bin * ((mm.hi - mm.lo) / 20) AS lo,
+       CASE WHEN b.bin = 19 THEN mm.hi ELSE mm.lo + (b.bin + 1) * ((mm.hi - mm.lo) / 20) END AS hi,
+       CAST(COALESCE(c.n, 0) AS BIGINT) AS n, mm.hi AS best_score
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) b CROSS JOIN mm
+LEFT JOIN (SELECT LEAST(CAST(floor((s - mm.lo) / ((mm.hi - mm.lo) / 20)) AS INTEGER), 19) AS bin, COUNT(*) AS n
+           FROM t CROSS JOIN mm GROUP BY 1) c ON c.bin = b.bin""")
+def score_distribution(spark, sf):
+    """The rule on a given table of scores, so that SQL can check it; search_scores has real trials."""
+    return M.score_distribution(table(spark, sf, "customer").select(F.col("c_acctbal").cast("double").alias("mean_score")))
+
+
 @query("impurity_importance", covers=("ML-24",))
 def impurity_importance(spark, sf):
     train, _ = _split(spark, sf)

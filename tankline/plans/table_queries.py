@@ -123,6 +123,20 @@ def name_consolidation_85(spark, sf):
     return FZ.consolidate_names(SG.stage(spark, sf, "names"), "name", "name_id", threshold=85.0)
 
 
+@query("name_groups", covers=("PP-3", "JN-13"), sql=FX.with_views("""
+SELECT nm.name, r.representative, nm.first_seen, r.group_size
+FROM nm JOIN comp USING (norm) JOIN (
+  SELECT root, arg_max(name, first_seen) AS representative, COUNT(*) AS group_size
+  FROM nm JOIN comp USING (norm) GROUP BY root) r USING (root)""", "names", ctes=[*_consolidation_ctes(70), """
+reach AS (SELECT DISTINCT norm AS src, norm AS dst FROM nm
+          UNION SELECT reach.src, p.dst FROM reach JOIN (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs) p
+          ON p.src = reach.dst)""", """
+comp AS (SELECT src AS norm, MIN(dst) AS root FROM reach GROUP BY src)"""], recursive=True))
+def name_groups(spark, sf):
+    """Transitive groups at threshold 70, where chains of the short fixture names form."""
+    return FZ.name_groups(SG.stage(spark, sf, "names"), "name", "name_id", threshold=70.0)
+
+
 @query("names_replaced", covers=("JN-10",), sql=FX.with_views("""
 SELECT t.name_id, COALESCE(m.representative, t.name) AS name FROM names t LEFT JOIN cons m ON m.name = t.name""",
                                                            "names", ctes=[*_consolidation_ctes(85),
@@ -557,13 +571,15 @@ coords AS (SELECT n_name || ', ' || r.r_name AS address, -30.0 - n_nationkey * 0
 SELECT t.txn_id, c.lat AS site_lat, c.lon AS site_lon
 FROM txn t LEFT JOIN coords c ON c.address = t.site || ', ' || t.district""", "txn", ctes=[COORDS_SQL]))
 def coordinates(spark, sf):
-    from tankline.sources.tables import table
-    n = table(spark, sf, "nation")
-    r = table(spark, sf, "region")
-    coords = (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_nationkey") % 7 != 3)
-              .select(F.concat(F.col("n_name"), F.lit(", "), F.col("r_name")).alias("address"),
-                      (F.lit(-30.0) - F.col("n_nationkey") * F.lit(0.25)).alias("lat"),
-                      (F.lit(22.0) + F.col("n_nationkey") * F.lit(0.5)).alias("lon")))
-    t = SG.stage(spark, sf, "txn")
-    out = CL.attach_coordinates(t, "site", coords, region="district", prefix="site_")
+    out = CL.attach_coordinates(SG.stage(spark, sf, "txn"), "site", place_coordinates(spark, sf), region="district", prefix="site_")
     return out.select("txn_id", "site_lat", "site_lon")
+
+
+def place_coordinates(spark, sf):
+    """(address, lat, lon): the dimension of ``COORDS_SQL``."""
+    from tankline.sources.tables import table
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    return (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_nationkey") % 7 != 3)
+            .select(F.concat(F.col("n_name"), F.lit(", "), F.col("r_name")).alias("address"),
+                    (F.lit(-30.0) - F.col("n_nationkey") * F.lit(0.25)).alias("lat"),
+                    (F.lit(22.0) + F.col("n_nationkey") * F.lit(0.5)).alias("lon")))

@@ -168,8 +168,8 @@ FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
 }
 
 
-def with_views(body: str, *names: str, ctes: tuple[str, ...] | list[str] = ()) -> str:
+def with_views(body: str, *names: str, ctes: tuple[str, ...] | list[str] = (), recursive: bool = False) -> str:
     """Oracle query text: the CTEs of the views it reads, then extra ``name AS (...)``
     CTEs in order, then the final SELECT."""
     parts = [f"{n} AS ({SQL[n].strip()})" for n in names] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body.strip()

@@ -19,6 +19,7 @@ import hashlib
 import inspect
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,19 +97,27 @@ def use_namespace(ns: str) -> None:
     _NAMESPACE[0] = ns
 
 
-def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read stage ``name`` for ``sf_dir``, building and writing it first if needed."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/stages/{_key(spark, sf_dir)}/{_NAMESPACE[0]}/{name}"
+def named_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where the table ``name`` derived from ``sf_dir`` belongs."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{_key(spark, sf_dir)}/{_NAMESPACE[0]}/{name}"
+
+
+def written_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, built and written first if it isn't there."""
     if not _exists(spark, path):
         with _LOCKS_GUARD:
             lock = _LOCKS.setdefault(path, threading.Lock())
-        with lock:  # one builder per stage in this process; other threads wait and read
+        with lock:  # one builder per table in this process; other threads wait and read
             if not _exists(spark, path):
-                _write_once(spark, _build(spark, sf_dir, name), path)
+                _write_once(spark, build(), path)
     return spark.read.parquet(path)
 
 
+def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read stage ``name`` for ``sf_dir``, building and writing it first if needed."""
+    return written_once(spark, named_path(spark, sf_dir, name), lambda: _build(spark, sf_dir, name))
+
+
 def prepare(spark: SparkSession, sf_dir: str, names=("txn", "price", "meter", "priced", "flagged")) -> None:
     """Write every stage (the data-prep step). Independent views are written as
     concurrent Spark jobs; derived stages follow their inputs."""

@@ -106,6 +106,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     with np.errstate(divide="ignore"):
         depth = np.where(total > 0, k * (np.log(k) + 2) / total, 0.0)  # ranks to cover
     done = np.zeros(n)
+    unit = bool((weights == 1).all())   # one cell a rank, and no dart above the weight
     todo = total > 0
     while todo.any():
         at = np.flatnonzero(todo[owner])
@@ -123,19 +124,28 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
             c = cells[part]
             e = np.repeat(np.arange(lo, hi), c)
             i = np.arange(len(e)) - np.repeat(np.cumsum(c) - c, c)
-            rank = base[own[e]] + i % units[own[e]]
-            height = i // units[own[e]]
-            h = mix(elements[at[e]] ^ mix(rank.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + height.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(1)))
+            if unit:
+                rank = np.repeat(base[own[part]], c) + i
+                of_rank = mix(np.arange(int(rank.max(initial=0)) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(1))
+                h = mix(np.repeat(elements[at[part]], c) ^ of_rank[rank])
+            else:
+                rank = base[own[e]] + i % units[own[e]]
+                height = i // units[own[e]]
+                h = mix(elements[at[e]] ^ mix(rank.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + height.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(1)))
             darts = np.searchsorted(_POISSON, (h >> _U(11)).astype(float) * 2.0**-53, "right")
             d = np.repeat(np.arange(len(e)), darts)
             j = np.arange(len(d)) - np.repeat(np.cumsum(darts) - darts, darts)
             g = mix(h[d] + (j.astype(np.uint64) + _U(1)) * _U(0xA0761D6478BD642F))
-            up = height[d] + ((g >> _U(16)) & _U(0xFFFFFF)).astype(float) * 2.0**-24
             frac = g >> _U(40)
-            when = rank[d] + frac.astype(float) * 2.0**-24
-            keep = (up < weights[at[e[d]]]) & (when < depth[own[e[d]]]) & (when >= done[own[e[d]]])
-            value = (rank[d][keep].astype(np.uint64) << _U(40)) | (frac[keep] << _U(16)) | (mix(g[keep]) >> _U(48))
-            slot = own[e[d[keep]]] * k + ((g[keep] & _U(0xFFFF)) * _U(k) >> _U(16)).astype(np.int64)
+            of_set, rank = own[e[d]], rank[d]
+            when = rank + frac.astype(float) * 2.0**-24
+            keep = (when < depth[of_set]) & (when >= done[of_set])
+            if not unit:
+                up = height[d] + ((g >> _U(16)) & _U(0xFFFFFF)).astype(float) * 2.0**-24
+                keep &= up < weights[at[e[d]]]
+            g = g[keep]
+            value = (rank[keep].astype(np.uint64) << _U(40)) | (frac[keep] << _U(16)) | (mix(g) >> _U(48))
+            slot = of_set[keep] * k + ((g & _U(0xFFFF)) * _U(k) >> _U(16)).astype(np.int64)
             np.minimum.at(sig, slot, value)
             lo = hi
         empty = (sig.reshape(n, k) == np.iinfo(np.uint64).max).any(axis=1)

@@ -23,8 +23,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tankline.session import spread
+
 FEATURES = "features"
 _U = np.uint64
+MATRIX = 1_000_000  # distances held at once
+GATHERED = 4_000_000    # numbers that a pass sends to the driver at most; beyond that Spark adds them up first
 
 
 @dataclass(frozen=True)
@@ -128,29 +132,66 @@ def _seed_pass(data: DataFrame, models: list[Centers], step: int, d: int) -> Non
             models[i].fit = Fit(**{**models[i].fit.__dict__, "k": max(1, len(models[i].centers))})
 
 
+def _alike(models: list[Centers], live: list[int]) -> list[list[int]]:
+    """Fits with equally many centres over the same coordinates and rows: they share their steps."""
+    out: dict[tuple, list[int]] = {}
+    for i in live:
+        f = models[i].fit
+        out.setdefault((f.k, f.dims, f.group, f.weight is None), []).append(i)
+    return list(out.values())
+
+
 def _lloyd_pass(data: DataFrame, models: list[Centers], live: list[int], d: int) -> dict[int, np.ndarray]:
     """Per fit: for each centre the weight and the weighted sum of its rows, then the cost."""
+    parts = _alike(models, live)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = {i: np.zeros(models[i].fit.k * (d + 1) + 1) for i in live}
+        acc = [np.zeros((len(part), models[part[0]].fit.k * (d + 1) + 1)) for part in parts]
+        centers = [np.stack([models[i].centers for i in part]) for part in parts]
         for b in batches:
-            x, w, g = _rows(b, d)
-            for i in live:
-                m = models[i]
-                p = _weight(m, len(x), w, g)
-                best, dist = _assign(x, m)
-                k, s = m.fit.k, acc[i]
-                s[:k] += np.bincount(best, p, k)
-                for j in range(d):
-                    s[k + j * k : k + (j + 1) * k] += np.bincount(best, p * x[:, j] * m.mask[j], k)
-                s[-1] += p @ dist
-        for i, s in acc.items():
-            yield pd.DataFrame({"m": np.full(len(s), i, np.int32), "pos": np.arange(len(s), dtype=np.int32), "v": s})
-
-    out = {i: np.zeros(models[i].fit.k * (d + 1) + 1) for i in live}
-    sums = data.mapInPandas(run, "m int, pos int, v double").groupBy("m", "pos").agg(F.sum("v").alias("v"))
-    for r in sums.collect():  # fits x centres x coordinates
-        out[r["m"]][r["pos"]] = r["v"]
+            every, weights, g = _rows(b, d)
+            for part, c, s in zip(parts, centers, acc):
+                m, (n, k, _) = models[part[0]], c.shape
+                x = every if m.fit.group is None else every[g == m.fit.group]
+                w = weights if m.fit.group is None or weights is None else weights[g == m.fit.group]
+                of = [models[i].fit.weight for i in part]
+                norm, far = (c * c).sum(axis=2), -2 * c.reshape(n * k, d).T
+                block = max(1, MATRIX // (n * k))
+                for at in range(0, len(x), block):
+                    y = x[at : at + block] * m.mask
+                    dist = (y @ far).reshape(len(y), n, k) + norm
+                    best, low = np.zeros((len(y), n), np.int16), dist[:, :, 0].copy()
+                    for j in range(1, k):  # ties: the first centre
+                        less = dist[:, :, j] < low
+                        best[less] = j
+                        np.minimum(low, dist[:, :, j], out=low)
+                    low = np.maximum(low + (y * y).sum(axis=1)[:, None], 0)
+                    p = None if of[0] is None else w[at : at + block][:, of]
+                    s[:, -1] += low.sum(axis=0) if p is None else (low * p).sum(axis=0)
+                    one = np.column_stack([np.ones(len(y)), y])
+                    for j in range(k):
+                        own = (best == j).astype(float) if p is None else np.where(best == j, p, 0.0)
+                        s[:, j : k * (d + 1) : k] += own.T @ one
+        yield pd.DataFrame({"v": [np.concatenate([s.ravel() for s in acc]).tobytes()]})
+
+    sizes = [(len(part), models[part[0]].fit.k * (d + 1) + 1) for part in parts]
+    total = np.zeros(sum(n * m for n, m in sizes))
+    part_sums = data.mapInPandas(run, "v binary")
+    if data.rdd.getNumPartitions() * len(total) <= GATHERED:  # fits x centres x coordinates of every partition
+        for r in part_sums.collect():
+            total += np.frombuffer(r["v"])
+    else:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for v in b["v"]:
+                    yield pd.DataFrame({"pos": np.arange(len(total), dtype=np.int32), "v": np.frombuffer(v)})
+
+        for r in part_sums.mapInPandas(each, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():  # fits x centres x coordinates
+            total[r["pos"]] = r["v"]
+    out, at = {}, 0
+    for part, (n, m) in zip(parts, sizes):
+        out |= dict(zip(part, total[at : at + n * m].reshape(n, m)))
+        at += n * m
     return out
 
 
@@ -160,7 +201,7 @@ def narrow(df: DataFrame, features: str = FEATURES, weights: Column | None = Non
     extra = [] if weights is None else [weights.alias("w")]
     extra += [] if group is None else [group.cast("string").alias("g")]
     a = df.select(vector_to_array(features).alias("a"), *extra)
-    return a.withColumn("h", F.xxhash64("a", F.monotonically_increasing_id())).checkpoint(eager=True)
+    return spread(a.withColumn("h", F.xxhash64("a", F.monotonically_increasing_id())).checkpoint(eager=True), "h")
 
 
 def fit_many(data: DataFrame, fits: Sequence[Fit], tol: float = 1e-4) -> list[Centers]:
@@ -180,9 +221,11 @@ def fit_many(data: DataFrame, fits: Sequence[Fit], tol: float = 1e-4) -> list[Ce
         if any(len(m.centers) < m.fit.k for m in models):
             _seed_pass(data, models, step, d)
     limit = [tol * float((var * m.mask).sum() / m.mask.sum()) for m in models]
-    live = list(range(len(models)))
-    while live:
-        sums = _lloyd_pass(data, models, live, d)
+    live, last = list(range(len(models))), []
+    while live or last:
+        sums = _lloyd_pass(data, models, sorted(live + last), d)
+        for i in last:
+            models[i].cost = float(sums[i][-1])
         still = []
         for i in live:
             m, s = models[i], sums[i]
@@ -194,12 +237,9 @@ def fit_many(data: DataFrame, fits: Sequence[Fit], tol: float = 1e-4) -> list[Ce
             if shift > 0:
                 m.centers = new
                 still.append((i, shift > limit[i] and m.iterations < m.fit.max_iter))
-        # fits that have settled get one more pass for the cost at their last centres
         live = [i for i, more in still if more]
+        # fits that have settled are in one more pass for the cost at their last centres
         last = [i for i, more in still if not more]
-        if last:
-            for i, s in _lloyd_pass(data, models, last, d).items():
-                models[i].cost = float(s[-1])
     return models
 
 

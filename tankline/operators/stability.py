@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tankline.operators import cluster as CL
 from tankline.operators import kmeans_many as KM
+from tankline.session import spread
 
 # Poisson(1) cumulative probabilities P(X <= j), j = 0..11, from the rule e^-1 sum 1/i!.
 POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(12)]
@@ -206,20 +207,26 @@ def kmeans_grid(df: DataFrame, ks=(2, 3, 4, 5), inits=("k-means++", "random"), r
                 iters=(200, 300, 500), seed: int = 1) -> DataFrame:
     """CL-23: silhouette and WCSS for every (k, init, restarts, iterations). Settings share
     fits: 10 restarts are the first 10 of 20."""
-    d = df.select(CL.FEATURES).cache()
-    shared = [KM.Fit(k, seed + r, init, it) for k in ks for init in inits for it in iters for r in range(max(restarts))]
-    fitted = dict(zip(shared, KM.fit_many(KM.narrow(d), shared)))
-
-    def one(setting):
-        k, init, r, it = setting
-        m = KM.best([fitted[KM.Fit(k, seed + i, init, it)] for i in range(r)])
+    d = spread(df.select(CL.FEATURES).checkpoint(eager=True))
+    data = KM.narrow(d)
+    longest = [KM.Fit(k, seed + r, init, max(iters)) for k in ks for init in inits for r in range(max(restarts))]
+    fitted = dict(zip(longest, KM.fit_many(data, longest)))
+    # a fit that settled within fewer iterations is the same under that limit
+    cut = [KM.Fit(f.k, f.seed, f.init, it) for f in longest for it in iters if it != max(iters)]
+    settled = {f: fitted[KM.Fit(f.k, f.seed, f.init, max(iters))] for f in cut}
+    settled = {f: m for f, m in settled.items() if m.iterations < f.max_iter}
+    rest = [f for f in cut if f not in settled]
+    fitted |= settled | (dict(zip(rest, KM.fit_many(data, rest))) if rest else {})
+    settings = list(itertools.product(ks, inits, restarts, iters))
+    chosen = [KM.best([fitted[KM.Fit(k, seed + i, init, it)] for i in range(r)]) for k, init, r, it in settings]
+    unique = list({id(m): m for m in chosen}.values())
+
+    def score(m):
         p = m.transform(d)
-        if p.select("prediction").distinct().limit(2).count() < 2:
-            return None
-        return (int(k), init, int(r), int(it), CL.silhouette(p), float(m.cost))
+        return None if p.select("prediction").distinct().limit(2).count() < 2 else CL.silhouette(p)
 
-    rows = [r for r in CL.parallel_map(one, itertools.product(ks, inits, restarts, iters)) if r is not None]
-    d.unpersist()
+    of = {id(m): s for m, s in zip(unique, CL.parallel_map(score, unique))}
+    rows = [(int(k), init, int(r), int(it), of[id(m)], float(m.cost)) for (k, init, r, it), m in zip(settings, chosen) if of[id(m)] is not None]
     return df.sparkSession.createDataFrame(rows, "k int, init string, restarts int, max_iter int, silhouette double, "
                                                  "wcss double")
 

@@ -248,3 +248,25 @@ def test_mixture_grid_has_all_settings(spark):
     assert all(r["silhouette"] is not None and np.isfinite(r["bic"]) for r in g)
     full = next(r for r in g if r["n_components"] == 3 and r["covariance_type"] == "full")
     assert np.isclose(full["aic"], 2 * 17 - 2 * full["log_likelihood"])
+
+
+def test_passes_use_all_cores(spark):
+    """A small table comes out of a shuffle as one partition; the passes over it are still spread, and
+    sums of fits that share their steps are those of each fit alone."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    d = spark.range(0, 9000, 1, 1).select("id", array_to_vector(F.array(*[F.randn(i) for i in range(3)])).alias("features"))
+    data = CL.KM.narrow(d, weights=F.array((F.col("id") % 3).cast("int"), F.lit(1)))
+    assert data.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, 4)
+    rng = np.random.default_rng(2)
+    fits = [CL.KM.Fit(k, s, weight=w, dims=x) for k in (1, 3, 4) for s in (1, 2) for w in (None, 0, 1) for x in (None, (0, 2))]
+    models = [CL.KM.Centers(f, rng.normal(size=(f.k, 3)), mask=np.isin(np.arange(3), f.dims or (0, 1, 2)).astype(float)) for f in fits]
+    rows = data.toPandas()
+    x, w = np.stack(rows["a"]), np.stack(rows["w"])
+    for i, got in CL.KM._lloyd_pass(data, models, list(range(len(models))), 3).items():
+        m = models[i]
+        best, dist = CL.KM._assign(x, m)
+        p = np.ones(len(x)) if m.fit.weight is None else w[:, m.fit.weight].astype(float)
+        want = [np.bincount(best, p, m.fit.k), *[np.bincount(best, p * x[:, j] * m.mask[j], m.fit.k) for j in range(3)], [p @ dist]]
+        assert np.allclose(got, np.concatenate(want))

@@ -3,8 +3,10 @@
 Restarts, values of k, bootstrap replicates, months and feature subsets are all fits
 over the same rows. Fitting them one by one costs a chain of small jobs per fit; here
 every Lloyd step of all unfinished fits is one distributed pass: ``mapInPandas`` assigns
-each Arrow batch to the centres of every fit and emits partial sums, Spark adds them up
-per (fit, coordinate), and the driver holds only the centres.
+each block of rows to the centres of every fit and emits partial sums, Spark adds them up
+per (fit, coordinate), and the driver holds only the centres. Blocks are made once per call
+(coordinates, hashes and weights as bytes) and kept by the executors, so that a pass neither reads
+files nor builds an object per row.
 
 Seeding is exact k-means++ in one pass per centre: a row is drawn with probability
 proportional to weight x squared distance as the smallest ``-log(u) / (w d^2)`` (an
@@ -19,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from tankline.session import spread
 FEATURES = "features"
 _U = np.uint64
 MATRIX = 1_000_000  # distances held at once
+PACKED = 8192       # rows of a block
 GATHERED = 4_000_000    # numbers that a pass sends to the driver at most; beyond that Spark adds them up first
 
 
@@ -87,37 +91,63 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return (((x ^ (x >> _U(31))) >> _U(12)).astype(float) + 0.5) * 2.0**-52
 
 
-def _rows(batch: pd.DataFrame, d: int):
-    x = np.stack(batch["a"].to_numpy()) if len(batch) else np.zeros((0, d))
-    w = np.stack(batch["w"].to_numpy()).astype(float) if "w" in batch and len(batch) else None
-    g = batch["g"].to_numpy() if "g" in batch else None
-    return x, w, g
+def packed(data: DataFrame, d: int) -> DataFrame:
+    """Blocks of the rows of ``narrow``, of one group each: number ``n``, coordinates ``x``, hashes ``h`` and,
+    if given, weights ``w`` as bytes (of type ``kind``), and the group ``g``."""
+    if "x" in data.columns:
+        return data
+    weighted, grouped = "w" in data.columns, "g" in data.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for every in batches:
+            for group, b in every.groupby("g", sort=False, dropna=False) if grouped else [(None, every)]:
+                for at in range(0, len(b), PACKED):
+                    part = b.iloc[at : at + PACKED]
+                    x = np.stack(part["a"].to_numpy()).reshape(len(part), d).astype(float)
+                    out = {"n": [len(part)], "x": [x.tobytes()], "h": [part["h"].to_numpy(np.int64).tobytes()]}
+                    if weighted:
+                        w = np.stack(part["w"].to_numpy())
+                        w = w.astype(float) if w.dtype == object else w
+                        out |= {"w": [w.tobytes()], "kind": [w.dtype.str]}
+                    if grouped:
+                        out["g"] = [None if pd.isna(group) else group]
+                    yield pd.DataFrame(out)
+
+    return data.mapInPandas(run, "n int, x binary, h binary" + (", w binary, kind string" if weighted else "") + (", g string" if grouped else ""))
+
+
+def _blocks(batches: Iterator[pd.DataFrame], d: int):
+    """(coordinates, hashes, weights or None, group or None) of every block."""
+    for b in batches:
+        for r in b.itertuples(index=False):
+            w = np.frombuffer(r.w, r.kind).reshape(r.n, -1) if "w" in b else None
+            yield np.frombuffer(r.x).reshape(r.n, d), np.frombuffer(r.h, np.uint64), w, r.g if "g" in b else None
 
 
-def _weight(m: Centers, n: int, w, g) -> np.ndarray:
-    out = np.ones(n) if m.fit.weight is None else w[:, m.fit.weight]
-    return out if m.fit.group is None else out * (g == m.fit.group)
+def _weight(m: Centers, n: int, w) -> np.ndarray:
+    return np.ones(n) if m.fit.weight is None else w[:, m.fit.weight].astype(float)
 
 
 def _seed_pass(data: DataFrame, models: list[Centers], step: int, d: int) -> None:
     """Draw the next centre of every fit that wants one."""
     live = [i for i, m in enumerate(models) if len(m.centers) < m.fit.k]
+    data = packed(data, d)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[float, np.ndarray]] = {}
-        for b in batches:
-            x, w, g = _rows(b, d)
-            h = b["h"].to_numpy().view(np.uint64)
+        for x, h, w, g in _blocks(batches, d):
             for i in live:
                 m = models[i]
-                p = _weight(m, len(x), w, g)
+                if m.fit.group is not None and m.fit.group != g:
+                    continue
+                p = _weight(m, len(x), w)
                 if len(m.centers):
                     dist = _assign(x, m)[1]
                     p = p * (dist if m.fit.init == "k-means++" else dist > 1e-12)
                 with np.errstate(divide="ignore"):
                     key = np.where(p > 0, -np.log(_uniform(h, m.fit.seed * 1009 + step + 1)) / p, np.inf)
-                j = int(key.argmin()) if len(key) else 0
-                if len(key) and np.isfinite(key[j]) and (i not in best or key[j] < best[i][0]):
+                j = int(key.argmin())
+                if np.isfinite(key[j]) and (i not in best or key[j] < best[i][0]):
                     best[i] = (float(key[j]), x[j])
         if best:
             yield pd.DataFrame({"m": list(best), "key": [v[0] for v in best.values()], "a": [v[1] for v in best.values()]})
@@ -144,16 +174,16 @@ def _alike(models: list[Centers], live: list[int]) -> list[list[int]]:
 def _lloyd_pass(data: DataFrame, models: list[Centers], live: list[int], d: int) -> dict[int, np.ndarray]:
     """Per fit: for each centre the weight and the weighted sum of its rows, then the cost."""
     parts = _alike(models, live)
+    data = packed(data, d)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = [np.zeros((len(part), models[part[0]].fit.k * (d + 1) + 1)) for part in parts]
         centers = [np.stack([models[i].centers for i in part]) for part in parts]
-        for b in batches:
-            every, weights, g = _rows(b, d)
+        for x, _, w, g in _blocks(batches, d):
             for part, c, s in zip(parts, centers, acc):
                 m, (n, k, _) = models[part[0]], c.shape
-                x = every if m.fit.group is None else every[g == m.fit.group]
-                w = weights if m.fit.group is None or weights is None else weights[g == m.fit.group]
+                if m.fit.group is not None and m.fit.group != g:
+                    continue
                 of = [models[i].fit.weight for i in part]
                 norm, far = (c * c).sum(axis=2), -2 * c.reshape(n * k, d).T
                 block = max(1, MATRIX // (n * k))
@@ -214,6 +244,7 @@ def fit_many(data: DataFrame, fits: Sequence[Fit], tol: float = 1e-4) -> list[Ce
     var = data.agg(*[F.var_pop(F.col("a")[i]).alias(str(i)) for i in range(d)]).first()
     var = np.array([float(v or 0.0) for v in var])
     models = []
+    data = packed(data, d).persist(StorageLevel.MEMORY_AND_DISK)  # a lost block is made again from the checkpoint
     for f in fits:
         mask = np.ones(d) if f.dims is None else np.isin(np.arange(d), f.dims).astype(float)
         models.append(Centers(f, np.zeros((0, d)), mask=mask))
@@ -240,6 +271,7 @@ def fit_many(data: DataFrame, fits: Sequence[Fit], tol: float = 1e-4) -> list[Ce
         live = [i for i, more in still if more]
         # fits that have settled are in one more pass for the cost at their last centres
         last = [i for i, more in still if not more]
+    data.unpersist()
     return models
 
 

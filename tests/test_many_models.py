@@ -270,3 +270,19 @@ def test_passes_use_all_cores(spark):
         p = np.ones(len(x)) if m.fit.weight is None else w[:, m.fit.weight].astype(float)
         want = [np.bincount(best, p, m.fit.k), *[np.bincount(best, p * x[:, j] * m.mask[j], m.fit.k) for j in range(3)], [p @ dist]]
         assert np.allclose(got, np.concatenate(want))
+
+
+def test_many_small_partitions_are_joined(spark):
+    """A shuffle without adaptive sizes leaves 200 partitions of a few rows: the passes don't keep them. Blocks
+    hold every row with its hash and weights, those of a null group too."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    d = spark.range(0, 9000, 1, 200).select("id", array_to_vector(F.array(*[F.randn(i) for i in range(3)])).alias("features"))
+    group = F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("string"))
+    data = CL.KM.narrow(d, weights=F.array((F.col("id") % 3).cast("tinyint"), F.lit(1).cast("tinyint")), group=group)
+    assert data.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    got = {}
+    for x, h, w, g in CL.KM._blocks([CL.KM.packed(data, 3).toPandas()], 3):
+        got |= {int(i): (*map(float, r), *map(int, p), g) for i, r, p in zip(h.view(np.int64), x, w)}
+    assert got == {r.h: (*r.a, *r.w, r.g) for r in data.collect()} and len(got) == 9000

@@ -171,6 +171,25 @@ def _alike(models: list[Centers], live: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
+def total_of(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays of ``size`` numbers that the tasks of a pass return as bytes ``v``. They are
+    gathered where they are few, otherwise Spark adds them up per number."""
+    total = np.zeros(size)
+    if parts.rdd.getNumPartitions() * size <= GATHERED:
+        for r in parts.collect():
+            total += np.frombuffer(r["v"])
+        return total
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for v in b["v"]:
+                yield pd.DataFrame({"pos": np.arange(size, dtype=np.int32), "v": np.frombuffer(v)})
+
+    for r in parts.mapInPandas(each, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
+        total[r["pos"]] = r["v"]
+    return total
+
+
 def _lloyd_pass(data: DataFrame, models: list[Centers], live: list[int], d: int) -> dict[int, np.ndarray]:
     """Per fit: for each centre the weight and the weighted sum of its rows, then the cost."""
     parts = _alike(models, live)
@@ -205,19 +224,7 @@ def _lloyd_pass(data: DataFrame, models: list[Centers], live: list[int], d: int)
         yield pd.DataFrame({"v": [np.concatenate([s.ravel() for s in acc]).tobytes()]})
 
     sizes = [(len(part), models[part[0]].fit.k * (d + 1) + 1) for part in parts]
-    total = np.zeros(sum(n * m for n, m in sizes))
-    part_sums = data.mapInPandas(run, "v binary")
-    if data.rdd.getNumPartitions() * len(total) <= GATHERED:  # fits x centres x coordinates of every partition
-        for r in part_sums.collect():
-            total += np.frombuffer(r["v"])
-    else:
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for v in b["v"]:
-                    yield pd.DataFrame({"pos": np.arange(len(total), dtype=np.int32), "v": np.frombuffer(v)})
-
-        for r in part_sums.mapInPandas(each, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():  # fits x centres x coordinates
-            total[r["pos"]] = r["v"]
+    total = total_of(data.mapInPandas(run, "v binary"), sum(n * m for n, m in sizes))
     out, at = {}, 0
     for part, (n, m) in zip(parts, sizes):
         out |= dict(zip(part, total[at : at + n * m].reshape(n, m)))

@@ -2,9 +2,11 @@
 penalty (ML-15), any number of settings and folds fitted side by side.
 
 One-vs-rest accelerated proximal gradient descent: each step is one distributed pass in which every
-Arrow batch adds its part of the loss gradients of all models (setting x class), Spark
+block of rows adds its part of the loss gradients of all models (setting x class), Spark
 sums them, and the driver takes the step and applies the penalty. Only weights (models x
-features) live on the driver. Nothing is random, so a fit can be repeated exactly.
+features) live on the driver. Blocks (rows of one fold as bytes) are made once per call and kept by
+the executors; a block's margins under all models that learn from its fold are one product of
+matrices. Nothing is random, so a fit can be repeated exactly.
 """
 
 from __future__ import annotations
@@ -14,12 +16,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tankline.operators.kmeans_many import total_of
+from tankline.session import spread
+
 ELASTIC_L1 = 0.15       # share of l1 in the elastic net (the reference's library default)
 HINGE_CORNER = 0.05     # the hinge's corner is rounded over this margin (it shifts the loss by 0.025 at most)
+PACKED = 4096           # rows of a block
 LOSSES = ("hinge", "log_loss", "modified_huber")
 
 
@@ -50,34 +57,48 @@ def narrow(df: DataFrame, features: str = "features", label: str = "label", fold
     """What the fits read, checkpointed once: x with a constant 1, class y, weight w, fold f."""
     w = F.col("weight") if "weight" in df.columns else F.lit(1.0)
     f = F.col(fold).cast("int") if fold else F.lit(-1)
-    return df.select(F.concat(vector_to_array(features), F.array(F.lit(1.0))).alias("x"), F.col(label).cast("int").alias("y"),
-                     w.cast("double").alias("w"), f.alias("f")).checkpoint(eager=True)
+    return spread(df.select(F.concat(vector_to_array(features), F.array(F.lit(1.0))).alias("x"), F.col(label).cast("int").alias("y"),
+                            w.cast("double").alias("w"), f.alias("f")).checkpoint(eager=True))
+
+
+def packed(data: DataFrame) -> DataFrame:
+    """Blocks of the rows of ``narrow``, of one fold ``f`` each: ``x``, ``y`` and ``w`` as bytes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for every in batches:
+            for f, b in every.groupby("f", sort=False, dropna=False):
+                for at in range(0, len(b), PACKED):
+                    p = b.iloc[at : at + PACKED]
+                    yield pd.DataFrame({"f": [None if pd.isna(f) else int(f)], "x": [np.stack(p["x"].to_numpy()).astype(float).tobytes()],
+                                        "y": [p["y"].to_numpy(float).tobytes()], "w": [p["w"].to_numpy(float).tobytes()]})
+
+    return data.mapInPandas(run, "f int, x binary, y binary, w binary")
 
 
-def _arrays(b: pd.DataFrame, d: int):
-    x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, d))
-    return x, b["y"].to_numpy(), b["w"].to_numpy(), b["f"].to_numpy()
+def _blocks(batches: Iterator[pd.DataFrame]):
+    """(rows, classes, weights, fold or None) of every block."""
+    for b in batches:
+        for r in b.itertuples(index=False):
+            w = np.frombuffer(r.w)
+            yield np.frombuffer(r.x).reshape(len(w), -1), np.frombuffer(r.y), w, None if pd.isna(r.f) else int(r.f)
 
 
 def fit_many(data: DataFrame, settings: Sequence[Setting], classes: Sequence[int], steps: int = 100) -> np.ndarray:
     """Weights (setting, class, feature), the intercept last (it is not penalised)."""
     d = data.select(F.size("x").alias("d")).first()["d"]
+    data = packed(data).persist(StorageLevel.MEMORY_AND_DISK)  # a lost block is made again from the checkpoint
     n_models = len(settings)
     folds = sorted({s.leave_out for s in settings if s.leave_out is not None})
+    losses = np.array([s.loss for s in settings])
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, total = np.zeros((d, d)), np.zeros(len(folds) + 1)
-        for b in batches:
-            x, _, w, f = _arrays(b, d)
+        for x, _, w, f in _blocks(batches):
             g += (x * w[:, None]).T @ x
-            total += [w.sum(), *[w[f != k].sum() for k in folds]]
-        yield pd.DataFrame({"i": np.arange(d * d + len(total)), "v": np.concatenate([g.ravel(), total])})
+            total += w.sum() * np.array([True, *[f != k for k in folds]])
+        yield pd.DataFrame({"v": [np.concatenate([g.ravel(), total]).tobytes()]})
 
     def summed(fn, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        for r in data.mapInPandas(fn, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r["i"]] = r["v"]  # models x classes x features numbers
-        return out
+        return total_of(data.mapInPandas(fn, "v binary"), size)  # models x classes x features numbers
 
     first = summed(gram, d * d + 1 + len(folds))
     total = first[d * d]
@@ -91,13 +112,17 @@ def fit_many(data: DataFrame, settings: Sequence[Setting], classes: Sequence[int
 
         def gradient(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             g = np.zeros_like(now)
-            for b in batches:
-                x, y, w, f = _arrays(b, d)
-                sign = np.where(y[:, None] == np.array(classes)[None], 1.0, -1.0)
-                for i, s in enumerate(settings):
-                    use = w if s.leave_out is None else w * (f != s.leave_out)
-                    g[i] += (loss_slope(s.loss, sign * (x @ now[i].T)) * sign * use[:, None]).T @ x
-            yield pd.DataFrame({"i": np.arange(g.size), "v": g.ravel()})
+            for x, y, w, f in _blocks(batches):
+                sign = np.where(y[:, None] == np.array(classes, float)[None], 1.0, -1.0)
+                for loss in LOSSES:
+                    at = np.flatnonzero((losses == loss) & [s.leave_out is None or s.leave_out != f for s in settings])
+                    if len(at):
+                        m = (x @ now[at].reshape(-1, d).T).reshape(len(x), len(at), -1)
+                        m *= sign[:, None]
+                        m = loss_slope(loss, m)
+                        m *= (sign * w[:, None])[:, None]
+                        g[at] += (m.reshape(len(x), -1).T @ x).reshape(len(at), -1, d)
+            yield pd.DataFrame({"v": [g.tobytes()]})
 
         g = summed(gradient, theta.size).reshape(theta.shape) / weight[:, None, None]
         new = np.empty_like(theta)
@@ -110,6 +135,7 @@ def fit_many(data: DataFrame, settings: Sequence[Setting], classes: Sequence[int
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead = new + (pace - 1) / faster * (new - theta)
         theta, pace = new, faster
+    data.unpersist()
     return theta
 
 
@@ -133,16 +159,15 @@ def cross_validate(df: DataFrame, settings: Sequence[Setting], folds: int, class
 
     def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ok, n = np.zeros(len(runs)), np.zeros(len(runs))
-        for b in batches:
-            x, y, _, f = _arrays(b, theta.shape[2])
-            for i, s in enumerate(runs):
-                own = f == s.leave_out
-                ok[i] += (np.array(classes)[(x[own] @ theta[i].T).argmax(axis=1)] == y[own]).sum() if own.any() else 0
-                n[i] += own.sum()
-        yield pd.DataFrame({"i": np.arange(len(runs)), "ok": ok, "n": n})
-
-    got = {r["i"]: r["ok"] / r["n"] for r in data.mapInPandas(right, "i int, ok double, n double").groupBy("i").agg(
-        F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect() if r["n"]}
+        for x, y, _, f in _blocks(batches):
+            at = np.flatnonzero([s.leave_out == f for s in runs])
+            score = (x @ theta[at].reshape(-1, theta.shape[2]).T).reshape(len(x), len(at), len(classes))
+            ok[at] += (np.array(classes)[score.argmax(axis=2)] == y[:, None]).sum(axis=0)
+            n[at] += len(x)
+        yield pd.DataFrame({"v": [np.concatenate([ok, n]).tobytes()]})
+
+    ok, n = total_of(packed(data).mapInPandas(right, "v binary"), 2 * len(runs)).reshape(2, -1)
+    got = {i: ok[i] / n[i] for i in range(len(runs)) if n[i]}
     rows = [(s.loss, float(s.alpha), s.penalty, float(np.mean([got[j] for j in range(i * folds, (i + 1) * folds) if j in got])))
             for i, s in enumerate(settings)]
     return df.sparkSession.createDataFrame(rows, "loss string, alpha double, penalty string, mean_score double")

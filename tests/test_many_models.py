@@ -286,3 +286,32 @@ def test_many_small_partitions_are_joined(spark):
     for x, h, w, g in CL.KM._blocks([CL.KM.packed(data, 3).toPandas()], 3):
         got |= {int(i): (*map(float, r), *map(int, p), g) for i, r, p in zip(h.view(np.int64), x, w)}
     assert got == {r.h: (*r.a, *r.w, r.g) for r in data.collect()} and len(got) == 9000
+
+
+def test_linear_steps_are_those_of_all_rows(spark):
+    """Blocks of one fold each: weights and accuracies equal plain steps over all rows, with 200 partitions as well."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tankline.operators import linear_many as LM
+
+    d = spark.range(0, 4500, 1, 200).select("id", array_to_vector(F.array(F.randn(1), F.randn(2))).alias("features"), (F.col("id") % 3).cast("int").alias("label"),
+                                            (F.col("id") % 2 + 1.0).alias("weight"), (F.col("id") % 5).cast("int").alias("fold")).checkpoint(eager=True)
+    data = LM.narrow(d, fold="fold")
+    assert data.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    rows = data.toPandas()
+    x, y, w, f = np.stack(rows["x"]), rows["y"].to_numpy(), rows["w"].to_numpy(), rows["f"].to_numpy()
+    sets = [LM.Setting(loss, 1e-3, "l2", k) for loss in LM.LOSSES for k in (None, 0, 3)]
+    got = LM.fit_many(data, sets, (0, 1, 2), steps=1)
+    top = np.linalg.eigvalsh((x * w[:, None]).T @ x / w.sum()).max()
+    for s, t in zip(sets, got):
+        use = np.where(f == s.leave_out, 0.0, w) if s.leave_out is not None else w
+        step = 1 / (LM._curvature(s.loss) * top + s.alpha)
+        for c in range(3):
+            sign = np.where(y == c, 1.0, -1.0)
+            v = -step * (LM.loss_slope(s.loss, np.zeros(len(x))) * sign * use) @ x / use.sum()
+            assert np.allclose(t[c], np.append(v[:-1] / (1 + step * s.alpha), v[-1]))
+    plain = [LM.Setting("hinge", 1e-3, "l2", k) for k in range(5)]
+    theta = LM.fit_many(data, plain, (0, 1, 2))
+    want = np.mean([((x[f == k] @ theta[k].T).argmax(axis=1) == y[f == k]).mean() for k in range(5)])
+    assert np.isclose(LM.cross_validate(d, [LM.Setting("hinge", 1e-3, "l2")], 5, (0, 1, 2)).first()["mean_score"], want)

@@ -404,13 +404,26 @@ def permute_column(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], repeats: int = 10,
                            seed: int = 1, metric: str = "accuracy") -> DataFrame:
     """ML-25: drop in the metric when one input column is shuffled, mean and std
-    over repeats."""
-    test = test.cache()
+    over repeats. Rows are ranked by their key once, and a repeat moves all columns in one
+    join (its order of the rows is the same for each): a column's run then only picks its own."""
+    features = list(features)
     base = evaluator(metric).evaluate(model.transform(test))
-    runs = [(f, r) for f in features for r in range(repeats)]
-    got = dict(zip(runs, parallel_map(lambda x: base - evaluator(metric).evaluate(
-        model.transform(permute_column(test, x[0], "txn_id", seed + x[1]))), runs, 8)))
-    test.unpersist()
+    ranked = rank_within_group(test.withColumn("_g", F.lit(1)), "_g", "txn_id", "_ra").persist()
+    got = {}
+    for r in range(repeats):
+        values = ranked.select(*[F.col(f).alias(f"_v{i}") for i, f in enumerate(features)],
+                               F.concat(_hash_order("txn_id", seed + r), F.col("txn_id").cast("string")).alias("_h"))
+        order = rank_within_group(values.withColumn("_g", F.lit(1)), "_g", "_h", "_ra")
+        moved = ranked.join(order.select("_ra", *[f"_v{i}" for i in range(len(features))]), "_ra").drop("_ra", "_g").persist()
+        moved.count()  # once, before the columns' runs read it side by side
+
+        def drop(i: int, moved: DataFrame = moved) -> float:
+            one = moved.withColumn(features[i], F.col(f"_v{i}")).drop(*[f"_v{j}" for j in range(len(features))])
+            return base - evaluator(metric).evaluate(model.transform(one))
+
+        got |= dict(zip([(f, r) for f in features], parallel_map(drop, range(len(features)), 8)))
+        moved.unpersist()
+    ranked.unpersist()
     rows = []
     for f in features:
         drops = [got[f, r] for r in range(repeats)]

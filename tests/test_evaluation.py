@@ -43,3 +43,25 @@ def test_searches_fit_all_training_rows(spark, monkeypatch, name):
     assert seen[0][0] == 6000
     if name == "random_search":
         assert seen[0][1]["numTrees"] == (50, 299) and seen[0][1]["maxDepth"] == (10, 30)
+
+
+def test_permutation_importance_orders_the_rows_once_per_repeat(spark, monkeypatch):
+    """One order of the rows per repeat serves all columns, and the drops are those of shuffling each alone."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tankline.operators import models as M
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", ((F.col("a") + F.col("b")) % 3).cast("double"))
+
+    d = spark.range(0, 300, 1, 3).select(F.col("id").alias("txn_id"), (F.col("id") % 5).alias("a"), (F.col("id") % 7).alias("b"),
+                                         (((F.col("id") % 5) + (F.col("id") % 7)) % 3).cast("double").alias("label"))
+    calls, rank = [], M.rank_within_group
+    monkeypatch.setattr(M, "rank_within_group", lambda *a, **k: calls.append(a) or rank(*a, **k))
+    got = {r.feature: r for r in M.permutation_importance(Model(), d, ["a", "b"], repeats=3).collect()}
+    assert len(calls) == 1 + 3
+    for f in ("a", "b"):
+        drops = [1.0 - M.evaluator("accuracy").evaluate(Model().transform(M.permute_column(d, f, "txn_id", 1 + r))) for r in range(3)]
+        assert np.isclose(got[f].importance_mean, np.mean(drops)) and np.isclose(got[f].importance_std, np.std(drops))

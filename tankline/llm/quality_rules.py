@@ -81,8 +81,9 @@ def text_statistics(text: Column, w: Column) -> dict[str, Column]:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        # counted by a pattern: Spark's translate looks every character up as a string of its own
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
@@ -127,8 +128,10 @@ def fit_llr(docs: DataFrame, trusted_col: str, text_col: str = "text", buckets:
 def _llr_sum() -> Column:
     """Sum over the n-grams of the columns w and pairs of the array in the column m. The array is
     a scalar put there right before: every projection with it copies it into each row."""
-    return F.aggregate(F.concat(F.transform("w", lambda x: F.xxhash64(x)), "pairs"), F.lit(0.0),
-                       lambda a, h: a + F.get("m", F.pmod(h, F.size("m")).cast("int")))
+    def add(a: Column, h: Column) -> Column:
+        return a + F.get("m", F.pmod(h, F.size("m")).cast("int"))
+
+    return F.aggregate("pairs", F.aggregate("w", F.lit(0.0), lambda a, x: add(a, F.xxhash64(x))), add)
 
 
 def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

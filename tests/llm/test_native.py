@@ -207,3 +207,20 @@ def test_decontamination(spark, odd_docs, no_docs, prose_of):
     dirty, fine = items[0], "nothing of the kind"
     shared = spark.createDataFrame([(None, dirty), (None, fine), (1, dirty), (1, fine), (1, fine)], "doc_id long, text string")
     assert sorted(r["text"] for r in decontam.clean(shared, bench).collect()) == [fine] * 3
+
+
+def test_text_statistics_take_no_look_up_per_character(spark):
+    """Counts by code point, and no step that handles each character as a string."""
+    from pyspark.sql import functions as F
+
+    from tankline.llm import quality_rules
+    from tankline.llm.common import tokens
+
+    texts = ["", None, "a#b $%& |<>*\n", "né x \U0001f600# \x0b\x0c\r ^-\\ []", "##\n##\n \n##", "\x1c\x85 z"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", tokens(F.col("t")).alias("w"))
+    out = d.select("i", *[c.alias(k) for k, c in quality_rules.text_statistics(F.col("t"), F.col("w")).items()])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and "regexp_replace" not in plan
+    for r, t in zip(out.orderBy("i").collect(), texts):
+        t = t or ""
+        assert r.word_chars == sum(c not in " \t\n\x0b\x0c\r" for c in t) and r.n_symbols == sum(c in "#*$%&|<>" for c in t)

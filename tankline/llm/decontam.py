@@ -11,7 +11,7 @@ window). A document is hit where a window occurs word for word. The join:
   ``p - o >= 0``; length bound: ``start + size <= n_words`` of the document;
 * survivors are compared word by word (item-sized windows of the document).
 
-Words are hashed once; a shingle's hash is that of its words' hashes. With an index of up to
+A shingle's hash is that of its words and their number. With an index of up to
 ``BROADCAST_MAX_ROWS`` windows (counted) shingles are looked up and verified where the
 document's words are; only matches (start, size, window) and one row per document are
 shuffled, grouped by row. A larger index meets the shingles as (row, position, hash) in a
@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import indices, packed, with_row_id, words
+from tankline.llm.common import packed, with_row_id, words
 from tankline.operators.joins import BROADCAST_MAX_ROWS, checked_broadcast
 from tankline.session import ensure_checkpoint_dir
 
@@ -37,15 +37,10 @@ WINDOW = 10
 SHINGLE = 4
 
 
-def _hashes(w: str) -> Column:
-    """Hashes of the words of the array column ``w``."""
-    return F.transform(w, lambda x: F.xxhash64(x))
-
-
-def _shingles(wh: str, size: int) -> Column:
-    """Hashes of all runs of ``size`` words, from the column of the words' hashes. Their number is
-    part of the hash, so runs of different sizes never mix."""
-    return F.transform(indices(F.size(wh) - size + 1), lambda i: F.xxhash64(*[F.get(wh, i + j) for j in range(size)], F.lit(size)))
+def _shingle(p: Column, size: int) -> Column:
+    """Hash of the run of ``size`` words of the array column ``w`` from place ``p``; null if the array
+    ends before. The number is part of the hash, so runs of different sizes never mix."""
+    return F.when(p + size <= F.size("w"), F.xxhash64(*[F.get("w", p + j) for j in range(size)], F.lit(size)))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -56,19 +51,23 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         F.transform(starts, lambda i: F.slice("w", i + 1, window)))).alias("win")).distinct()
 
 
-def doc_shingles(wh: str, sizes: list[int]) -> Column:
-    """Array of (p, h): start and hash of the shingles of a document."""
-    parts = [F.transform(_shingles(wh, k), lambda h, i: F.struct(i.cast("int").alias("p"), h.alias("h"))) for k in sizes]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def doc_shingles(base: DataFrame, sizes: list[int]) -> DataFrame:
+    """The rows of ``base`` once per place ``p`` of a word and size, with the hash ``h`` of the shingle that
+    starts there (null: none does); a row without words comes once, with null for both. The words
+    are taken to pieces first and hashed after: an expression over the whole array would be
+    interpreted, and would copy the words of a text once per word."""
+    at = base.select(*base.columns, F.posexplode_outer("w").alias("p", "_word")).drop("_word")
+    h = [_shingle(F.col("p"), k) for k in sizes]
+    return at.withColumn("h", F.explode(F.array(*h)) if len(h) > 1 else h[0])
 
 
 def window_shingles(uniq: DataFrame, sizes: list[int]) -> DataFrame:
     """(win, wid, o, h): the shingles of every window."""
-    d = uniq.withColumn("wh", _hashes("win"))
-    of = F.lit(None).cast("array<bigint>")
+    at = uniq.select("win", "wid", "k", F.col("win").alias("w"), F.posexplode("win").alias("o", "_word"))
+    of = F.lit(None).cast("bigint")
     for k in sizes:
-        of = F.when(F.col("k") == k, _shingles("wh", k)).otherwise(of)
-    return d.select("win", "wid", F.posexplode(of).alias("o", "h"))
+        of = F.when(F.col("k") == k, _shingle(F.col("o"), k)).otherwise(of)
+    return at.select("win", "wid", "o", of.alias("h")).where("h is not null")
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -93,9 +92,8 @@ def _found(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str
                            F.array().cast("array<struct<start:int,size:int>>").alias("hits"),
                            F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     sh = window_shingles(uniq, sizes)
-    base = base.withColumn("wh", _hashes("w"))
     # rarity of the benchmark's shingles over all documents
-    freq = (base.select(F.explode(doc_shingles("wh", sizes)["h"]).alias("h"))
+    freq = (doc_shingles(base.select("w"), sizes).select("h")
             .join(checked_broadcast(sh.select("h").distinct()), "h", "left_semi")
             .groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     # windows that hold a shingle no document holds can't occur; of the others the rarest is kept
@@ -108,16 +106,14 @@ def _found(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str
     at = F.when(same, F.struct(start.alias("start"), size.alias("size"))).alias("at")
     found = F.when(same, F.col("wid")).alias("wid")
     if index.limit(max_rows + 1).count() <= max_rows:
-        d = base.withColumn("n_words", F.size("w"))
-        keep = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("long").alias("h")))
-        d = d.select("_rid", "id", "n_words", "w", F.explode(F.concat(keep, doc_shingles("wh", sizes))).alias("s"))
-        d = d.select("_rid", "id", "n_words", "w", F.col("s.p").alias("p"), F.col("s.h").alias("h")).join(F.broadcast(index), "h", "left")
-        hit = d.select("_rid", "id", "n_words", "p", at, found).where((F.col("p") < 0) | F.col("at").isNotNull())
+        d = doc_shingles(base.select("_rid", "id", "w"), sizes).withColumn("n_words", F.size("w")).join(F.broadcast(index), "h", "left")
+        # beside the matches, a row of the first place, or of no place, stands for the text
+        hit = d.select("_rid", "id", "n_words", "p", at, found).where(F.col("p").isNull() | (F.col("p") == 0) | F.col("at").isNotNull())
     else:
         path = f"{ensure_checkpoint_dir(texts.sparkSession).rstrip('/')}/decontam-{uuid.uuid4().hex}"
-        base.select("_rid", "id", "w", "wh").write.parquet(path)  # row ids are fixed from here on
+        base.select("_rid", "id", "w").write.parquet(path)  # row ids are fixed from here on
         stored = texts.sparkSession.read.parquet(path)
-        cand = stored.select("_rid", F.explode(doc_shingles("wh", sizes)).alias("s")).select("_rid", F.col("s.p").alias("p"), F.col("s.h").alias("h"))
+        cand = doc_shingles(stored.select("_rid", "w"), sizes).select("_rid", "p", "h").where("h is not null")
         cand = cand.join(index.select("h", "wid", "o", size.alias("size")), "h").where(F.col("p") >= F.col("o")).select("_rid", "p", "o", "wid").checkpoint(eager=True)
         full = stored.join(cand.select("_rid").distinct(), "_rid", "left_semi").select("_rid", "w", F.size("w").alias("n_words"))
         met = cand.join(full, "_rid").join(index.select("wid", "win"), "wid").select("_rid", at, found).where(F.col("at").isNotNull())

@@ -209,6 +209,22 @@ def test_decontamination(spark, odd_docs, no_docs, prose_of):
     assert sorted(r["text"] for r in decontam.clean(shared, bench).collect()) == [fine] * 3
 
 
+def test_shingles_are_hashed_outside_the_words(spark):
+    """Places of the words are taken to pieces before anything is hashed: an expression over the whole array
+    was interpreted per word, and its rows each held the text's words."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c d"), (3, "a b"), (4, ""), (5, None)], "id long, text string")
+    base = docs.select("id", decontam.words(F.col("text")).alias("w"))
+    got = decontam.doc_shingles(base, [2, 4])
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r["id"], r["p"], r["h"]) for r in got.collect()]
+    of = {}
+    for i, p, h in rows:
+        of.setdefault((i, p), set()).update([h] if h is not None else [])
+    assert of[1, 0] == of[2, 1] and len(of[1, 0]) == 2 and of[3, 0] < of[1, 0]
+    assert of[1, 3] < of[1, 3] | of[1, 0] and len(of[1, 3]) == 1 and not of[1, 4] and not of[4, None] and not of[5, None]
+
+
+
 def test_text_statistics_take_no_look_up_per_character(spark):
     """Counts by code point, and no step that handles each character as a string."""
     from pyspark.sql import functions as F

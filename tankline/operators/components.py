@@ -25,7 +25,7 @@ from tankline.session import ensure_checkpoint_dir
 FINISH = 100_000
 
 
-def _joined(e: DataFrame) -> DataFrame:
+def joined(e: DataFrame) -> DataFrame:
     """(node, up) of a small edge table: up is one node of the component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +71,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, a: st
     e = e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint(eager=True)
     for r in range(max_rounds):
         if e.limit(finish + 1).count() <= finish:
-            label = label.join(_above(_joined(e), "root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            label = label.join(_above(joined(e), "root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
             first = label.groupBy("root").agg(F.min("node").alias("first"))
             return attach(label, first, "root", "inner").select("node", F.col("first").alias("root")).checkpoint(eager=True)
 

@@ -250,6 +250,20 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """A bounded table is joined by one task: rounds to the end ran dozens of jobs, whose plans filled the driver."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (90, 70), (60, 60)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    got = sorted(map(tuple, components.components(edges).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+    spark.sparkContext.setJobGroup("many-edges", "")
+    assert got == sorted(map(tuple, components.components(edges, finish=0).collect()))
+    more = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-edges"))
+    assert got == [(i, 0) for i in range(41)] + [(70, 70), (80, 70), (90, 70)]
+    assert jobs < more / 2
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_pipeline(spark, tmp_path, odd_docs, prose_of):
     import corpus_pipeline
 

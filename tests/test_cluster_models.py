@@ -116,3 +116,13 @@ def test_perturb_level_zero_is_identity(spark):
     for kind in ("missing", "noise", "swap"):
         p = M.perturb(d, kind, 0.0, seed=1)
         assert p.exceptAll(d).count() == 0
+
+
+def test_forest_keeps_each_rows_node(spark):
+    from pyspark.ml import Pipeline
+    d = M.class_weights(_model_frame(spark))
+    x = Pipeline(stages=M.preprocessing()).fit(d).transform(d).cache()
+    est = M.estimator("random_forest", weight="weight", numTrees=5, maxDepth=6)
+    assert est.getCacheNodeIds()
+    walked = est.copy({est.cacheNodeIds: False})
+    assert est.fit(x).toDebugString.split("\n")[1:] == walked.fit(x).toDebugString.split("\n")[1:]

@@ -126,3 +126,23 @@ def test_forest_keeps_each_rows_node(spark):
     assert est.getCacheNodeIds()
     walked = est.copy({est.cacheNodeIds: False})
     assert est.fit(x).toDebugString.split("\n")[1:] == walked.fit(x).toDebugString.split("\n")[1:]
+
+
+def test_run_metrics_reads_predictions_once(spark):
+    from tankline.operators import evaluation as EV
+    from tankline.operators import validation as V
+    pairs = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 1.0), (2.0, 0.0), (2.0, 2.0), (None, 1.0)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    pred = spark.createDataFrame(pairs, "label double, prediction double")
+    got = V.run_metrics(pred.mapInPandas(run, pred.schema))
+    assert seen.value == len(pairs)
+    ints = pred.selectExpr("cast(label as int) as y_true", "cast(prediction as int) as y_pred")
+    rep = {r["label"]: r["f1"] for r in EV.class_report(ints).collect()}
+    assert got["accuracy"] == rep["accuracy"] and got["macro_f1"] == rep["macro avg"] and got["f1_class_2"] == rep["2"]
+    assert sorted(EV.confusion(EV.pair_counts(ints), rows="n").collect()) == sorted(EV.confusion(ints).collect())

@@ -315,3 +315,21 @@ def test_linear_steps_are_those_of_all_rows(spark):
     theta = LM.fit_many(data, plain, (0, 1, 2))
     want = np.mean([((x[f == k] @ theta[k].T).argmax(axis=1) == y[f == k]).mean() for k in range(5)])
     assert np.isclose(LM.cross_validate(d, [LM.Setting("hinge", 1e-3, "l2")], 5, (0, 1, 2)).first()["mean_score"], want)
+
+
+def test_blocks_hold_one_hot_columns_as_bits(spark):
+    """A row of three numbers and 40 one-hot columns takes a few dozen bytes, not 8 per column, and comes back as it was."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tankline.operators import linear_many as LM
+
+    hot = [(F.col("id") % 40 == i).cast("double") for i in range(40)]
+    odd = F.when(F.col("id") % 11 == 0, F.lit(0.5)).when(F.col("id") % 13 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0))
+    d = spark.range(0, 9000, 1, 3).select("id", array_to_vector(F.array(F.randn(1), F.randn(2), odd, *hot)).alias("features"),
+                                          (F.col("id") % 3).cast("int").alias("label"), (F.col("id") % 4).cast("int").alias("fold")).cache()
+    p = LM.blocks(d, fold="fold").toPandas()
+    assert sum(len(r[c]) for r in p.to_dict("records") for c in "kzxyw") < 60 * 9000
+    got = sorted((str(list(c)), float(y), float(w), f) for x, ys, ws, f in LM._blocks([p]) for c, y, w in zip(x.T, ys, ws))
+    want = sorted((str(list(np.append(r.features.toArray(), 1.0))), float(r.label), 1.0, r.fold) for r in d.collect())
+    assert got == want

@@ -65,3 +65,69 @@ def test_permutation_importance_orders_the_rows_once_per_repeat(spark, monkeypat
     for f in ("a", "b"):
         drops = [1.0 - M.evaluator("accuracy").evaluate(Model().transform(M.permute_column(d, f, "txn_id", 1 + r))) for r in range(3)]
         assert np.isclose(got[f].importance_mean, np.mean(drops)) and np.isclose(got[f].importance_std, np.std(drops))
+
+
+def test_permutation_importance_runs_the_model_once_per_repeat(spark):
+    from pyspark.sql import functions as F
+
+    from tankline.operators import models as M
+
+    calls = []
+
+    class Model:
+        def transform(self, df):
+            calls.append(1)
+            return df.withColumn("prediction", ((F.col("a") + F.col("b")) % 3).cast("double"))
+
+    d = spark.range(0, 300, 1, 3).select(F.col("id").alias("txn_id"), (F.col("id") % 5).alias("a"), (F.col("id") % 7).alias("b"),
+                                         (((F.col("id") % 5) + (F.col("id") % 7)) % 3).cast("double").alias("label"))
+    for metric in ("macro_f1", "f1"):  # counted, and by Spark's evaluator
+        calls.clear()
+        got = {r.feature: r for r in M.permutation_importance(Model(), d, ["a", "b"], repeats=2, metric=metric).collect()}
+        assert len(calls) == 1 + 2
+        for f in ("a", "b"):
+            drops = [1.0 - M.evaluator(metric).evaluate(Model().transform(M.permute_column(d, f, "txn_id", 1 + r))) for r in range(2)]
+            assert abs(got[f].importance_mean - sum(drops) / 2) < 1e-9
+
+
+@pytest.mark.parametrize("digits,few", [(3, 20_000), (1, 5)])
+def test_split_by_cuts_is_the_ranked_one(spark, monkeypatch, digits, few):
+    """No row is sorted or written for a split, unless hashes don't tell the rows apart."""
+    from pyspark.sql import functions as F
+
+    from tankline.operators import models as M
+
+    monkeypatch.setattr(M, "CUT_DIGITS", digits)
+    monkeypatch.setattr(M, "CUT_ROWS", few)
+    ranked, rank = [], M.rank_within_group
+    monkeypatch.setattr(M, "rank_within_group", lambda *a, **k: ranked.append(a) or rank(*a, **k))
+    d = spark.range(0, 1003, 1, 4).select(F.col("id").alias("txn_id"), F.when(F.col("id") < 2, 2.0).when(F.col("id") % 19 > 0, F.col("id") % 2).cast("double").alias("label"))
+    for seed in (1, 2):
+        got = {(r.txn_id, r.is_test) for r in M.stratified_split(d, "txn_id", seed=seed).collect()}
+        assert not ranked
+        assert got == {(r.txn_id, r.is_test) for r in M.stratified_split(d, "txn_id", seed=seed, ranked=True).collect()} and len(ranked) == 1
+        ranked.clear()
+    for odd in (d.unionAll(d).unionAll(d), d.withColumn("txn_id", F.when(F.col("txn_id") > 5, F.col("txn_id")))):
+        n = {r.label: r["count"] for r in odd.where("label is not null").groupBy("label").count().collect()}
+        for frac in (0.2, 0.201):
+            got = M.stratified_split(odd, "txn_id", test_frac=frac, seed=1).where("is_test").groupBy("label").count().collect()
+            assert {r.label: r["count"] for r in got} == {k: int(v * frac + 0.5) for k, v in n.items() if int(v * frac + 0.5)}
+
+
+def test_stability_runs_write_no_copy_of_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tankline.operators import models as M
+    from tankline.operators import validation as V
+
+    d = spark.range(0, 600, 1, 3).select(
+        F.col("id").alias("txn_id"), (F.col("id") % 3).cast("double").alias("label"), (F.col("id") % 3 * 5 + F.rand(1)).alias("amount_cents"),
+        F.rand(2).alias("litres"), F.rand(3).alias("fuel_price"), *[(F.col("id") % k).cast("string").alias(c) for k, c in zip((2, 4, 5, 7), M.CATEGORICAL)]).cache()
+    want = {}
+    for seed in range(2):
+        s = M.stratified_split(d, "txn_id", seed=seed, ranked=True)
+        model = M.fit(s.where("not is_test"), "naive_bayes", seed=seed)
+        want[seed] = V.run_metrics(model.transform(s.where("is_test")))["accuracy"]
+    monkeypatch.setattr(M, "rank_within_group", None)
+    got = {r.run: r.accuracy for r in V.stability_runs(d, "naive_bayes", n_runs=2).collect()}
+    assert got == want

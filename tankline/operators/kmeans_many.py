@@ -30,7 +30,9 @@ from tankline.session import spread
 
 FEATURES = "features"
 _U = np.uint64
-MATRIX = 1_000_000  # distances held at once
+DISTANCES = 65_536  # distances to one centre held at once: they stay in a core's cache
+FIRST = 256         # rows of a block that are drawn from before the others, so that these have a key to beat
+_SLACK = 1 + 1e-9   # for what bounds and distances are rounded by
 PACKED = 8192       # rows of a block
 GATHERED = 4_000_000    # numbers that a pass sends to the driver at most; beyond that Spark adds them up first
 
@@ -136,19 +138,31 @@ def _seed_pass(data: DataFrame, models: list[Centers], step: int, d: int) -> Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[float, np.ndarray]] = {}
         for x, h, w, g in _blocks(batches, d):
-            for i in live:
-                m = models[i]
-                if m.fit.group is not None and m.fit.group != g:
-                    continue
-                p = _weight(m, len(x), w)
-                if len(m.centers):
-                    dist = _assign(x, m)[1]
-                    p = p * (dist if m.fit.init == "k-means++" else dist > 1e-12)
-                with np.errstate(divide="ignore"):
-                    key = np.where(p > 0, -np.log(_uniform(h, m.fit.seed * 1009 + step + 1)) / p, np.inf)
-                j = int(key.argmin())
-                if np.isfinite(key[j]) and (i not in best or key[j] < best[i][0]):
-                    best[i] = (float(key[j]), x[j])
+            own = [i for i in live if models[i].fit.group is None or models[i].fit.group == g]
+            for at, p in _weighed(models, own, w):
+                y, hs = (x, h) if p is None else (x[p > 0], h[p > 0])
+                p = np.ones(len(x)) if p is None else p[p > 0].astype(float)
+                norm = (y * y).sum(axis=1)
+                for i in at:
+                    m = models[i]
+                    far = len(m.centers) > 0 and m.fit.init == "k-means++"
+                    # at least the weight times squared distance of every row
+                    most = p * (2 * (norm + (m.centers * m.centers).sum(axis=1).min())) * _SLACK if far else p * _SLACK
+                    # the first few rows give a key to beat: -log(u) is at least 1 - u, so most rows need neither log nor distance
+                    for rows in (slice(0, FIRST), slice(FIRST, None)):
+                        u = _uniform(hs[rows], m.fit.seed * 1009 + step + 1)
+                        may = np.flatnonzero(1 - u <= best[i][0] * most[rows]) if i in best else np.arange(len(u))
+                        if not len(may):
+                            continue
+                        z, q = y[rows][may], p[rows][may]
+                        if len(m.centers):
+                            dist = _assign(z, m)[1]
+                            q = q * (dist if m.fit.init == "k-means++" else dist > 1e-12)
+                        with np.errstate(divide="ignore"):
+                            key = np.where(q > 0, -np.log(u[may]) / q, np.inf)
+                        j = int(key.argmin())
+                        if np.isfinite(key[j]) and (i not in best or key[j] < best[i][0]):
+                            best[i] = (float(key[j]), z[j])
         if best:
             yield pd.DataFrame({"m": list(best), "key": [v[0] for v in best.values()], "a": [v[1] for v in best.values()]})
 
@@ -190,6 +204,37 @@ def total_of(parts: DataFrame, size: int) -> np.ndarray:
     return total
 
 
+def _weighed(models: list[Centers], which: Sequence[int], w):
+    """(fits, weights of a block's rows or None) per column of weights: fits that share one share its rows."""
+    of: dict = {}
+    for i in which:
+        of.setdefault(models[i].fit.weight, []).append(i)
+    for column, fits in of.items():
+        yield fits, None if column is None else np.ascontiguousarray(w[:, column])
+
+
+def _step(c: np.ndarray, y: np.ndarray, one: np.ndarray, norm: np.ndarray, p: np.ndarray | None) -> np.ndarray:
+    """Of fits with centres ``c`` (k, fits, coordinates) over rows ``y`` (coordinates, rows): per fit what
+    ``_lloyd_pass`` adds up; ``one`` has the weights and weighted coordinates of the rows."""
+    k, n, d = c.shape
+    far = (c * c).sum(axis=2)
+    low = (-2 * c[0]) @ y
+    low += far[0][:, None]
+    own = np.empty((k, n, y.shape[1]))
+    best = np.zeros(low.shape, np.int16)
+    for j in range(1, k):  # ties: the first centre
+        dist = (-2 * c[j]) @ y
+        dist += far[j][:, None]
+        np.copyto(best, j, where=dist < low)
+        np.minimum(low, dist, out=low)
+    for j in range(k):
+        np.equal(best, j, out=own[j])
+    low += norm
+    np.maximum(low, 0, out=low)
+    sums = (own.reshape(k * n, -1) @ one).reshape(k, n, d + 1)
+    return np.column_stack([sums.transpose(1, 2, 0).reshape(n, -1), low.sum(axis=1) if p is None else low @ p])
+
+
 def _lloyd_pass(data: DataFrame, models: list[Centers], live: list[int], d: int) -> dict[int, np.ndarray]:
     """Per fit: for each centre the weight and the weighted sum of its rows, then the cost."""
     parts = _alike(models, live)
@@ -197,30 +242,25 @@ def _lloyd_pass(data: DataFrame, models: list[Centers], live: list[int], d: int)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = [np.zeros((len(part), models[part[0]].fit.k * (d + 1) + 1)) for part in parts]
-        centers = [np.stack([models[i].centers for i in part]) for part in parts]
         for x, _, w, g in _blocks(batches, d):
-            for part, c, s in zip(parts, centers, acc):
-                m, (n, k, _) = models[part[0]], c.shape
+            for part, s in zip(parts, acc):
+                m = models[part[0]]
                 if m.fit.group is not None and m.fit.group != g:
                     continue
-                of = [models[i].fit.weight for i in part]
-                norm, far = (c * c).sum(axis=2), -2 * c.reshape(n * k, d).T
-                block = max(1, MATRIX // (n * k))
-                for at in range(0, len(x), block):
-                    y = x[at : at + block] * m.mask
-                    dist = (y @ far).reshape(len(y), n, k) + norm
-                    best, low = np.zeros((len(y), n), np.int16), dist[:, :, 0].copy()
-                    for j in range(1, k):  # ties: the first centre
-                        less = dist[:, :, j] < low
-                        best[less] = j
-                        np.minimum(low, dist[:, :, j], out=low)
-                    low = np.maximum(low + (y * y).sum(axis=1)[:, None], 0)
-                    p = None if of[0] is None else w[at : at + block][:, of]
-                    s[:, -1] += low.sum(axis=0) if p is None else (low * p).sum(axis=0)
-                    one = np.column_stack([np.ones(len(y)), y])
-                    for j in range(k):
-                        own = (best == j).astype(float) if p is None else np.where(best == j, p, 0.0)
-                        s[:, j : k * (d + 1) : k] += own.T @ one
+                k, place = m.fit.k, {i: n for n, i in enumerate(part)}
+                for own, p in _weighed(models, part, w):
+                    y, p = (x, None) if p is None else (x[p > 0], p[p > 0].astype(float))
+                    y = y * m.mask
+                    one, norm = np.column_stack([np.ones(len(y)), y]), (y * y).sum(axis=1)
+                    if p is not None:
+                        one *= p[:, None]
+                    many = max(1, DISTANCES // max(1, len(y)))
+                    for at in range(0, len(own), many):
+                        some = own[at : at + many]
+                        c = np.stack([models[i].centers for i in some], axis=1)     # (k, fits, coordinates)
+                        for first in range(0, len(y), DISTANCES):
+                            rows = slice(first, first + DISTANCES)
+                            s[[place[i] for i in some]] += _step(c, y[rows].T, one[rows], norm[rows], None if p is None else p[rows])
         yield pd.DataFrame({"v": [np.concatenate([s.ravel() for s in acc]).tobytes()]})
 
     sizes = [(len(part), models[part[0]].fit.k * (d + 1) + 1) for part in parts]

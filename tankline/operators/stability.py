@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +67,36 @@ def poisson_weight(key: Column, replicate: Column, seed: int) -> Column:
     return sum((u > F.lit(p)).cast("int") for p in POISSON1_CDF)
 
 
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hash_int(value, h: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int, following on the hash ``h`` of the columns before it."""
+    h = (h + _P5 + np.uint64(4)) ^ (np.asarray(value, np.uint64) * _P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def poisson_weights(key_hash: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """(rows, replicates): ``poisson_weight`` of every row in every replicate, from the xxhash64 of the rows' keys."""
+    h = key_hash.astype(np.int64).view(np.uint64)
+    out = np.empty((len(h), n_boot), np.int8)
+    for r in range(n_boot):
+        u = ((_hash_int(seed & 0xFFFFFFFF, _hash_int(r, h)) & np.uint64((1 << 52) - 1)).astype(float) + 0.5) / float(1 << 52)
+        out[:, r] = np.searchsorted(POISSON1_CDF, u, "left")
+    return out
+
+
 def bootstrap_weights(n_boot: int, key: str = "id", seed: int = 1) -> Column:
-    """SR-6: the weights of a row in every replicate, as an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)),
-                       lambda r: poisson_weight(F.col(key), r, seed).cast("tinyint"))
+    """SR-6: the weights of a row in every replicate, as an array; taken in arrays, as Spark interprets a lambda
+    over the replicates element by element."""
+    @F.pandas_udf("array<tinyint>")
+    def of(h: pd.Series) -> pd.Series:
+        return pd.Series(list(poisson_weights(h.to_numpy(), n_boot, seed)), dtype=object)
+
+    return of(F.xxhash64(F.col(key)))
 
 
 def bootstrap_fits(df: DataFrame, k: int, n_boot: int = 100, key: str = "id", seed: int = 1, restarts: int = 10):
@@ -127,10 +154,15 @@ def cooccurrence_stability(base_labels: DataFrame, rep_labels: DataFrame, key: s
     Clusters with fewer than two members score 1.0."""
     j = rep_labels.join(base_labels.select(key, base), key)
     g = j.groupBy(base, rep, label).agg(F.sum(weight).alias("s1"), F.sum(F.col(weight) * F.col(weight)).alias("s2"))
-    same = g.groupBy(base).agg(F.sum((F.col("s1") * F.col("s1") - F.col("s2")) / 2).alias("together"))
-    tot = (j.groupBy(base, rep).agg(F.sum(weight).alias("s1"), F.sum(F.col(weight) * F.col(weight)).alias("s2"))
-           .groupBy(base).agg(F.sum((F.col("s1") * F.col("s1") - F.col("s2")) / 2).alias("pairs")))
-    size = base_labels.groupBy(base).agg(F.count(F.lit(1)).alias("size"))
+    return _pair_shares(g, base_labels.groupBy(base).agg(F.count(F.lit(1)).alias("size")), base, rep)
+
+
+def _pair_shares(g: DataFrame, size: DataFrame, base: str, rep: str) -> DataFrame:
+    """The stability from the sums ``s1`` and ``s2`` per (base, replicate, label) and the clusters' sizes."""
+    pairs = (F.col("s1") * F.col("s1") - F.col("s2")) / 2
+    same = g.groupBy(base).agg(F.sum(pairs).alias("together"))
+    tot = (g.groupBy(base, rep).agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+           .groupBy(base).agg(F.sum(pairs).alias("pairs")))
     out = size.join(same, base, "left").join(tot, base, "left")
     return out.select(base, "size", F.when((F.col("size") <= 1) | (F.coalesce("pairs", F.lit(0.0)) == 0), F.lit(1.0))
                       .otherwise(F.col("together") / F.col("pairs")).alias("stability"))
@@ -138,16 +170,33 @@ def cooccurrence_stability(base_labels: DataFrame, rep_labels: DataFrame, key: s
 
 def bootstrap_cooccurrence(df: DataFrame, k: int = 3, n_boot: int = 100, key: str = "id", seed: int = 1,
                            restarts: int = 10) -> DataFrame:
-    """CL-18 end to end: base K-means labels, replicate fits, replicate labels with
-    their Poisson weights (exploded once over replicates), then the group-sum form."""
+    """CL-18 end to end: base K-means labels, replicate fits, and in one pass the sums of Poisson weights per
+    (base label, replicate, label), then the group-sum form."""
     base_model, reps = bootstrap_fits(df, k, n_boot, key, seed, restarts)
-    lab = df.select(key, KM.labels_of([base_model, *reps], F.col(CL.FEATURES)).alias("_l"),
-                    bootstrap_weights(n_boot, key, seed).alias("_w"))
-    base = lab.select(key, F.col("_l")[0].alias("base"))
-    both = F.arrays_zip(F.slice("_l", 2, n_boot).alias("label"), F.col("_w").alias("w"))
-    long = lab.select(key, F.posexplode(both).alias("replicate", "z")).select(
-        key, "replicate", F.col("z.label").alias("label"), F.col("z.w").cast("double").alias("w")).where("w > 0")
-    return cooccurrence_stability(base, long, key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, size = np.zeros((2, n_boot, k * k)), np.zeros(k, np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["a"].to_numpy())
+            base = KM._assign(x, base_model)[0]
+            size += np.bincount(base, minlength=k)
+            known = b["known"].to_numpy(bool)
+            w = poisson_weights(b["h"].to_numpy(), n_boot, seed) * known[:, None].astype(float)
+            for r, m in enumerate(reps):
+                cell = base * k + KM._assign(x, m)[0]
+                s[0, r] += np.bincount(cell, w[:, r], k * k)
+                s[1, r] += np.bincount(cell, w[:, r] * w[:, r], k * k)
+        r, cell = np.divmod(np.arange(n_boot * k * k), k * k)
+        yield pd.DataFrame({"base": cell // k, "replicate": r, "label": cell % k, "s1": s[0].ravel(), "s2": s[1].ravel(), "n": 0})
+        yield pd.DataFrame({"base": np.arange(k), "replicate": -1, "label": -1, "s1": 0.0, "s2": 0.0, "n": size})
+
+    rows = df.select(vector_to_array(CL.FEATURES).alias("a"), F.xxhash64(F.col(key)).alias("h"), F.col(key).isNotNull().alias("known"))
+    part = rows.mapInPandas(run, "base int, replicate int, label int, s1 double, s2 double, n long")
+    g = part.groupBy("base", "replicate", "label").agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "n")]).cache()
+    size = g.where("replicate < 0 and n > 0").select("base", F.col("n").alias("size"))
+    return _pair_shares(g.where("replicate >= 0").drop("n"), size, "base", "replicate")
 
 
 def feature_impact(df: DataFrame, k: int, names: Sequence[str], key: str = "id", seed: int = 1, restarts: int = 10) -> DataFrame:

@@ -191,3 +191,65 @@ def test_linear_losses_reach_the_minimum_of_their_objective(spark):
     assert np.mean([r.prediction == r.label for r in p]) > 0.85
     cv = LM.cross_validate(d, sets[:2], 3, (0, 1, 2)).collect()
     assert all(r.mean_score > 0.85 for r in cv)
+
+
+def test_bootstrap_weights_are_those_of_the_hash_expression(spark):
+    """Weights taken in arrays equal the expression over (key, replicate, seed), for missing keys too."""
+    d = spark.range(500).select(F.when(F.col("id") % 50 > 0, F.col("id") * 7919 - 1000).alias("id"))
+    want = [F.col("w")[r] == ST.poisson_weight(F.col("id"), F.lit(r), 5) for r in range(4)]
+    got = d.select("id", ST.bootstrap_weights(4, "id", 5).alias("w")).select(*[x.alias(str(i)) for i, x in enumerate(want)]).collect()
+    assert len(got) == 500 and all(all(r) for r in got)
+
+
+def test_cooccurrence_counts_no_rows_per_replicate(spark, monkeypatch):
+    """The sums come from one pass over the rows: no join and no row per replicate, and they are the joined form's."""
+    _, d = _points(spark, 150)
+    d = d.cache()
+    first, reps = ST.bootstrap_fits(d, 3, 4, restarts=2)
+    lab = d.select("id", KM.labels_of([first, *reps], F.col("features")).alias("l"), ST.bootstrap_weights(4).alias("w"))
+    long = lab.select("id", F.posexplode(F.arrays_zip(F.slice("l", 2, 4).alias("label"), F.col("w").alias("w"))).alias("replicate", "z"))
+    long = long.select("id", "replicate", F.col("z.label").alias("label"), F.col("z.w").cast("double").alias("w"))
+    want = {r.base: (r.size, r.stability) for r in ST.cooccurrence_stability(lab.select("id", F.col("l")[0].alias("base")), long).collect()}
+    monkeypatch.setattr(ST, "cooccurrence_stability", None)
+    got = {r.base: (r.size, r.stability) for r in ST.bootstrap_cooccurrence(d, 3, 4, restarts=2).collect()}
+    assert got == want and len(got) == 3
+
+
+def test_draws_that_skip_rows_are_those_of_all_rows():
+    """Seeding looks at the logarithm and the distance only where a row can win: the drawn rows are those of the plain race."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x, h, w = rng.normal(size=(2000, 3)), rng.integers(0, 2**62, 2000), rng.poisson(1, (2000, 2)).astype(np.int8)
+    blocks = [pd.DataFrame({"n": [len(p)], "x": [x[p].tobytes()], "h": [h[p].tobytes()], "w": [w[p].tobytes()], "kind": [w.dtype.str]})
+              for p in np.array_split(np.arange(2000), 3)]
+
+    class Data:
+        columns = ["x"]
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            self.out = list(run(iter(blocks)))
+            return self
+
+        def groupBy(self, *a):  # noqa: N802
+            return self
+
+        def agg(self, *a):
+            return self
+
+        def collect(self):
+            return [{"m": m, "a": a} for f in self.out for m, a in zip(f["m"], f["a"])]
+
+    fits = [KM.Fit(3, s, init, weight=c) for s in range(4) for init in ("k-means++", "random") for c in (None, 0, 1)]
+    models = [KM.Centers(f, np.zeros((0, 3)), mask=np.ones(3)) for f in fits]
+    for step in range(3):
+        want = []
+        for m in models:
+            p = KM._weight(m, 2000, w)
+            if len(m.centers):
+                dist = KM._assign(x, m)[1]
+                p = p * (dist if m.fit.init == "k-means++" else dist > 1e-12)
+            with np.errstate(divide="ignore"):
+                want.append(x[np.where(p > 0, -np.log(KM._uniform(h.view(np.uint64), m.fit.seed * 1009 + step + 1)) / p, np.inf).argmin()])
+        KM._seed_pass(Data(), models, step, 3)
+        assert all(np.array_equal(m.centers[-1], v) for m, v in zip(models, want))

@@ -1,7 +1,7 @@
 """Many Gaussian mixtures over one table, side by side (CL-13, CL-14): every covariance type and number
 of components shares the passes over the rows.
 
-Each step of expectation maximisation is one distributed pass: every Arrow batch adds, for all
+Each step of expectation maximisation is one distributed pass: every block of rows adds, for all
 mixtures that have not settled, its log-likelihood and per component the weight, the weighted
 sum and the weighted products of its rows; Spark adds these up and the driver, which holds only
 parameters, takes the step. Mixtures start from the labels of K-means fits, which share their
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from tankline.operators import kmeans_many as KM
 
 COVARIANCES = ("full", "tied", "diag", "spherical")
 FLOOR = 1e-6            # added to every variance
+ROWS = 512              # rows whose shares of all components are at hand at once: they stay in a core's cache
 
 
 @dataclass
@@ -67,10 +69,55 @@ def log_sum(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
 
+def terms(x: np.ndarray) -> np.ndarray:
+    """(1 + d + d * d, rows): 1, the coordinates and their products."""
+    d = x.shape[1]
+    return np.vstack([np.ones((1, len(x))), x.T, (x.T[:, None, :] * x.T[None, :, :]).reshape(d * d, len(x))])
+
+
+class Densities:
+    """The components of some mixtures side by side: what depends on parameters only is taken once."""
+
+    def __init__(self, models: Sequence[Mixture]):
+        self.ends = np.cumsum([m.k for m in models])
+        d = models[0].mean.shape[1]
+        low = [np.linalg.cholesky(c) for m in models for c in m.matrices()]
+        self.root = np.vstack([np.linalg.inv(l) for l in low])                          # (components * d, d)
+        mean = np.vstack([m.mean for m in models])
+        self.shift = np.einsum("cij,cj->ci", self.root.reshape(-1, d, d), mean).reshape(-1, 1)
+        with np.errstate(divide="ignore"):
+            self.const = np.log(np.concatenate([m.weight for m in models])) - np.array([np.log(np.diag(l)).sum() for l in low]) - 0.5 * d * np.log(2 * np.pi)
+        self.d = d
+
+    def joint(self, x: np.ndarray) -> np.ndarray:
+        """(components, rows): log of component weight times density."""
+        z = self.root @ x.T
+        z -= self.shift
+        z *= z
+        out = z.reshape(-1, self.d, len(x)).sum(axis=1)
+        out *= -0.5
+        out += self.const[:, None]
+        return out
+
+    def expect(self, x: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+        """Per mixture the ``sums`` of the rows by their shares, and the rows' log-likelihood."""
+        joint, t = self.joint(x), terms(x)
+        likelihood = []
+        for a, b in zip([0, *self.ends], self.ends):
+            part = joint[a:b]
+            top = part.max(axis=0)
+            part -= top
+            np.exp(part, out=part)
+            total = part.sum(axis=0)
+            part /= total
+            likelihood.append(float((top + np.log(total)).sum()))
+        s = joint @ t.T
+        return [s[a:b] for a, b in zip([0, *self.ends], self.ends)], likelihood
+
+
 def sums(x: np.ndarray, share: np.ndarray) -> np.ndarray:
     """(k, 1 + d + d * d): weights, weighted sums and weighted products of rows."""
-    products = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-    return np.hstack([share.sum(axis=0)[:, None], share.T @ x, share.T @ products])
+    return share.T @ terms(x).T
 
 
 def maximised(kind: str, s: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,10 +145,11 @@ def fit_many(df: DataFrame, settings: Sequence[tuple[int, str]], seed: int = 1,
     d = first["d"]
     ks = sorted({k for k, _ in settings})
     starts = dict(zip(ks, KM.fit_many(data, [KM.Fit(k, seed) for k in ks])))
+    blocks = KM.packed(data, d).select("n", "x").persist(StorageLevel.MEMORY_AND_DISK)  # a lost block is made again from the checkpoint
 
     def total(fn, size: dict[int, int]) -> dict[int, np.ndarray]:
         out = {i: np.zeros(n) for i, n in size.items()}
-        for r in data.select("a").mapInPandas(fn, "m int, pos int, v double").groupBy("m", "pos").agg(F.sum("v").alias("v")).collect():
+        for r in blocks.mapInPandas(fn, "m int, pos int, v double").groupBy("m", "pos").agg(F.sum("v").alias("v")).collect():
             out[r["m"]][r["pos"]] = r["v"]  # mixtures x components x products
         return out
 
@@ -111,13 +159,16 @@ def fit_many(df: DataFrame, settings: Sequence[tuple[int, str]], seed: int = 1,
 
     width = 1 + d + d * d
 
-    def rows(b: pd.DataFrame) -> np.ndarray:
-        return np.stack(b["a"].to_numpy()) if len(b) else np.zeros((0, d))
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                x = np.frombuffer(r.x).reshape(r.n, d)
+                for at in range(0, r.n, ROWS):
+                    yield x[at : at + ROWS]
 
     def by_label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = {k: np.zeros(len(m.centers) * width) for k, m in starts.items()}
-        for b in batches:
-            x = rows(b)
+        for x in rows(batches):
             for k, m in starts.items():
                 acc[k] += sums(x, np.eye(len(m.centers))[KM._assign(x, m)[0]]).ravel()
         yield from emit(acc)
@@ -132,17 +183,16 @@ def fit_many(df: DataFrame, settings: Sequence[tuple[int, str]], seed: int = 1,
     while True:
         live = [i for i, m in enumerate(models) if not m.settled]
         if not live:
+            blocks.unpersist()
             return models
 
         def expect(batches: Iterator[pd.DataFrame], live=live) -> Iterator[pd.DataFrame]:
             acc = {i: np.zeros(models[i].k * width + 1) for i in live}
-            for b in batches:
-                x = rows(b)
-                for i in live:
-                    joint = models[i].log_joint(x)
-                    norm = log_sum(joint) if len(x) else np.zeros(0)
-                    acc[i][:-1] += sums(x, np.exp(joint - norm[:, None])).ravel()
-                    acc[i][-1] += norm.sum()
+            of = Densities([models[i] for i in live])
+            for x in rows(batches):
+                for i, s, ll in zip(live, *of.expect(x)):
+                    acc[i][:-1] += s.ravel()
+                    acc[i][-1] += ll
             yield from emit(acc)
 
         got = total(expect, {i: models[i].k * width + 1 for i in live})
@@ -167,7 +217,8 @@ def labels_of(models: Sequence[Mixture], features: Column) -> Column:
     def of(a: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=object)
-        x = np.stack(a.to_numpy())
-        return pd.Series(list(np.column_stack([m.log_joint(x).argmax(axis=1) for m in models]).astype(np.int32)), dtype=object)
+        x, of = np.stack(a.to_numpy()), Densities(models)
+        joint = of.joint(x)
+        return pd.Series(list(np.column_stack([joint[p:q].argmax(axis=0) for p, q in zip([0, *of.ends], of.ends)]).astype(np.int32)), dtype=object)
 
     return of(vector_to_array(features))

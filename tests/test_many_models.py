@@ -333,3 +333,19 @@ def test_blocks_hold_one_hot_columns_as_bits(spark):
     got = sorted((str(list(c)), float(y), float(w), f) for x, ys, ws, f in LM._blocks([p]) for c, y, w in zip(x.T, ys, ws))
     want = sorted((str(list(np.append(r.features.toArray(), 1.0))), float(r.label), 1.0, r.fold) for r in d.collect())
     assert got == want
+
+
+def test_shares_of_all_mixtures_at_once():
+    """One step over tiles for all mixtures gives the sums and likelihoods of each mixture alone; narrow clusters too."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 3)) * [1, 3, 1e-4]
+    models = []
+    for k in (1, 3):
+        for kind in MX.COVARIANCES:
+            lab = np.arange(700) % k
+            models.append(MX.Mixture(k, kind, *MX.maximised(kind, MX.sums(x + lab[:, None], np.eye(k)[lab]), 3)))
+    s, ll = MX.Densities(models).expect(x)
+    for m, own, got in zip(models, s, ll):
+        joint = m.log_joint(x)
+        norm = MX.log_sum(joint)
+        assert np.isclose(norm.sum(), got) and np.allclose(MX.sums(x, np.exp(joint - norm[:, None])), own)

@@ -349,3 +349,26 @@ def test_shares_of_all_mixtures_at_once():
         joint = m.log_joint(x)
         norm = MX.log_sum(joint)
         assert np.isclose(norm.sum(), got) and np.allclose(MX.sums(x, np.exp(joint - norm[:, None])), own)
+
+
+def test_settings_of_a_family_share_their_trees(table, monkeypatch):
+    """Forests that differ by trees or depth, and boosted ones that differ by rounds, grow once; votes, margins and trees
+    are those of each alone, on wide levels too."""
+    data, cols, rows = table
+    settings = [TM.Forest(t, d, 2, m, "balanced", leave_out=0) for t in (2, 4) for d in (3, 6) for m in (1, 5)] + [TM.Boost(t, 3, 0.3, gamma=0.5, leave_out=1) for t in (1, 4)]
+    alone = [TM.fit_local(rows, cols, s, 3, keep=True) for s in settings]
+    grown = TM.families(settings)
+    assert sum(s.trees if isinstance(s, TM.Forest) else 3 * s.rounds for s, _ in grown) == 4 + 4 + 12
+    for nodes in (2048, 3):
+        monkeypatch.setattr(TM, "NODES", nodes)
+        for s, which in grown:
+            scores, trees = TM.fit_family(rows, cols, s, [settings[i] for i in which], 3, keep=True)
+            for i, score in zip(which, scores):
+                own = TM.member(trees, settings[i], 3)
+                assert np.array_equal(score, alone[i][0]) and len(own) == len(alone[i][1])
+                assert all(same(a, b) and np.array_equal(a.values(3), b.values(3)) for a, b in zip(own, alone[i][1]))
+    monkeypatch.setattr(TM, "NODES", 2048)
+    local, spread = (TM.confusions(data, cols, settings[:5], 3, local_rows=n) for n in (10_000, 10))
+    assert np.array_equal(local, spread)
+    c = [np.bincount(rows.y[rows.f == 0] * 3 + alone[i][0][rows.f == 0].argmax(axis=1), minlength=9).reshape(3, 3) for i in range(5)]
+    assert np.array_equal(local, c)
